@@ -77,8 +77,8 @@ def parse_date_mixed(text) -> Column:
     """Dd.MM.yyyy first, then ISO, then any ISO-like timestamp."""
     t = F.trim(_col(text))
     return F.coalesce(
-        F.try_to_date(t, F.lit("dd.MM.yyyy")),
-        F.try_to_date(t, F.lit("yyyy-MM-dd")),
+        F.try_to_date(t, "dd.MM.yyyy"),
+        F.try_to_date(t, "yyyy-MM-dd"),
         F.to_date(F.try_to_timestamp(t)),
     )
 
@@ -122,7 +122,7 @@ def parse_dates_robust(df: DataFrame, column: str, threshold: float = 0.8) -> Da
 
 def is_gregorian(text, layout: str = "yyyy-MM-dd") -> Column:
     """D15."""
-    return F.try_to_date(_col(text), F.lit(layout)).isNotNull()
+    return F.try_to_date(_col(text), layout).isNotNull()
 
 
 def split_name(name) -> Column:

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.physics import cyclic_features
@@ -105,7 +106,7 @@ def _harmonics(date: Column, n: int) -> list[Column]:
     return terms
 
 
-@pandas_udf("array<double>")
+@pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(gram: pd.Series, rhs: pd.Series) -> pd.Series:
     """Least-squares solution per row of flattened normal equations (harmonics only)."""
     def one(g, r):
