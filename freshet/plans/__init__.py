@@ -5,7 +5,7 @@ from importlib import import_module
 MODULES = (
     "calendar_queries",
     "series_queries",
-    # "source_queries",
+    "source_queries",
     # "selection_queries",
     # "aggregate_queries",
     # "merge_queries",

@@ -131,7 +131,7 @@ VIEWS = {
     "registry": """SELECT CAST(10000 + s_suppkey // 10 AS VARCHAR) AS code,
         arg_min(n_name, s_suppkey) || ' - ' || arg_min(s_name, s_suppkey) AS name,
         arg_min(n_name, s_suppkey) AS river, arg_min(s_name, s_suppkey) AS place,
-        arg_min(r_name, s_suppkey) AS basin, min(s_nationkey) * 0.25 + 36 AS lat, max(s_nationkey) * 0.5 + 66 AS lon,
+        arg_min(r_name, s_suppkey) AS basin, CAST(min(s_nationkey) AS DOUBLE) * 0.25 + 36 AS lat, CAST(max(s_nationkey) AS DOUBLE) * 0.5 + 66 AS lon,
         CAST(max(s_suppkey) AS INTEGER) AS bulletin_order, min(s_acctbal) + 20000 AS area,
         bool_or(s_acctbal > 8000) AS flag
       FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1""",
@@ -152,7 +152,7 @@ VIEWS = {
     "forecasts": f"""SELECT code, date, pentad_in_month, pentad_in_year, {MODEL_SHORT.format(m='model')} AS model_short,
         {MODEL_LONG.format(m='model')} AS model_long, forecasted_discharge FROM (
         SELECT code, date, {pim('CAST(date + 1 AS DATE)')} AS pentad_in_month, {piy('CAST(date + 1 AS DATE)')} AS pentad_in_year, model,
-          CAST(sum(cents) AS DOUBLE) / count(*) / 600000 AS forecasted_discharge
+          CAST(sum(cents) AS DOUBLE) / count(*) / 598937 AS forecasted_discharge
         FROM (SELECT CAST(10000 + o_custkey // 150 AS VARCHAR) AS code, {next_issue('CAST(o_orderdate AS DATE)')} AS date,
             CASE left(o_orderpriority, 1) WHEN '1' THEN 'LR' WHEN '2' THEN 'TFT' WHEN '3' THEN 'TIDE' WHEN '4' THEN 'TSMIXER' ELSE 'ARIMA' END AS model,
             CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) AS issued
@@ -166,6 +166,9 @@ VIEWS = {
     "fits": "SELECT code, issue_period, "
     + columns(fit("discharge_avg", "predictor"))
     + " FROM series_pentad WHERE discharge IS NOT NULL AND predictor IS NOT NULL AND discharge_avg IS NOT NULL GROUP BY 1, 2",
+    "linreg": """SELECT s.code, s.date, s.discharge, s.issue_date, s.predictor, s.discharge_avg, s.issue_period, s.target_period,
+        f.slope, f.intercept, f.rsquared, f.q_mean, f.q_std_sigma, f.delta, f.slope * s.predictor + f.intercept AS forecasted_discharge
+      FROM series_pentad AS s JOIN fits AS f ON s.code = f.code AND s.issue_period = f.issue_period WHERE s.issue_date""",
     "gaps": """SELECT code, CAST(date + 1 AS DATE) AS gap_start, CAST(nxt - 1 AS DATE) AS gap_end FROM (
         SELECT code, date, lead(date) OVER (PARTITION BY code ORDER BY date) AS nxt FROM daily) AS d WHERE nxt > date + 1""",
 }

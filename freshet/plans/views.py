@@ -6,6 +6,7 @@ keeps a dense daily record.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from ..functions import calendar as cal
 from ..functions import text
 from ..operators import regression
 from ..operators.windows import detect_gaps, prepare_series
+from ..session import shared_folder
 from ..sources.readers import table, with_target_period
 
 
@@ -39,6 +41,10 @@ class Tables:
             return table(self.spark, self.folder, name)
         raise AttributeError(name)
 
+    def scratch(self, name: str) -> str:
+        """A new folder below the shared one for tables a query writes and reads back."""
+        return f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+
     def _shipped(self) -> DataFrame:
         return self.lineitem.withColumns(
             {"code": gauge("l_suppkey", 10), "date": F.to_date("l_shipdate")}
@@ -128,7 +134,7 @@ class Tables:
             cal.next_issue_date(F.to_date("o_orderdate"), "pentad").alias("date"),
             key.alias("model"),
         ).agg(
-            (F.sum(cents("o_totalprice")).cast("double") / F.count(F.lit(1)) / 600000).alias("forecasted_discharge")
+            (F.sum(cents("o_totalprice")).cast("double") / F.count(F.lit(1)) / 598937).alias("forecasted_discharge")
         )
         return with_target_period(rows, "pentad").withColumns(
             {"model_short": text.model_short("model"), "model_long": text.model_long("model")}
@@ -160,3 +166,23 @@ class Tables:
     @cached_property
     def gaps(self) -> DataFrame:
         return detect_gaps(self.daily, "2001-12-31", 36500)
+
+    @cached_property
+    def linreg(self) -> DataFrame:
+        """Stored regression output: every issue date with its period's fit."""
+        rows = self.series("pentad").where("issue_date").join(self.fits, ["code", "issue_period"])
+        return rows.withColumn(
+            "forecasted_discharge", F.col("slope") * F.col("predictor") + F.col("intercept")
+        )
+
+    @cached_property
+    def gateway(self) -> DataFrame:
+        """A wide gateway file: a date column and one column pair per sub-basin 1..7."""
+        wide = self.lineitem.groupBy(F.date_format("l_shipdate", "dd.MM.yyyy").alias("Station")).pivot(
+            "l_linenumber", list(range(1, 8))
+        ).agg(
+            F.sum("l_quantity").cast("string").alias("T"), F.max("l_quantity").cast("string").alias("P")
+        )
+        for i in range(1, 8):
+            wide = wide.withColumnsRenamed({f"{i}_T": str(i), f"{i}_P": f"{i}.1"})
+        return wide.withColumn("Source", F.lit("gateway"))

@@ -248,11 +248,19 @@ def match_bulletin_selection(selection: DataFrame, registry: DataFrame) -> DataF
     )
 
 
-def needs_reprocess(spark: SparkSession, inputs: list[str], output: str) -> bool:
-    """Is any input file newer than the output?  Only file metadata is read."""
-    def newest(paths, pick):
+def file_ages(spark: SparkSession, inputs: list[str], output: str) -> DataFrame:
+    """Newest input and oldest output file; only file metadata is read."""
+
+    def stamp(paths, pick):
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-        return files.agg(pick("modificationTime")).first()[0]
+        return files.agg(pick("modificationTime").alias("m")).scalar()
+
+    ages = spark.range(1).select(
+        stamp(inputs, F.max).alias("newest_input"), stamp(output, F.min).alias("oldest_output")
+    )
+    needs = F.col("oldest_output").isNull() | (F.col("newest_input") > F.col("oldest_output"))
+    return ages.select(needs.alias("needs_reprocess"))
+
 
-    written = newest(output, F.max)
-    return written is None or newest(inputs, F.max) > written
+def needs_reprocess(spark: SparkSession, inputs: list[str], output: str) -> bool:
+    return file_ages(spark, inputs, output).first()[0]
