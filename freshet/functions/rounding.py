@@ -17,6 +17,15 @@ BULLETIN_DIGITS = ((10.0, 2), (100.0, 1))
 CLOSE_TO_ZERO = 1e-4
 
 
+def stable_round(value, decimals: int) -> Column:
+    """Half-even rounding of an aggregate.
+
+    Partial aggregates add up in any order, so a result can miss a tie by a few ulps on
+    one run and hit it on the next; rounding six digits further out first removes that.
+    """
+    return F.bround(F.round(_col(value), decimals + 6), decimals)
+
+
 def _stepped(value: Column, steps, apply) -> Column:
     out = None
     for limit, decimals in steps:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..functions.rounding import stable_round
 from .merge import dedupe
 from .quantiles import exact_quantiles
 
@@ -135,14 +136,14 @@ def station_norm_compare(df: DataFrame, as_of_year: int) -> DataFrame:
     ]
     long = both.unpivot([*keys, "date", "unit"], types, "type", "value")
     unit = F.when(F.col("type").contains("percentage"), "%").otherwise(F.col("unit"))
-    return long.withColumns({"unit": unit, "value": F.bround("value", 2)})
+    return long.withColumns({"unit": unit, "value": stable_round("value", 2)})
 
 
 def daily_forcing_norm(df: DataFrame, value: str, as_of_year: int) -> DataFrame:
     """Mean per day of year dated in the current year; day 366 only in leap years."""
     leap = cal.is_leap_year(F.lit(as_of_year))
     norm = df.groupBy("code", F.dayofyear("date").alias("_doy")).agg(
-        F.bround(F.avg(value), 2).alias(f"{value}_norm")
+        stable_round(F.avg(value), 2).alias(f"{value}_norm")
     )
     first = F.make_date(F.lit(as_of_year), F.lit(1), F.lit(1))
     return norm.where((F.col("_doy") <= 365) | leap).select(
@@ -220,7 +221,7 @@ def reliability_stats(stats: DataFrame, check: DataFrame, as_of) -> DataFrame:
     checks = F.coalesce("_c", F.lit(0)) + seen
     present = F.coalesce("_p", F.lit(0)) + F.coalesce(F.col("recent").cast("bigint"), F.lit(0))
     gap = F.when(~F.col("recent"), F.lit(as_of).cast("date")).otherwise(F.col("_g"))
-    pct = F.when(checks > 0, F.bround(100.0 * present / checks, 1)).otherwise(0.0)
+    pct = F.when(checks > 0, stable_round(100.0 * present / checks, 1)).otherwise(0.0)
     return joined.select(
         "code", checks.alias("checks"), present.alias("recent_data_present"),
         pct.alias("reliability_pct"), gap.alias("last_gap_date"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..functions.rounding import stable_round
 from .aggregates import RUNOFF_QUANTILES, quantile_columns
 
 
@@ -47,7 +48,7 @@ def period_hydrograph(series: DataFrame, horizon, as_of_year: int, norms: DataFr
         stats = stats.withColumn("norm", F.lit(None).cast("double"))
     numbers = ["mean", "min", "max", "q05", "q25", "q75", "q95", "norm", "last_year", "current_year"]
     issue = cal.issue_date_of_period(h.in_year, F.lit(as_of_year), h)
-    return stats.withColumns({n: F.bround(n, 3) for n in numbers}).withColumns(
+    return stats.withColumns({n: stable_round(n, 3) for n in numbers}).withColumns(
         {
             "date": issue,
             "day_of_year": F.dayofyear(issue),

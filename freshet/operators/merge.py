@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..functions.rounding import stable_round
 
 
 def dedupe(df: DataFrame, keys: list[str], order: Column, keep: str = "last") -> DataFrame:
@@ -100,7 +101,7 @@ def assemble_daily(base, recent, morning=None, gap_values=None, virtual=None, ne
     sources = [s for s in (base, recent, gap_values, morning, virtual) if s is not None]
     tagged = [s.withColumn("_side", F.lit(i)) for i, s in enumerate(sources)]
     df = dedupe(stack(*tagged), ["code", "date"], F.col("_side")).drop("_side")
-    return df.withColumn("discharge", F.bround("discharge", 3))
+    return df.withColumn("discharge", stable_round("discharge", 3))
 
 
 def latest_per_period(df: DataFrame, horizon, period: str | None = None, extra=()) -> DataFrame:
@@ -119,7 +120,7 @@ def latest_forecasts(df: DataFrame, horizon) -> DataFrame:
 
 def round_doubles(df: DataFrame, decimals: int) -> DataFrame:
     doubles = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
-    return df.select(*[F.bround(c, decimals).alias(c) if c in doubles else F.col(c) for c in df.columns])
+    return df.select(*[stable_round(c, decimals).alias(c) if c in doubles else F.col(c) for c in df.columns])
 
 
 def null_stale_rows(df: DataFrame, values: list[str], grace_days: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..functions.rounding import forecast_bounds
+from ..functions.rounding import forecast_bounds, stable_round
 
 
 def output_order(df: DataFrame, *columns: str) -> DataFrame:
@@ -24,8 +24,8 @@ def summary_table(forecasts: DataFrame, kind: str = "delta", percent: float = 0.
     newest = forecasts.agg(F.max("date").alias("d"))
     rows = forecasts.where(F.col("date") == newest.scalar())
     bounds = forecast_bounds("forecasted_discharge", "delta", kind, percent)
-    rows = rows.withColumns({k: F.bround(v, 3) for k, v in bounds.items()})
-    return rows.withColumn("forecasted_discharge", F.bround("forecasted_discharge", 3)).orderBy(
+    rows = rows.withColumns({k: stable_round(v, 3) for k, v in bounds.items()})
+    return rows.withColumn("forecasted_discharge", stable_round("forecasted_discharge", 3)).orderBy(
         "model_short", "code"
     )
 

@@ -6,9 +6,9 @@ MODULES = (
     "calendar_queries",
     "series_queries",
     "source_queries",
-    # "selection_queries",
-    # "aggregate_queries",
-    # "merge_queries",
+    "selection_queries",
+    "aggregate_queries",
+    "merge_queries",
     # "model_queries",
     # "stream_queries",
 )

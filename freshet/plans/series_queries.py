@@ -285,7 +285,7 @@ def latest_per_period(t):
 @query(
     "W22_latest_forecasts",
     """WITH newest AS (SELECT code, pentad_in_year, model_short, max(date) AS date, arg_max(forecasted_discharge, date) AS q FROM forecasts GROUP BY 1, 2, 3)
-    SELECT code, pentad_in_year, model_short, date, round_even(q, 3) AS forecasted_discharge FROM newest WHERE year(date) >= (SELECT max(year(date)) FROM newest) - 1""",
+    SELECT code, pentad_in_year, model_short, date, round_even(round(q, 9), 3) AS forecasted_discharge FROM newest WHERE year(date) >= (SELECT max(year(date)) FROM newest) - 1""",
     "forecasted_discharge:r6",
 )
 def latest_forecasts(t):

@@ -264,7 +264,7 @@ def pivot_snow(t):
     return forcing.pivot_snow(t.snow, "HS", list(range(1, 8)))
 
 
-@query("S17_write_daily_series", "SELECT code, date, round_even(P, 3) AS discharge FROM forcing", "discharge:r6")
+@query("S17_write_daily_series", "SELECT code, date, round_even(round(P, 9), 3) AS discharge FROM forcing", "discharge:r6")
 def write_daily_series(t):
     return writers.daily_series_table(t.forcing.select("code", "date", F.col("P").alias("discharge")))
 
@@ -281,7 +281,7 @@ HYDRO_NUMBERS = "mean std min q05 q25 q50 q75 q95 max last_year current_year".sp
 
 @query(
     "S18_write_daily_hydrograph",
-    "SELECT * REPLACE (" + ", ".join(f"round_even({c}, 3) AS {c}" for c in HYDRO_NUMBERS) + f") FROM ({DAILY_HYDROGRAPH}) AS h WHERE count > 0",
+    "SELECT * REPLACE (" + ", ".join(f"round_even(round({c}, 9), 3) AS {c}" for c in HYDRO_NUMBERS) + f") FROM ({DAILY_HYDROGRAPH}) AS h WHERE count > 0",
     " ".join(f"{c}:r6" for c in HYDRO_NUMBERS),
 )
 def write_daily_hydrograph(t):
@@ -292,7 +292,7 @@ for _h in ("pentad", "decad"):
 
     @query(
         f"S19_write_period_series_{_h}",
-        f"""SELECT code, date, round_even(predictor, 3) AS predictor, round_even(discharge_avg, 3) AS discharge_avg, {pim(NEXT, _h)} AS {_h}_in_month, {piy(NEXT, _h)} AS {_h}_in_year
+        f"""SELECT code, date, round_even(round(predictor, 9), 3) AS predictor, round_even(round(discharge_avg, 9), 3) AS discharge_avg, {pim(NEXT, _h)} AS {_h}_in_month, {piy(NEXT, _h)} AS {_h}_in_year
         FROM series_{_h} WHERE issue_date""",
         "predictor:r6 discharge_avg:r6",
     )
@@ -311,7 +311,7 @@ SKILL_KEYS = ["pentad_in_year", "code", "model_long", "model_short"]
 
 @query(
     "S20_write_skill",
-    f"SELECT * REPLACE ({', '.join(f'round_even({c}, 4) AS {c}' for c in ('sdivsigma', 'nse', 'delta', 'accuracy', 'mae'))}) FROM ({SKILL}) AS s",
+    f"SELECT * REPLACE ({', '.join(f'round_even(round({c}, 10), 4) AS {c}' for c in ('sdivsigma', 'nse', 'delta', 'accuracy', 'mae'))}) FROM ({SKILL}) AS s",
     SKILL_SHAPE,
 )
 def write_skill(t):
@@ -322,7 +322,7 @@ def write_skill(t):
     "S21_write_forecasts",
     """WITH newest AS (SELECT code, pentad_in_year, model_short, max(date) AS date FROM forecasts GROUP BY 1, 2, 3),
     latest AS (SELECT * FROM newest WHERE year(date) >= (SELECT max(year(date)) FROM newest) - 1)
-    SELECT f.code, f.date, f.model_short, f.pentad_in_year, round_even(forecasted_discharge, 3) AS forecasted_discharge, l.date IS NOT NULL AS latest
+    SELECT f.code, f.date, f.model_short, f.pentad_in_year, round_even(round(forecasted_discharge, 9), 3) AS forecasted_discharge, l.date IS NOT NULL AS latest
     FROM forecasts AS f LEFT JOIN latest AS l ON f.code = l.code AND f.date = l.date AND f.model_short = l.model_short AND f.pentad_in_year = l.pentad_in_year""",
     "forecasted_discharge:r6",
 )
@@ -358,8 +358,8 @@ def needs_reprocess(t):
     return readers.file_ages(t.spark, [f"{t.folder}/lineitem.parquet", f"{t.folder}/orders.parquet"], f"{t.folder}/events.parquet")
 
 
-FRESH = """SELECT code, max(date) AS date, arg_max(issue_period, date) AS pentad_in_year, arg_max(round_even(predictor, 3), date) AS predictor,
-    arg_max(round_even(discharge_avg, 3), date) AS discharge_avg, arg_max(round_even(forecasted_discharge, 3), date) AS forecasted_discharge
+FRESH = """SELECT code, max(date) AS date, arg_max(issue_period, date) AS pentad_in_year, arg_max(round_even(round(predictor, 9), 3), date) AS predictor,
+    arg_max(round_even(round(discharge_avg, 9), 3), date) AS discharge_avg, arg_max(round_even(round(forecasted_discharge, 9), 3), date) AS forecasted_discharge
   FROM (SELECT code, date, issue_period, coalesce(predictor, -1) AS predictor, coalesce(discharge_avg, -1) AS discharge_avg, coalesce(forecasted_discharge, -1) AS forecasted_discharge FROM linreg WHERE date >= DATE '2000-01-01') AS l GROUP BY 1"""
 
 
@@ -486,8 +486,8 @@ def display_hydrograph(t):
 
 @query(
     "S36_bulletin_selection",
-    """SELECT f.code, f.code || ' - ' || name AS label, basin, model_short AS model, round_even(forecasted_discharge, 3) AS forecast,
-      round_even(forecasted_discharge - 5, 3) AS fc_lower, round_even(forecasted_discharge + 5, 3) AS fc_upper
+    """SELECT f.code, f.code || ' - ' || name AS label, basin, model_short AS model, round_even(round(forecasted_discharge, 9), 3) AS forecast,
+      round_even(round(forecasted_discharge - 5, 9), 3) AS fc_lower, round_even(round(forecasted_discharge + 5, 9), 3) AS fc_upper
     FROM forecasts AS f JOIN registry AS r ON f.code = r.code WHERE date = (SELECT max(date) FROM forecasts)""",
     "forecast:r6 fc_lower:r6 fc_upper:r6",
 )
