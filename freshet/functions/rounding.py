@@ -22,8 +22,11 @@ def stable_round(value, decimals: int) -> Column:
 
     Partial aggregates add up in any order, so a result can miss a tie by a few ulps on
     one run and hit it on the next; rounding six digits further out first removes that.
+    The second step scales, rounds to even and scales back, the way numeric arrays are
+    rounded in the reference.
     """
-    return F.bround(F.round(_col(value), decimals + 6), decimals)
+    scale = F.lit(10.0**decimals)
+    return F.rint(F.round(_col(value), decimals + 6) * scale) / scale
 
 
 def _stepped(value: Column, steps, apply) -> Column:

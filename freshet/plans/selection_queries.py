@@ -456,7 +456,7 @@ def models_for(t):
 
 @query(
     "J24_site_statistics",
-    f"""SELECT s.code, round_even(round(mean, 9), 3) AS mean, n.norm, round_even(round(min, 9), 3) AS min, round_even(round(max, 9), 3) AS max, round_even(round(last_year, 9), 3) AS last_year, p.predictor
+    f"""SELECT s.code, round_even(round(mean, 9), 3) AS mean, round_even(round(n.norm, 9), 3) AS norm, round_even(round(min, 9), 3) AS min, round_even(round(max, 9), 3) AS max, round_even(round(last_year, 9), 3) AS last_year, p.predictor
     FROM ({STATS.format(series='series_pentad')}) AS s
       LEFT JOIN (SELECT code, arg_max(predictor, date) FILTER (WHERE predictor IS NOT NULL) AS predictor FROM series_pentad WHERE issue_date AND issue_period = 34 GROUP BY 1) AS p ON s.code = p.code
       LEFT JOIN ({NORM_ROWS}) AS n ON s.code = n.code AND s.target_period = n.target_period
