@@ -115,7 +115,7 @@ def predictor_from_readings(daily: DataFrame, morning: DataFrame, as_of, days: i
         F.count_if(inside).alias("_rows"),
         F.count(F.when(inside, value)).alias("_n"),
         F.sum(F.when(inside, value)).alias("_sum"),
-        F.max_by(value, "date").alias("_newest"),
+        F.max_by(value, F.when(value.isNotNull(), F.col("date"))).alias("_newest"),
     )
     first = morning.where(F.to_date("ts") == day).groupBy("code").agg(
         round_significant(F.max_by("value", "ts")).alias("_morning")

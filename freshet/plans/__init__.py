@@ -9,8 +9,8 @@ MODULES = (
     "selection_queries",
     "aggregate_queries",
     "merge_queries",
-    # "model_queries",
-    # "stream_queries",
+    "model_queries",
+    "stream_queries",
 )
 
 

@@ -216,7 +216,7 @@ def snow_norm(t):
 def ensemble_stats(t):
     """Every given line is one ensemble member of its gauge and day."""
     members = t.lineitem.select(
-        (F.floor(F.col("l_suppkey") / 10) + 10000).cast("string").alias("code"),
+        (F.expr("l_suppkey div 10") + 10000).cast("string").alias("code"),
         F.to_date("l_shipdate").alias("date"),
         F.col("l_quantity").alias("value"),
     )

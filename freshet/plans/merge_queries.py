@@ -62,7 +62,7 @@ def reanalysis_and_control(t):
     """SELECT code, date, discharge FROM daily UNION ALL SELECT DISTINCT CAST(90000 + c_custkey // 150 AS VARCHAR), (SELECT min(date) FROM daily), CAST(NULL AS DOUBLE) FROM customer""",
 )
 def add_missing_hydroposts(t):
-    sites = t.customer.select((F.floor(F.col("c_custkey") / 150) + 90000).cast("string").alias("code"))
+    sites = t.customer.select((F.expr("c_custkey div 150") + 90000).cast("string").alias("code"))
     return merge.add_missing_sites(t.daily, sites.unionByName(t.daily.select("code")))
 
 

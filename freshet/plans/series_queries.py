@@ -260,7 +260,7 @@ def lag_features(t):
 )
 def dedupe_keep_last(t):
     rows = t.events.select(
-        (F.floor(F.col("user_id") / 15) + 10000).cast("string").alias("code"),
+        (F.expr("user_id div 15") + 10000).cast("string").alias("code"),
         F.to_date("ts").alias("date"),
         "event_id",
         "value",

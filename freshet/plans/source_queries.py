@@ -49,7 +49,7 @@ def _payload(t):
         F.struct(F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("timestamp_local")),
     )
     data = F.array(F.struct(F.lit("WDDA").alias("variable_code"), F.lit("m3/s").alias("unit"), values.alias("values")))
-    code = (F.floor(F.col("user_id") / 15) + 10000).cast("string")
+    code = (F.expr("user_id div 15") + 10000).cast("string")
     site = F.struct(
         code.alias("station_code"),
         F.col("event_id").alias("station_id"),

@@ -21,7 +21,7 @@ from ..sources.readers import table, with_target_period
 
 
 def gauge(key: str, share: int) -> Column:
-    return (F.floor(F.col(key) / share) + 10000).cast("string")
+    return (F.expr(f"{key} div {share}") + 10000).cast("string")
 
 
 def cents(c: str) -> Column:

@@ -48,10 +48,11 @@ def run_available(stream: DataFrame, mode: str, base: str | None = None, write=N
     return out
 
 
-def latest_batches(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """Update-mode output reduced to the newest row per key."""
+def latest_batches(spark: SparkSession, out: str, keys: list[str], arrival: str | None = None) -> DataFrame:
+    """Stored batches reduced to the newest row per key: later batch first, then arrival."""
     rows = spark.read.option("basePath", out).parquet(out)
-    return dedupe(rows, keys, F.col("batch")).drop("batch")
+    order = F.struct("batch", arrival) if arrival else F.col("batch")
+    return dedupe(rows, keys, order).drop("batch")
 
 
 def stream_daily_mean(readings: DataFrame, lateness: str = "2 days") -> DataFrame:
@@ -84,7 +85,7 @@ def stream_silence(readings: DataFrame, gap: str = "1 day", lateness: str = "1 d
     )
 
 
-def upsert_batches(base: str, keys: list[str], max_late_days: int | None = None):
+def upsert_batches(base: str, max_late_days: int | None = None):
     """A ``write`` step for ``run_available`` that rejects too-late corrections.
 
     A row older than the newest date stored by earlier batches minus ``max_late_days`` is
