@@ -19,6 +19,8 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 REGRESSORS = {
     "linear": LinearRegression,
     "random_forest": RandomForestRegressor,
@@ -118,9 +120,10 @@ def _years(df: DataFrame) -> list[int]:
 def leave_one_year_out(df: DataFrame, features: list[str], target: str, kind: str = "random_forest", params: dict | None = None, cascade: bool = False) -> DataFrame:
     """Each year predicted by a model fitted on the others.
 
+    The input is read once per year, so it is written to the shared folder first.
     ``cascade``: a ridge model first, then ``kind`` on its residuals.
     """
-    rows = df.dropna(subset=[target, *features])
+    rows = cut_lineage(df.select("code", "date", target, *features).dropna(subset=[target, *features]))
     parts = []
     for year in _years(rows):
         train, test = rows.where(F.year("date") != year), rows.where(F.year("date") == year)
@@ -154,7 +157,8 @@ def year_split(df: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFrame]
 
 def search_parameters(df: DataFrame, features: list[str], target: str, kind: str = "random_forest", grid: dict[str, list] | None = None, share: float = 0.8) -> DataFrame:
     """Validation RMSE of every parameter combination, best first."""
-    train, valid = year_split(df.dropna(subset=[target, *features]), share)
+    rows = cut_lineage(df.select("date", target, *features).dropna(subset=[target, *features]))
+    train, valid = year_split(rows, share)
     pipeline = _pipeline(kind, features, target, None)
     model = pipeline.getStages()[-1]
     builder = ParamGridBuilder()

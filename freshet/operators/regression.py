@@ -66,8 +66,11 @@ def hindcast_regression(df: DataFrame, period: str = "issue_period", parity: boo
     """R2: every issue date predicted from the dates before it, in one window pass.
 
     The default leaves the predicted row out of its own fit; ``parity`` includes it, as
-    the reference's hindcast does.  Window groups hold one row per year.
+    the reference's hindcast does.  Only issue dates are predicted; window groups hold
+    one row per year.
     """
+    if "issue_date" in df.columns:
+        df = df.where("issue_date")
     usable = _complete([c for c in df.columns if c not in ("code", period)])
     x = F.when(usable, F.col("predictor"))
     y = F.when(usable, F.col("discharge_avg"))

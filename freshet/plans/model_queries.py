@@ -42,7 +42,7 @@ def _hindcast(h, upto):
     over = f" OVER (PARTITION BY code, issue_period ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND {upto})"
     x, y = (f"CASE WHEN {KNOWN} THEN {c} END" for c in ("predictor", "discharge_avg"))
     return f"""SELECT code, date, issue_period, slope, intercept, rsquared, q_mean, q_std_sigma, delta, slope * predictor + intercept AS forecasted_discharge
-      FROM (SELECT code, date, issue_period, predictor, {columns(fit(f'({y})', f'({x})', over))} FROM series_{h}) AS f"""
+      FROM (SELECT code, date, issue_period, predictor, {columns(fit(f'({y})', f'({x})', over))} FROM series_{h} WHERE issue_date) AS f"""
 
 
 HIND_SHAPE = "slope:r4 intercept:r4 rsquared:r5 q_mean:r6 q_std_sigma:r5 delta:r5 forecasted_discharge:r4"
