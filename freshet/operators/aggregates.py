@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions.rounding import stable_round
 from .merge import dedupe
-from .quantiles import exact_quantiles
+from .quantiles import GROUP_LIMIT, exact_quantiles, largest_group
 
 # Quantile levels of probabilistic forecasts, Q5..Q95 in steps of 5.
 FORECAST_QUANTILES = {f"Q{p}": p / 100 for p in range(5, 100, 5)}
@@ -84,8 +84,8 @@ def virtual_station(df: DataFrame, rules: DataFrame, extra: tuple[str, ...] = ()
     an existing own record keeps everything before its last date.
     """
     keys = ["virtual_code", "date", *extra]
-    needed = rules.groupBy("virtual_code").agg(F.count(F.lit(1)).alias("_needed"))
-    parts = df.join(rules, "code").join(needed, "virtual_code")
+    needed = F.count(F.lit(1)).over(Window.partitionBy("virtual_code"))
+    parts = df.join(rules.withColumn("_needed", needed), "code")
     total = parts.groupBy(*keys).agg(
         F.sum(F.col("weight") * F.col("discharge")).alias("_sum"),
         F.count("discharge").alias("_have"),
@@ -162,11 +162,17 @@ def snow_norm(df: DataFrame, as_of_year: int, value: str = "value", keys=("code"
     )
 
 
-def ensemble_stats(df: DataFrame, value: str = "value", keys=("code", "date")) -> DataFrame:
-    """Spread and Q5..Q95 over ensemble members, for any number of members."""
+def ensemble_stats(df: DataFrame, value: str = "value", keys=("code", "date"), limit: int = GROUP_LIMIT) -> DataFrame:
+    """Spread and Q5..Q95 over ensemble members, for any number of members.
+
+    Groups within ``limit`` take one aggregation; larger ones are ranked over many tasks.
+    """
     keys = list(keys)
-    sd = df.groupBy(*keys).agg(F.stddev_samp(value).alias("sd"))
-    return sd.join(exact_quantiles(df, keys, value, FORECAST_QUANTILES), keys)
+    sd = F.stddev_samp(value).alias("sd")
+    if largest_group(df, keys) <= limit:
+        return df.groupBy(*keys).agg(sd, *quantile_columns(value, FORECAST_QUANTILES))
+    ranked = exact_quantiles(df, keys, value, FORECAST_QUANTILES)
+    return df.groupBy(*keys).agg(sd).join(ranked, keys, "left")
 
 
 def daily_to_period(df: DataFrame, horizon, value: str = "Q50") -> DataFrame:
@@ -320,8 +326,6 @@ def basin_scaler(train: DataFrame, target: DataFrame, columns: list[str], per_ba
 
 def elevation_bands(bands: DataFrame, n: int = 3) -> DataFrame:
     """Assign each elevation band (code, band, area) to one of ``n`` area percentiles."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("code").orderBy("band")
     total = F.sum("area").over(Window.partitionBy("code"))
     share = F.sum("area").over(w.rowsBetween(Window.unboundedPreceding, 0)) / total

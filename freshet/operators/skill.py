@@ -64,6 +64,13 @@ def pair_with_observations(simulated: DataFrame, observed: DataFrame) -> DataFra
     return simulated.join(observed.select("code", "date", "discharge_avg", "delta"), ["code", "date"])
 
 
+def scored_pairs(simulated: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
+    """J1 for scoring: rows without a complete group key belong to no group."""
+    for key in keys:
+        simulated = simulated.where(F.col(key).isNotNull())
+    return pair_with_observations(simulated, observed)
+
+
 def skilled_only(skill: DataFrame, thresholds: dict | None = None) -> DataFrame:
     """F6."""
     limits = {**THRESHOLDS, **(thresholds or {})}
@@ -86,8 +93,12 @@ def ensemble_candidates(pairs: DataFrame, skilled: DataFrame, keys: list[str], p
     return pairs
 
 
-def skilled_ensemble(candidates: DataFrame, horizon) -> DataFrame:
-    """Mean of the skilled models per (date, code), labelled with their names."""
+def skilled_ensemble(candidates: DataFrame, horizon, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Mean of the skilled models per (date, code), labelled with their names.
+
+    ``carry`` keeps columns that depend on (date, code) only, such as the observation, so
+    the ensemble can be scored without joining it again.
+    """
     h = cal.horizon_of(horizon)
     rows = candidates.where(F.col("forecasted_discharge").isNotNull() & (F.col("model_short") != "NE"))
     names = F.array_join(F.array_sort(F.collect_set(bracketed("model_long"))), ", ")
@@ -97,6 +108,7 @@ def skilled_ensemble(candidates: DataFrame, horizon) -> DataFrame:
             F.min(h.in_year).alias(h.in_year),
             F.avg("forecasted_discharge").alias("forecasted_discharge"),
             names.alias("_names"),
+            *[F.max(c).alias(c) for c in carry],
         )
         .where(~F.col("_names").isin("", "LR"))
         .select(
@@ -106,6 +118,7 @@ def skilled_ensemble(candidates: DataFrame, horizon) -> DataFrame:
             "forecasted_discharge",
             F.concat(F.lit("Ens. Mean with "), F.col("_names"), F.lit(" (EM)")).alias("model_long"),
             F.lit("EM").alias("model_short"),
+            *carry,
         )
     )
 
@@ -120,14 +133,14 @@ def skill_metrics(observed: DataFrame, simulated: DataFrame, horizon, since: int
     keys = [h.in_year, "code", "model_long", "model_short"]
     require_columns(simulated, "date", "forecasted_discharge", *keys)
     observed, recent = since_year(observed, since), since_year(simulated, since)
-    pairs = pair_with_observations(recent, observed)
+    pairs = scored_pairs(recent, observed, keys)
     skill = score(pairs, keys)
     candidates = ensemble_candidates(pairs, skilled_only(skill, thresholds), keys, parity)
     models = recent.select("model_long").distinct().agg(F.count(F.lit(1)).alias("n"))
-    ensemble = skilled_ensemble(candidates, h).where(models.scalar() > 1)
+    ensemble = skilled_ensemble(candidates, h, ("discharge_avg", "delta")).where(models.scalar() > 1)
+    scored = score(ensemble, keys)
     ensemble = ensemble.withColumn(h.in_month, cal.period_in_month(F.date_add("date", 1), h))
-    scored = score(pair_with_observations(ensemble, observed), keys)
-    return skill.unionByName(scored), append_ensemble(recent, ensemble)
+    return skill.unionByName(scored), append_ensemble(recent, ensemble.drop("discharge_avg", "delta"))
 
 
 def append_ensemble(forecasts: DataFrame, ensemble: DataFrame) -> DataFrame:

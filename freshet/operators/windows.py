@@ -21,7 +21,15 @@ KEYS = ("code",)
 
 
 def with_day(df: DataFrame, date: str = "date") -> DataFrame:
-    return df.withColumn("_day", F.unix_date(F.col(date)))
+    """Add the integer day all windows are ordered by, unless a caller already did.
+
+    Keeping one ``_day`` column through a chain lets Spark keep one sort for it.
+    """
+    return df if "_day" in df.columns else df.withColumn("_day", F.unix_date(F.col(date)))
+
+
+def without_day(df: DataFrame, source: DataFrame) -> DataFrame:
+    return df if "_day" in source.columns else df.drop("_day")
 
 
 def by_day(keys=KEYS):
@@ -55,7 +63,7 @@ def three_day_sum(df: DataFrame, value: str = "discharge", out: str = "discharge
     """Sum over the day and the two days before, on issue dates only."""
     require_columns(df, "code", "date", "issue_date", value)
     total = F.sum(value).over(by_day().rangeBetween(-2, 0))
-    return with_day(df).withColumn(out, F.when(F.col("issue_date"), total)).drop("_day")
+    return without_day(with_day(df).withColumn(out, F.when(F.col("issue_date"), total)), df)
 
 
 # Length of the month's last period by month length, per horizon.
@@ -74,6 +82,7 @@ def next_period_avg(df: DataFrame, horizon, value: str = "discharge", out: str =
     """
     h = cal.horizon_of(horizon)
     require_columns(df, "code", "date", "issue_date", value)
+    source = df
     df = with_day(df).withColumn("_next", F.lead(value).over(by_day()))
     before_last = F.dayofmonth("date") == (h.per_month - 1) * h.days
     length = F.dayofmonth(F.last_day("date"))
@@ -85,14 +94,14 @@ def next_period_avg(df: DataFrame, horizon, value: str = "discharge", out: str =
     for month_days, days in LAST_PERIOD_DAYS[h.name].items():
         if days != h.days:
             picked = picked.when(before_last & (length == month_days), mean_of(days))
-    return df.withColumn(out, picked.otherwise(mean_of(h.days))).drop("_next", "_day")
+    return without_day(df.withColumn(out, picked.otherwise(mean_of(h.days))).drop("_next"), source)
 
 
 def previous_issue_value(df: DataFrame, value: str = "discharge_avg", out: str = "predictor") -> DataFrame:
     """Value of the issue date before, null values included."""
     earlier = by_day().rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("issue_date"), F.struct(value)), ignorenulls=True).over(earlier)
-    return with_day(df).withColumn(out, F.when(F.col("issue_date"), last[value])).drop("_day")
+    return without_day(with_day(df).withColumn(out, F.when(F.col("issue_date"), last[value])), df)
 
 
 def interpolate(
@@ -108,33 +117,36 @@ def interpolate(
 
     Forward mode fills from the left edge of a gap and carries the last value past the
     end; ``both`` also fills from the right edge and extends the start.  Distances are
-    rows, or days with ``by_time``.
+    rows, or days with ``by_time``.  The backward sort comes first, so later forward
+    windows of a chain keep the order this one leaves.
     """
-    w = by_day(keys)
-    df = with_day(df, date).withColumn("_row", F.row_number().over(w))
-    x = F.col("_day") if by_time else F.col("_row")
-    known = F.when(
-        F.col(value).isNotNull(),
-        F.struct(x.cast("double").alias("x"), F.col("_row").alias("row"), F.col(value).alias("v")),
-    )
-    df = df.withColumn(
-        "_prev", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn(
-        "_foll", F.last(known, ignorenulls=True).over(from_end(keys))
-    )
+    source, day = df, F.col("_day").cast("double")
+    backward = Window.partitionBy(*keys).orderBy(F.col("_day").desc())
+
+    def known(position: str) -> Column:
+        row = F.struct(day.alias("x"), F.col(position).alias("row"), F.col(value).alias("v"))
+        return F.when(F.col(value).isNotNull(), row)
+
+    df = with_day(df, date).withColumn("_back", F.row_number().over(backward))
+    df = df.withColumn("_foll", F.last(known("_back"), ignorenulls=True).over(from_end(keys)))
+    df = df.withColumn("_row", F.row_number().over(by_day(keys)))
+    seen = by_day(keys).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_prev", F.last(known("_row"), ignorenulls=True).over(seen))
     prev, foll = F.col("_prev"), F.col("_foll")
-    slope = (foll["v"] - prev["v"]) / (foll["x"] - prev["x"])
-    inner = prev["v"] + slope * (x - prev["x"])
+    behind, ahead = F.col("_row") - prev["row"], F.col("_back") - foll["row"]
+    if by_time:
+        inner = prev["v"] + (foll["v"] - prev["v"]) / (foll["x"] - prev["x"]) * (day - prev["x"])
+    else:
+        inner = prev["v"] + (foll["v"] - prev["v"]) / (behind + ahead) * behind
     reach = F.lit(True)
     if limit is not None:
-        reach = F.coalesce(F.col("_row") - prev["row"] <= limit, F.lit(False))
+        reach = F.coalesce(behind <= limit, F.lit(False))
         if both:
-            reach = reach | F.coalesce(foll["row"] - F.col("_row") <= limit, F.lit(False))
+            reach = reach | F.coalesce(ahead <= limit, F.lit(False))
     ends = prev["v"] if not both else F.coalesce(prev["v"], foll["v"])
     filled = F.when(prev.isNotNull() & foll.isNotNull(), inner).otherwise(ends)
-    return df.withColumn(
-        value, F.when(F.col(value).isNotNull(), F.col(value)).when(reach, filled)
-    ).drop("_day", "_row", "_prev", "_foll")
+    df = df.withColumn(value, F.when(F.col(value).isNotNull(), F.col(value)).when(reach, filled))
+    return without_day(df.drop("_row", "_back", "_prev", "_foll"), source)
 
 
 def prepare_series(df: DataFrame, horizon) -> DataFrame:
@@ -145,7 +157,7 @@ def prepare_series(df: DataFrame, horizon) -> DataFrame:
     """
     h = cal.horizon_of(horizon)
     require_columns(df, "code", "date", "discharge")
-    df = df.withColumn("discharge", non_negative("discharge"))
+    df = with_day(df).withColumn("discharge", non_negative("discharge"))
     df = interpolate(df, "discharge", limit=3, both=True)
     df = df.withColumn("discharge", round_significant("discharge"))
     df = add_issue_date(df, h)
@@ -158,21 +170,33 @@ def prepare_series(df: DataFrame, horizon) -> DataFrame:
             "issue_period": cal.period_in_year("date", h),
             "target_period": cal.period_in_year(F.date_add("date", 1), h),
         }
-    )
+    ).drop("_day")
 
 
 def daily_reindex(df: DataFrame, keys=KEYS, date: str = "date") -> DataFrame:
-    """A row for every day between a station's first and last one."""
-    spans = df.groupBy(*keys).agg(F.min(date).alias("_a"), F.max(date).alias("_b"))
-    days = spans.select(*keys, F.explode(F.sequence("_a", "_b")).alias(date))
-    return days.join(df, [*keys, date], "left")
+    """A row for every day between a station's first and last one.
+
+    Each row explodes into the days up to the next row, so the record is neither scanned
+    nor joined a second time and stays partitioned by station.
+    """
+    others = [c for c in df.columns if c not in (*keys, date)]
+    following = F.lead(date).over(by_day(keys))
+    last = F.greatest(F.date_sub(following, 1), F.col(date))
+    rows = without_day(with_day(df.where(F.col(date).isNotNull()), date).withColumn("_until", last), df)
+    days = rows.select(
+        *keys, F.col(date).alias("_own"), *others, F.explode(F.sequence(date, "_until")).alias(date)
+    )
+    return days.select(
+        *keys, date, *[F.when(F.col(date) == F.col("_own"), F.col(c)).alias(c) for c in others]
+    )
 
 
 def change_filter(df: DataFrame, value: str = "discharge", ratio: float = 3.0, keys=KEYS) -> DataFrame:
     """Drop jumps of more than ``ratio`` times the previous value."""
     prev = F.lag(value).over(by_day(keys))
     jump = F.abs(F.col(value) - prev) > ratio * F.abs(prev)
-    return with_day(df).withColumn(value, F.when(~F.coalesce(jump, F.lit(False)), F.col(value))).drop("_day")
+    kept = F.when(~F.coalesce(jump, F.lit(False)), F.col(value))
+    return without_day(with_day(df).withColumn(value, kept), df)
 
 
 def season(date) -> Column:
@@ -182,14 +206,18 @@ def season(date) -> Column:
 
 
 def _iqr_filter(df, keys, value, below, above, min_rows) -> DataFrame:
-    bounds = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"),
-    )
+    """Quartiles over a station's season or variable - a group the calendar bounds - as a
+    window: with the input partitioned by station already, no exchange or join is added."""
+    group = Window.partitionBy(*keys)
+    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
+    df = df.withColumn("_q", quartiles.over(group))
     low = F.col("_q")[0] - below * (F.col("_q")[1] - F.col("_q")[0])
     high = F.col("_q")[1] + above * (F.col("_q")[1] - F.col("_q")[0])
-    keep = (F.col("_n") <= min_rows) | F.col(value).between(low, high)
-    return df.join(bounds, list(keys)).withColumn(value, F.when(keep, F.col(value))).drop("_n", "_q")
+    keep = F.col(value).between(low, high)
+    if min_rows:
+        df = df.withColumn("_n", F.count(F.lit(1)).over(group))
+        keep = (F.col("_n") <= min_rows) | keep
+    return df.withColumn(value, F.when(keep, F.col(value))).drop("_n", "_q")
 
 
 def seasonal_iqr_filter(df: DataFrame, value: str = "discharge", date: str = "date") -> DataFrame:
@@ -202,11 +230,11 @@ def rough_outlier_filter(df: DataFrame, value: str = "discharge", order: str | N
     """Seasonal filter, keep-first per day, daily calendar, short-gap fill, jump filter, fill."""
     from .merge import dedupe
 
-    df = seasonal_iqr_filter(df, value)
+    df = seasonal_iqr_filter(df.repartition("code"), value)  # one exchange for the whole chain
     if order:
         df = dedupe(df, ["code", "date"], F.col(order), keep="first").drop(order)
-    df = interpolate(daily_reindex(df), value, limit=2, by_time=True)
-    return interpolate(change_filter(df, value), value, limit=2, by_time=True)
+    df = interpolate(with_day(daily_reindex(df)), value, limit=2, by_time=True)
+    return interpolate(change_filter(df, value), value, limit=2, by_time=True).drop("_day")
 
 
 def station_iqr_filter(df: DataFrame, value: str = "value", order: str | None = None) -> DataFrame:
@@ -214,7 +242,7 @@ def station_iqr_filter(df: DataFrame, value: str = "value", order: str | None =
     from .merge import dedupe
 
     keys = ("code", "variable")
-    df = _iqr_filter(df.dropna(subset=list(keys)), keys, value, 1.5, 1.5, -1)
+    df = _iqr_filter(df.dropna(subset=list(keys)), keys, value, 1.5, 1.5, 0)
     df = interpolate(df, value, limit=2, by_time=True, keys=keys)
     return dedupe(df, [*keys, "date"], F.col(order)).drop(order) if order else df
 

@@ -141,8 +141,9 @@ def neural_ensemble(t):
 
 @query("A12_skilled_ensemble", EM, "forecasted_discharge:r5")
 def skilled_ensemble(t):
-    pairs = skill.pair_with_observations(t.forecasts, t.observed)
-    chosen = skill.ensemble_candidates(pairs, skill.skilled_only(_skill(t), THRESHOLDS), SKILL_KEYS)
+    pairs = skill.scored_pairs(t.forecasts, t.observed, SKILL_KEYS)
+    skilled = skill.skilled_only(skill.score(pairs, SKILL_KEYS), THRESHOLDS)
+    chosen = skill.ensemble_candidates(pairs, skilled, SKILL_KEYS)
     return skill.skilled_ensemble(chosen, "pentad")
 
 
@@ -206,21 +207,32 @@ def snow_norm(t):
     return aggregates.snow_norm(t.snow, 2000)
 
 
-@query(
-    "A20_ensemble_stats",
+A20 = (
     "SELECT code, date, stddev_samp(l_quantity) AS sd, "
     + ", ".join(f"quantile_cont(l_quantity, {p / 100}) AS Q{p}" for p in range(5, 100, 5))
-    + " FROM (SELECT CAST(10000 + l_suppkey // 10 AS VARCHAR) AS code, CAST(l_shipdate AS DATE) AS date, l_quantity FROM lineitem) AS m GROUP BY 1, 2",
-    "sd:r6 " + " ".join(f"Q{p}:r6" for p in range(5, 100, 5)),
+    + " FROM (SELECT CAST(10000 + l_suppkey // 10 AS VARCHAR) AS code, CAST(l_shipdate AS DATE) AS date, l_quantity FROM lineitem) AS m GROUP BY 1, 2"
 )
-def ensemble_stats(t):
+A20_SHAPE = "sd:r6 " + " ".join(f"Q{p}:r6" for p in range(5, 100, 5))
+
+
+def _members(t):
     """Every given line is one ensemble member of its gauge and day."""
-    members = t.lineitem.select(
-        (F.expr("l_suppkey div 10") + 10000).cast("string").alias("code"),
+    return t.lineitem.select(
+        F.expr("cast((l_suppkey div 10) + 10000 as string)").alias("code"),
         F.to_date("l_shipdate").alias("date"),
         F.col("l_quantity").alias("value"),
     )
-    return aggregates.ensemble_stats(members)
+
+
+@query("A20_ensemble_stats", A20, A20_SHAPE)
+def ensemble_stats(t):
+    return aggregates.ensemble_stats(_members(t))
+
+
+@query("A20_ensemble_stats_ranked", A20, A20_SHAPE)
+def ensemble_stats_ranked(t):
+    """The path for groups of any size."""
+    return aggregates.ensemble_stats(_members(t), limit=0)
 
 
 for _h in ("pentad", "decad"):
