@@ -161,7 +161,7 @@ def pca_groups(t):
     return rows.select("code", "date", *[F.round(F.abs(c), 6).alias(c) for c in rows.columns if "_pc" in c])
 
 
-@query("R9_select_k_best")
+@query("R9_select_k_best", "SELECT x.code, x.date, discharge AS target, P AS P_1, P * P AS P_2 FROM daily AS x JOIN forcing AS f ON x.code = f.code AND x.date = f.date", "P_1:r6 P_2:r6")
 def select_k_best(t):
     rows = _targets(t)
     return rows.select("code", "date", "target", *features.select_k_best(rows, FEATURES, "target", 2))
@@ -262,3 +262,61 @@ def _climatology_model(pdf: pd.DataFrame) -> pd.DataFrame:
 )
 def user_model_hook(t):
     return models.apply_model(t.daily, _climatology_model, "code string, date date, Q5 double, Q50 double, Q95 double")
+
+
+X_SQL = """(SELECT d.code, d.date, discharge AS target, P AS P_1, P * P AS P_2, T AS T_1, T * T AS T_2 FROM daily AS d JOIN forcing AS f ON d.code = f.code AND d.date = f.date) AS x"""
+SAME_DAY = f"(SELECT * FROM {X_SQL} WHERE month(date) = 6 AND day(date) = 15 AND date <= DATE '{AS_OF}') AS y"
+PAST = f"(SELECT * FROM {SAME_DAY} WHERE date < DATE '{AS_OF}') AS z"
+ONE_FIT = " UNION ALL ".join(
+    f"""SELECT code, '{f}' AS feature, abs(corr({f}, target)) AS c, count(*) AS n, regr_slope(target, {f}) AS b, regr_intercept(target, {f}) AS a, regr_r2(target, {f}) AS r,
+      (SELECT max(k.{f}) FROM {SAME_DAY.replace(' AS y', ' AS k')} WHERE k.code = z.code AND k.date = DATE '{AS_OF}') AS v FROM {PAST} GROUP BY code"""
+    for f in FEATURES
+)
+
+
+@query(
+    "R5_monthly_regression_one_feature",
+    f"""SELECT code, arg_max(feature, c) AS features, arg_max(CASE WHEN n >= 2 AND v IS NOT NULL THEN greatest(a + b * v, 0) END, c) AS Q,
+      arg_max(CASE WHEN n >= 2 AND v IS NOT NULL THEN r END, c) AS r2 FROM ({ONE_FIT}) AS o WHERE isfinite(c) AND v IS NOT NULL GROUP BY 1""",
+    "Q:r2 r2:r6",
+)
+def monthly_regression_one(t):
+    rows = models.monthly_regression(_targets(t), FEATURES, AS_OF, num_features=1)
+    return rows.where(F.col("Q").isNotNull())
+
+
+LOYO = f"""SELECT x.code, x.date, target, P_1 * s.b + s.a AS prediction FROM {X_SQL} JOIN (
+    SELECT y.y AS y, regr_slope(target, P_1) AS b, regr_intercept(target, P_1) AS a FROM {X_SQL.replace(') AS x', ') AS t')} JOIN (SELECT DISTINCT year(date) AS y FROM daily) AS y ON year(t.date) <> y.y GROUP BY 1) AS s
+  ON year(x.date) = s.y"""
+
+
+@query("R10_leave_one_year_out_one_feature", LOYO, "target:r6 prediction:r5")
+def leave_one_year_out_one(t):
+    return models.leave_one_year_out(_targets(t), ["P_1"], "target", "linear")
+
+
+@query(
+    "R11_fit_on_all_linear",
+    f"SELECT code, date, target, P_1 * (SELECT regr_slope(target, P_1) FROM {X_SQL}) + (SELECT regr_intercept(target, P_1) FROM {X_SQL}) AS prediction FROM {X_SQL.replace(') AS x', ') AS q')}",
+    "target:r6 prediction:r5",
+)
+def fit_on_all_linear(t):
+    rows = _targets(t)
+    return models.fit_on_all(rows, ["P_1"], "target", "linear").transform(rows).select("code", "date", "target", "prediction")
+
+
+def _first_component(a, b):
+    """First principal axis of two columns in closed form."""
+    lead = "(va + vb) / 2 + sqrt(((va - vb) / 2) * ((va - vb) / 2) + cab * cab)"
+    return f"""SELECT cab / sqrt(cab * cab + (l - va) * (l - va)) AS wa, (l - va) / sqrt(cab * cab + (l - va) * (l - va)) AS wb FROM (
+      SELECT *, {lead} AS l FROM (SELECT var_samp({a}) AS va, var_samp({b}) AS vb, covar_samp({a}, {b}) AS cab FROM {X_SQL}) AS c) AS e"""
+
+
+@query(
+    "R8_pca_first_components",
+    f"SELECT code, date, abs(P_1 * p.wa + P_2 * p.wb) AS P_pc1, abs(T_1 * t.wa + T_2 * t.wb) AS T_pc1 FROM {X_SQL} CROSS JOIN ({_first_component('P_1', 'P_2')}) AS p CROSS JOIN ({_first_component('T_1', 'T_2')}) AS t",
+    "P_pc1:r5 T_pc1:r5",
+)
+def pca_first_components(t):
+    rows = features.pca_groups(_features(t), {"P": ["P_1", "P_2"], "T": ["T_1", "T_2"]})
+    return rows.select("code", "date", F.abs("P_pc1").alias("P_pc1"), F.abs("T_pc1").alias("T_pc1"))
