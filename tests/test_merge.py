@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from freshet.operators import aggregates, merge
 from freshet.operators.quantiles import exact_quantiles
-from freshet.session import shared_folder
 from freshet.sources import readers, writers
 
 SCHEMA = "code string, date date, discharge double"
@@ -60,8 +59,8 @@ def test_rules_come_from_nested_configuration(frame):
     assert sorted((r.virtual_code, r.code, r.weight, r.position) for r in out) == [("v", "1", 1.0, 0), ("v", "2", 0.5, 1)]
 
 
-def test_publication_switches_and_never_overwrites_its_source(spark, frame):
-    base = f"{shared_folder(spark)}/publish-test"
+def test_publication_switches_and_never_overwrites_its_source(spark, frame, folder):
+    base = folder
     assert writers.published(spark, base) is None
     first = writers.publish(frame([("A", D(2024, 1, 1), 1.0)], SCHEMA), base)
     current = writers.published(spark, base)
@@ -70,7 +69,7 @@ def test_publication_switches_and_never_overwrites_its_source(spark, frame):
     assert rows(spark.read.parquet(first)) == [("A", D(2024, 1, 1), 1.0)]
 
 
-def test_quantiles_of_a_hot_group_are_exact(spark):
+def test_quantiles_of_a_hot_group_are_exact(spark, folder):
     """One key holds most rows and many equal values."""
     import numpy as np
 
@@ -79,8 +78,8 @@ def test_quantiles_of_a_hot_group_are_exact(spark):
         F.when(F.col("id") % 10 < 8, "hot").otherwise((F.col("id") % 7).cast("string")).alias("code"),
         F.round(F.pow(F.rand(3) * 10, 2), 1).alias("value"),
     )
-    df.write.mode("overwrite").parquet(f"{shared_folder(spark)}/hot")
-    df = spark.read.parquet(f"{shared_folder(spark)}/hot")
+    df.write.parquet(folder)
+    df = spark.read.parquet(folder)
     probs = {"q05": 0.05, "q50": 0.5, "q95": 0.95, "q100": 1.0}
     got = {r.code: r for r in exact_quantiles(df, ["code"], "value", probs).collect()}
     for code, group in df.toPandas().groupby("code"):
