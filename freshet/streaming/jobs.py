@@ -88,17 +88,24 @@ def stream_silence(readings: DataFrame, gap: str = "1 day", lateness: str = "1 d
 def upsert_batches(base: str, max_late_days: int | None = None):
     """A ``write`` step for ``run_available`` that rejects too-late corrections.
 
-    A row older than the newest date stored by earlier batches minus ``max_late_days`` is
-    kept out and counted in ``rejected``; the rest is keep-last on read.
+    A row older than the newest date of earlier batches minus ``max_late_days`` is kept
+    out and counted in ``rejected``; the rest is keep-last on read.  Each batch leaves its
+    newest date in a one-row file, so later batches never read the stored rows again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> DataFrame:
+        spark = batch.sparkSession
+        batch.agg(F.max("date").alias("newest")).write.mode("overwrite").parquet(
+            f"{base}/newest/batch={batch_id}"
+        )
         if max_late_days is None or batch_id == 0:
             return batch
-        stored = batch.sparkSession.read.option("basePath", f"{base}/data").parquet(f"{base}/data")
-        newest = stored.where(F.col("batch") < batch_id).agg(F.max("date").alias("d")).scalar()
-        late = F.col("date") < F.date_sub(newest, max_late_days)
-        batch.where(late).groupBy().count().write.mode("overwrite").parquet(f"{base}/rejected/batch={batch_id}")
-        return batch.where(~late | newest.isNull())
+        marks = spark.read.option("basePath", f"{base}/newest").parquet(f"{base}/newest")
+        newest = marks.where(F.col("batch") < batch_id).agg(F.max("newest").alias("d")).scalar()
+        late = F.coalesce(F.col("date") < F.date_sub(newest, max_late_days), F.lit(False))
+        batch.where(late).agg(F.count(F.lit(1)).alias("count")).write.mode("overwrite").parquet(
+            f"{base}/rejected/batch={batch_id}"
+        )
+        return batch.where(~late)
 
     return write
