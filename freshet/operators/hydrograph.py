@@ -27,19 +27,24 @@ def period_hydrograph(series: DataFrame, horizon, as_of_year: int, norms: DataFr
     (code, target period), in one group-by.
 
     Last and current year are conditional aggregates, so J4 needs no join; percentiles
-    see one value per year.
+    see one value per year.  The shown date is last year's issue date moved one year on
+    (D9); a period without a record last year gets its own issue date (D8).
     """
     h = cal.horizon_of(horizon)
     issued = series.where(F.col("issue_date"))
     value, year = F.col("discharge_avg"), F.year("date")
     past = F.when(year != as_of_year, value)
+    prior = year == as_of_year - 1
+    shown = cal.leap_clipped("date", F.lit(as_of_year))
     stats = issued.groupBy("code", F.col("target_period").alias(h.in_year)).agg(
         F.avg(past).alias("mean"),
         F.min(past).alias("min"),
         F.max(past).alias("max"),
         *quantile_columns(past, RUNOFF_QUANTILES),
-        F.max_by(value, F.when(year == as_of_year - 1, F.col("date"))).alias("last_year"),
+        F.max_by(value, F.when(prior, F.col("date"))).alias("last_year"),
         F.max_by(value, F.when(year == as_of_year, F.col("date"))).alias("current_year"),
+        F.add_months(F.max(F.when(prior, shown)), 12).alias("_date"),
+        F.max(F.when(prior, cal.aligned_day_of_year("date", F.lit(as_of_year)))).alias("_doy"),
         F.count_if(year != as_of_year).alias("_past_rows"),
     ).where(F.col("_past_rows") > 0).drop("_past_rows")
     if norms is not None:
@@ -50,11 +55,11 @@ def period_hydrograph(series: DataFrame, horizon, as_of_year: int, norms: DataFr
     issue = cal.issue_date_of_period(h.in_year, F.lit(as_of_year), h)
     return stats.withColumns({n: stable_round(n, 3) for n in numbers}).withColumns(
         {
-            "date": issue,
-            "day_of_year": F.dayofyear(issue),
+            "date": F.coalesce("_date", issue),
+            "day_of_year": F.coalesce("_doy", F.dayofyear(issue)),
             h.in_month: cal.period_in_month_of(h.in_year, h),
         }
-    )
+    ).drop("_date", "_doy")
 
 
 def align_years(df: DataFrame, as_of_year: int) -> DataFrame:

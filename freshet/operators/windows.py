@@ -434,11 +434,18 @@ def fill_from_previous_forecast(daily: DataFrame, forecasts: DataFrame, value: s
 
 def hindcast_start(last_dates: DataFrame, sites: DataFrame | None = None, default_start=None) -> DataFrame:
     """The second-earliest next date over all gauges, so one stale gauge cannot
-    pull the start back.  New gauges count with the default start.  The two smallest
-    values come from a distributed top-2, never from a global sort.
+    pull the start back.  New gauges together count once, with the default start, and
+    without a default give no date.  The two smallest values come from a distributed
+    top-2, never from a global sort.
     """
+    default = F.lit(default_start).cast("date")
     starts = last_dates.select(F.date_add("last_date", 1).alias("start"))
-    if sites is not None and default_start is not None:
-        new = sites.join(last_dates, "code", "left_anti").limit(2)
-        starts = starts.unionByName(new.select(F.lit(default_start).cast("date").alias("start")))
-    return starts.orderBy("start").limit(2).agg(F.max("start").alias("start_date"))
+    known = F.lit(True)
+    if sites is not None:
+        new = sites.select("code").join(last_dates, "code", "left_anti").limit(1)
+        if default_start is None:
+            known = new.agg(F.count(F.lit(1)).alias("n")).scalar() == 0
+        else:
+            starts = starts.unionByName(new.select(default.alias("start")))
+    second = starts.orderBy("start").limit(2).agg(F.max("start").alias("start_date"))
+    return second.select(F.when(known, F.coalesce("start_date", default)).alias("start_date"))

@@ -100,7 +100,7 @@ def _graph_sql(h, per_month, days, norm_join, norm):
     rounded = ", ".join(f"round_even(round({'n.norm' if c == 'norm' and norm else c}, 9), 3) AS {c}" for c in GRAPH if norm or c != "norm")
     none = "" if norm else ", CAST(NULL AS DOUBLE) AS norm"
     first = f"make_date(2000, (s.target_period - 1) // {per_month} + 1, (s.target_period - 1) % {per_month} * {days} + 1)"
-    return f"""SELECT s.code, s.target_period AS {h}_in_year, {rounded}{none}, CAST({first} - 1 AS DATE) AS date, dayofyear({first} - 1) AS day_of_year,
+    return f"""SELECT s.code, s.target_period AS {h}_in_year, {rounded}{none}, coalesce(s.last_date, CAST({first} - 1 AS DATE)) AS date, coalesce(s.last_doy, dayofyear({first} - 1)) AS day_of_year,
       (s.target_period - 1) % {per_month} + 1 AS {h}_in_month FROM ({STATS.format(series='series_' + h)}) AS s {norm_join}"""
 
 

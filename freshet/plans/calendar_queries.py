@@ -72,9 +72,9 @@ def _calendar(suffix: str, h: str) -> None:
 
     inner = "[5, 10, 15, 20, 25" if h == "pentad" else "[10, 20"
 
-    @query(f"D19_next_{h}_issue", _dated_sql(nxt=end, days=f"{inner}, CAST(day(last_day(d)) AS INTEGER)]"))
+    @query(f"D19_next_{h}_issue", _dated_sql(nxt=end, days=f"array_to_string({inner}, CAST(day(last_day(d)) AS INTEGER)], ',')"))
     def next_issue_date(t):
-        return _dated(t, nxt=cal.next_issue_date("d", h), days=cal.issue_days("d", h))
+        return _dated(t, nxt=cal.next_issue_date("d", h), days=F.array_join(cal.issue_days("d", h).cast("array<string>"), ","))
 
     back = "2" if h == "pentad" else "CASE WHEN day(d) > 20 THEN day(d) % 20 - 1 ELSE 9 END"
     last_start = (PER_MONTH[h] - 1) * DAYS[h] + 1

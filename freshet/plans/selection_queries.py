@@ -139,11 +139,12 @@ MODELS = ["ARIMA", "LR", "TFT", "TSMixer", "TiDE"]
 
 @query(
     "F18_missing_forecasts",
-    f"""SELECT code, list_sort(list(m)) AS models FROM (SELECT code, m FROM registry CROSS JOIN (SELECT unnest({MODELS}) AS m) AS all_models
+    f"""SELECT code, array_to_string(list_sort(list(m)), ',') AS models FROM (SELECT code, m FROM registry CROSS JOIN (SELECT unnest({MODELS}) AS m) AS all_models
       EXCEPT SELECT code, model_short FROM forecasts WHERE date = DATE '1998-05-31') AS absent GROUP BY 1""",
 )
 def missing_forecasts(t):
-    return filters.missing_forecasts(t.registry, t.forecasts, "1998-05-31", MODELS)
+    rows = filters.missing_forecasts(t.registry, t.forecasts, "1998-05-31", MODELS)
+    return rows.withColumn("models", F.array_join("models", ","))
 
 
 @query("J1_forecasts_with_observations", f"SELECT code, date, model_short, s AS forecasted_discharge, o AS discharge_avg, delta FROM ({PAIRS}) AS p", "forecasted_discharge:r5 discharge_avg:r5 delta:r5")
@@ -171,7 +172,8 @@ def forecasts_with_ensemble(t):
 
 STATS = """SELECT code, target_period, avg(q) FILTER (WHERE y <> 2000) AS mean, min(q) FILTER (WHERE y <> 2000) AS min, max(q) FILTER (WHERE y <> 2000) AS max,
     quantile_cont(CASE WHEN y <> 2000 THEN q END, 0.05) AS q05, quantile_cont(CASE WHEN y <> 2000 THEN q END, 0.25) AS q25, quantile_cont(CASE WHEN y <> 2000 THEN q END, 0.75) AS q75, quantile_cont(CASE WHEN y <> 2000 THEN q END, 0.95) AS q95,
-    arg_max(q, date) FILTER (WHERE y = 1999 AND q IS NOT NULL) AS last_year, arg_max(q, date) FILTER (WHERE y = 2000 AND q IS NOT NULL) AS current_year
+    arg_max(q, date) FILTER (WHERE y = 1999 AND q IS NOT NULL) AS last_year, arg_max(q, date) FILTER (WHERE y = 2000 AND q IS NOT NULL) AS current_year,
+    CAST(max(date) FILTER (WHERE y = 1999) + INTERVAL 1 YEAR AS DATE) AS last_date, max(dayofyear(date) + CASE WHEN month(date) > 2 THEN 1 ELSE 0 END) FILTER (WHERE y = 1999) AS last_doy
   FROM (SELECT code, date, target_period, year(date) AS y, discharge_avg AS q FROM {series} WHERE issue_date) AS s GROUP BY 1, 2 HAVING count(*) FILTER (WHERE y <> 2000) > 0"""
 
 
@@ -385,12 +387,12 @@ def this_year_last_year_norm(t):
     "J19_arima_climatology",
     """SELECT a.code, a.doy AS day_of_year, coalesce(m.q, CASE WHEN a.doy = 366 THEN b.q END) AS discharge_daily_mean
     FROM (SELECT code, CAST(unnest(generate_series(1, 366)) AS INTEGER) AS doy FROM daily GROUP BY code) AS a
-      LEFT JOIN (SELECT code, dayofyear(date) AS doy, avg(discharge) AS q FROM daily WHERE year(date) <> 1996 AND year(date) <> 2000 GROUP BY 1, 2) AS m ON a.code = m.code AND a.doy = m.doy
-      LEFT JOIN (SELECT code, avg(discharge) AS q FROM daily WHERE dayofyear(date) = 365 AND year(date) <> 1996 AND year(date) <> 2000 GROUP BY 1) AS b ON a.code = b.code""",
+      LEFT JOIN (SELECT code, dayofyear(date) AS doy, avg(discharge) AS q FROM daily GROUP BY 1, 2) AS m ON a.code = m.code AND a.doy = m.doy
+      LEFT JOIN (SELECT code, avg(discharge) AS q FROM daily WHERE dayofyear(date) = 365 GROUP BY 1) AS b ON a.code = b.code""",
     "discharge_daily_mean:r6",
 )
 def arima_climatology(t):
-    return joins.climatology_366(t.daily.where("year(date) not in (1996, 2000)"))
+    return joins.climatology_366(t.daily)
 
 
 CANDIDATE_SHAPE = "s:r5"

@@ -161,11 +161,11 @@ def detect_gaps(t):
       FROM (SELECT *, max(gap_end) OVER (ORDER BY gap_start, gap_end, code ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM gaps) AS g),
     islands AS (SELECT *, sum(opens) OVER (ORDER BY gap_start, gap_end, code) AS island FROM opened),
     sites AS (SELECT island, code, min(gap_start) AS a, max(gap_end) AS b, (dense_rank() OVER (PARTITION BY island ORDER BY code) - 1) // 30 AS batch FROM islands GROUP BY island, code)
-    SELECT island, batch, min(a) AS start_date, max(b) AS end_date, list_sort(list(code)) AS sites FROM sites GROUP BY island, batch""",
+    SELECT island, batch, min(a) AS start_date, max(b) AS end_date, array_to_string(list_sort(list(code)), ',') AS sites FROM sites GROUP BY island, batch""",
     "island:l batch:i",
 )
 def group_gaps(t):
-    return win.group_gaps(t.gaps)
+    return win.group_gaps(t.gaps).withColumn("sites", F.array_join("sites", ","))
 
 
 @query(
@@ -363,7 +363,7 @@ def trailing_nulls(t):
 @query(
     "W31_hindcast_start",
     """SELECT max(start) AS start_date FROM (SELECT start FROM (SELECT CAST(max(date) + 1 AS DATE) AS start FROM daily GROUP BY code
-      UNION ALL SELECT DATE '1999-01-01' FROM registry WHERE code NOT IN (SELECT code FROM daily)) AS s ORDER BY start LIMIT 2) AS two""",
+      UNION ALL SELECT DISTINCT DATE '1999-01-01' FROM registry WHERE code NOT IN (SELECT code FROM daily)) AS s ORDER BY start LIMIT 2) AS two""",
 )
 def hindcast_start(t):
     last = t.daily.groupBy("code").agg(F.max("date").alias("last_date"))

@@ -84,6 +84,14 @@ def test_period_hydrograph_excludes_the_current_year(frame):
     assert r.date == dt.date(2023, 1, 5) and r.pentad_in_month == 2 and r.day_of_year == 5
 
 
+def test_shown_date_is_last_years_moved_on(frame):
+    # 2024 is a leap year: period 13 was issued on 2023-02-28, period 14 on 2023-03-05
+    rows = [("A", d, True, p - 1, p, 1.0, 1.0) for d, p in (
+        (dt.date(2023, 2, 28), 13), (dt.date(2023, 3, 5), 14), (dt.date(2023, 12, 31), 1), (dt.date(2022, 1, 5), 2))]
+    out = {r.pentad_in_year: (r.date, r.day_of_year) for r in hydrograph.period_hydrograph(frame(rows, SCHEMA), "pentad", 2024).collect()}
+    assert out == {13: (dt.date(2024, 2, 28), 59), 14: (dt.date(2024, 3, 5), 65), 1: (dt.date(2024, 12, 31), 366), 2: (dt.date(2024, 1, 5), 5)}
+
+
 def test_norms_of_the_wrong_length_are_unknown(frame):
     norms = frame([("A", [1.0] * 71)], "code string, norms array<double>")
     assert hydrograph.explode_norms(norms, "pentad").count() == 0

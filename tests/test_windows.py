@@ -209,3 +209,7 @@ def test_second_earliest_start(frame):
     assert win.hindcast_start(last).first().start_date == dt.date(2024, 1, 2)
     sites = frame([("z",)], "code string")
     assert win.hindcast_start(last, sites, "2019-01-01").first().start_date == dt.date(2020, 1, 2)
+    two = frame([("y",), ("z",)], "code string")
+    assert win.hindcast_start(last, two, "2019-01-01").first().start_date == dt.date(2020, 1, 2)
+    assert win.hindcast_start(last, two).first().start_date is None
+    assert win.hindcast_start(last.limit(0), None, "2019-01-01").first().start_date == dt.date(2019, 1, 1)
