@@ -186,29 +186,35 @@ def display_neural_ensemble(daily: DataFrame, value: str = "Q50", minimum: int =
 
 
 def older_skill(df: DataFrame, keys: list[str], observed: str = "discharge_avg", simulated: str = "forecasted_discharge") -> DataFrame:
-    """Older skill form - group statistics attached to every complete row.
+    """Older skill form - group statistics attached to every row of the group.
 
-    The statistics are a partial aggregate joined back, so a large group is never one
+    Statistics come from complete rows only; an incomplete row has no error and no flag of
+    its own.  They are partial aggregates joined back, so a large group is never one
     window task.
     """
-    rows = df.dropna()
     o, s = F.col(observed), F.col(simulated)
+    rows = df.dropna()
     stats = rows.groupBy(*keys).agg(
         F.coalesce(F.stddev_samp(o), F.lit(0.0)).alias("observation_std"),
         F.sum((o - s) * (o - s)).alias("_errors"),
         F.count(F.lit(1)).alias("_n"),
     )
-    out = rows.join(stats, keys).withColumns(
-        {
-            "absolute_error": F.abs(s - o),
-            "observation_std0674": DELTA_FACTOR * F.col("observation_std"),
-            "forecast_std": F.when(F.col("_n") > 2, F.sqrt(F.col("_errors") / (F.col("_n") - 2))),
-        }
+    stats = stats.select(
+        *keys,
+        "observation_std",
+        (DELTA_FACTOR * F.col("observation_std")).alias("observation_std0674"),
+        F.when(F.col("_n") > 2, F.sqrt(F.col("_errors") / (F.col("_n") - 2))).alias("forecast_std"),
     )
-    out = out.withColumn("flag", F.col("absolute_error") <= F.col("observation_std0674"))
-    share = out.groupBy(*keys).agg(F.avg(F.col("flag").cast("double")).alias("accuracy"))
+    inside = F.abs(s - o) <= F.col("observation_std0674")
+    share = rows.join(stats, keys).groupBy(*keys).agg(F.avg(inside.cast("double")).alias("accuracy"))
     sigma = F.nullif(F.col("observation_std"), F.lit(0.0))
-    return out.join(share, keys).withColumn("sdivsigma", F.col("forecast_std") / sigma).drop("_errors", "_n")
+    stats = stats.join(share, keys).withColumn("sdivsigma", F.col("forecast_std") / sigma)
+    complete = F.lit(True)
+    for column in df.columns:
+        complete = complete & F.col(column).isNotNull()
+    return df.join(stats, keys, "left").withColumns(
+        {"absolute_error": F.when(complete, F.abs(s - o)), "flag": F.when(complete, inside)}
+    )
 
 
 def last_non_null_skill(df: DataFrame, period: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Registration of runnable queries and their equivalent SQL.
 
 ``shape`` names columns whose type or rounding is fixed on both sides:
-``r<n>`` rounds a double to n decimals, ``i`` / ``l`` cast to INT / BIGINT.
+``r<n>`` rounds a double to n decimals (first five digits further out, so sums added in
+another order cannot fall on the other side of a tie); ``i`` / ``l`` cast to INT / BIGINT.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ def _shape_spark(df: DataFrame, shape: str) -> DataFrame:
     for name, kind in _parse(shape):
         c = F.col(f"`{name}`")
         if kind[0] == "r":
-            out[name] = F.round(c.cast("double"), int(kind[1:])) + F.lit(0.0)
+            n = int(kind[1:])
+            out[name] = F.round(F.round(c.cast("double"), n + 5), n) + F.lit(0.0)
         else:
             out[name] = c.cast("int" if kind == "i" else "bigint")
     return df.withColumns(out)
@@ -37,7 +39,8 @@ def _shape_sql(body: str, shape: str) -> str:
     parts = []
     for name, kind in _parse(shape):
         if kind[0] == "r":
-            parts.append(f'round(CAST("{name}" AS DOUBLE), {kind[1:]}) + 0.0 AS "{name}"')
+            n = int(kind[1:])
+            parts.append(f'round(round(CAST("{name}" AS DOUBLE), {n + 5}), {n}) + 0.0 AS "{name}"')
         else:
             parts.append(f'CAST("{name}" AS {"INTEGER" if kind == "i" else "BIGINT"}) AS "{name}"')
     replace = f" REPLACE ({', '.join(parts)})" if parts else ""
