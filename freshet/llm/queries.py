@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import cover_tree, language, near_dedup, packing, top_k
+from . import chat, cover_tree, language, mixing, near_dedup, packing, secrets, sharding, top_k, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,62 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: A conversation whose texts hold the template's own control strings.
+CONTROL = (-7, "\\### Assistant: </turn> ok")
+
+
+@query("op1_chat_formatting")
+def op1(spark, folder):
+    number, text = CONTROL
+    extra = spark.createDataFrame(
+        [(number, 0, "user", text), (number, 1, "assistant", text)], "conv_id long, turn long, role string, text string"
+    )
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = chat.conversations(chat.as_trees(rows))
+    turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return made.withColumns(
+        {"turns": chat.read_back(F.col("formatted")), "learned": chat.read_loss(F.col("formatted"), F.col("loss"))}
+    ).select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+#: Bytes of text that a shard may hold.
+SHARD_BYTES = 1 << 20
+
+OP2_SQL = f"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS bytes,
+         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS place
+  FROM documents
+), level AS (
+  SELECT 0 AS depth, doc_id, place, bytes, CAST(0 AS BIGINT) AS prefix,
+         CAST(sum(bytes) OVER () AS BIGINT) AS total, count(*) OVER () AS n
+  FROM sized
+  UNION ALL
+  SELECT depth + 1, doc_id, place, bytes, place >> (59 - depth) AS prefix,
+         CAST(sum(bytes) OVER (PARTITION BY place >> (59 - depth)) AS BIGINT),
+         count(*) OVER (PARTITION BY place >> (59 - depth))
+  FROM level WHERE total > {SHARD_BYTES} AND n > 1 AND depth < 60
+)
+SELECT doc_id, CAST(depth AS INTEGER) AS depth, prefix, CAST(0 AS BIGINT) AS part,
+       CAST(bytes AS BIGINT) AS bytes, total AS shard_bytes
+FROM level WHERE total <= {SHARD_BYTES} OR n = 1 OR depth = 60
+"""
+
+
+@query("op2_sharding", OP2_SQL)
+def op2(spark, folder):
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = table(spark, folder, "documents").select("doc_id", size.alias("bytes"))
+    return sharding.shards(rows, "doc_id", F.col("bytes"), SHARD_BYTES).select(
+        "doc_id", "depth", "prefix", "part", "bytes", "shard_bytes"
+    )
+
+
 @query("op3_language")
 def op3(spark, folder):
     return language.identify(table(spark, folder, "documents"))
@@ -37,6 +94,11 @@ def op4(spark, folder):
     return cover_tree.threshold_links(table(spark, folder, "embeddings"), 0.95)
 
 
+@query("op5_secret_scans")
+def op5(spark, folder):
+    return secrets.scan(table(spark, folder, "documents")).drop("key")
+
+
 @query("op6_best_fit_packing")
 def op6(spark, folder):
     cut = packing.pieces(
@@ -47,6 +109,27 @@ def op6(spark, folder):
     return packing.pack(cut)
 
 
+@query("op7_warc")
+def op7(spark, folder):
+    return warc.archive(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"
+    )
+
+
+def domains(spark, folder):
+    labels = table(spark, folder, "labels")
+    return labels.select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
+
+
+#: Wanted share of each domain's present token total.
+WEIGHTS = {"good": 1.0, "poor": 0.5, "toxic": 0.0}
+
+
+@query("op8_mixing")
+def op8(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"), domains(spark, folder), WEIGHTS)
+
+
 @query("op9_minhash_near_dedup")
 def op9(spark, folder):
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
