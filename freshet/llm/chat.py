@@ -77,10 +77,8 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     jumps, reach = [], base
     limit = base.count()
     # after each join ``up`` is twice as far; a node is done when its ``up`` is null
-    while (1 << len(jumps)) <= max(1, limit):
+    while (1 << len(jumps)) <= max(1, limit) and reach.where("up is not null").limit(1).count():
         jumps.append(reach.select("tree", "node", "up"))
-        if not reach.where("up is not null").limit(1).count():
-            break
         over = reach.select(
             "tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("depth").alias("down")
         )
@@ -96,7 +94,7 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     by = Window.partitionBy("tree").orderBy((F.col("total") / F.col("depth")).desc(), "node")
     best = leaves.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= branches)
     found = best.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("above"))
-    for k, jump in enumerate(jumps[:-1]):
+    for k, jump in enumerate(jumps):
         hop = jump.where("up is not null")
         found = cut(
             found.unionByName(
@@ -138,9 +136,15 @@ def format_paths(messages: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """The best branches of each reply tree, formatted; see ``paths`` and ``format_paths``."""
-    messages = written(messages, "messages")
-    return format_paths(messages, paths(messages, branches))
+    """The best branches of each reply tree, formatted; see ``paths`` and ``format_paths``.
+
+    Messages without a tree are one tree of their own.
+    """
+    kind = messages.schema["tree"].dataType
+    named = F.coalesce(F.concat(F.lit("="), F.col("tree").cast("string")), F.lit(""))
+    messages = written(messages.withColumn("tree", named), "messages")
+    made = format_paths(messages, paths(messages, branches))
+    return made.withColumn("tree", F.when(F.col("tree") != "", F.substring("tree", 2, 1000).cast(kind)))
 
 
 def read_back(formatted: Column) -> Column:
