@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import shared_folder
 
@@ -41,13 +41,14 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_ROWS))
 
 
-def per_batch(convert: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema):
-    """A ``mapInArrow`` function that turns columns as Python lists into columns."""
+def sample_by_hash(rows: DataFrame, group: str, keys: list[str], most: int) -> DataFrame:
+    """At most ``most`` rows of each value of ``group``, the least by hash of ``keys``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                made = convert({n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)})
-                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in schema], schema=schema)
-
-    return run
+    Large groups are first thinned by the same hash to about four times that, so ranking them
+    moves a bounded number of rows however many there are.  The groups are few, as labels are.
+    """
+    unit = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
+    thin = rows.join(F.broadcast(sizes), group).where(unit < F.lit(4.0 * most + 100) / F.col("_rows")).drop("_rows")
+    by = Window.partitionBy(group).orderBy(unit, *keys)
+    return thin.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= most).drop("_rank")

@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import sample_by_hash, text_batches
 
 UNDETERMINED = "und"
 #: Hash space of the n-grams; the bound of the model and of the counted table.
@@ -173,8 +173,7 @@ def train(labelled: DataFrame) -> Model:
         else:
             df[slot] = n
     idf = np.log((1 + docs) / (1 + df)) + 0.1
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = named.select("doc_id", "lang").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= SAMPLE)
+    chosen = sample_by_hash(named.select("doc_id", "lang"), "lang", ["doc_id"], SAMPLE)
     chosen = chosen.select("doc_id").distinct()
     sample = named.join(F.broadcast(chosen), "doc_id")
 

@@ -17,9 +17,8 @@ from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import written
+from .common import sample_by_hash, written
 
 #: Hash space of the words, labelled rows fitted per domain, and the steps of the fit.
 WORDS, SAMPLE, STEPS = 1 << 15, 4000, 24
@@ -49,8 +48,7 @@ def train(docs: DataFrame, labelled: DataFrame):
         F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")
     ).dropDuplicates(["doc_id"])
     here = named.join(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id")
-    by = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = here.withColumn("r", F.row_number().over(by)).where(F.col("r") <= SAMPLE).drop("r")
+    chosen = sample_by_hash(here, "domain", ["doc_id"], SAMPLE)
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(_features(texts.join(F.broadcast(chosen), "doc_id")).select("doc_id", "domain", "features"), "labelled")
     domains = [r.domain for r in rows.select("domain").distinct().orderBy("domain").collect()]

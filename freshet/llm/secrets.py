@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import sample_by_hash, written
 
 #: Words before a credential, formats of public providers, words near harmless strings.
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential"
@@ -131,8 +131,7 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel | None:
 
     None without both labels: then every candidate of a sure format counts (see ``classify``).
     """
-    by = Window.partitionBy("label").orderBy(F.xxhash64("key", "nth"), "key", "nth")
-    rows = labelled.where("label is not null").withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= SAMPLE)
+    rows = sample_by_hash(labelled.where("label is not null"), "label", ["key", "nth"], SAMPLE)
     rows = written(rows.select("label", *FEATURES), "findings")
     if rows.select("label").distinct().count() < 2:
         return None
