@@ -159,7 +159,9 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """
     if "source" not in docs.columns:
         docs = docs.withColumn("source", F.lit(None).cast("string"))
-    found = written(featured(findings(docs), dictionary(docs)), "candidates")
+    # the pattern is dear: it runs over the texts once
+    found = written(findings(docs), "candidates")
+    found = written(featured(found, dictionary(docs)), "features")
     reviewed = found.withColumn("label", format_labels(found)) if labelled is None else found.join(
         labelled.select("key", "nth", F.col("label").cast("double").alias("label")), ["key", "nth"]
     )
