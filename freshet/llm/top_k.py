@@ -93,6 +93,8 @@ def _search(k: int):
                     rows = rows[names[rows] != owner]
                     score = exact_scores(query[None], x if len(rows) == len(x) else x[rows])[0]
                     good = np.lexsort((names[rows], -score))[:k] if len(rows) <= 4 * k else _best(names[rows], score, k)
+                    # below the floor nothing can be among the k best
+                    good = good[score[good] >= least]
                     out.append((np.full(len(good), owner), names[rows][good], score[good]))
                 cols = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_PART)
