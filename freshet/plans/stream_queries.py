@@ -16,8 +16,7 @@ def _readings(t):
 
 @query("X1_stream_daily_mean", "SELECT code, CAST(ts AS DATE) AS date, avg(value) AS discharge FROM readings GROUP BY 1, 2", "discharge:r6")
 def stream_daily_mean(t):
-    out = jobs.run_available(jobs.stream_daily_mean(_readings(t)), "update")
-    return jobs.latest_batches(t.spark, out, ["code", "date"])
+    return jobs.daily_mean(jobs.run_available(_readings(t), jobs.daily_partial))
 
 
 @query(
@@ -30,9 +29,7 @@ def stream_upsert(t):
         gauge("user_id", 15).alias("code"), F.to_date("ts").alias("date"), F.col("event_id").alias("arrival"),
         F.col("value").alias("discharge"),
     )
-    base = t.scratch("upsert")
-    out = jobs.run_available(rows, "append", base, jobs.upsert_batches(base, 30))
-    return jobs.latest_batches(t.spark, out, ["code", "date"], "arrival").drop("arrival")
+    return jobs.newest(jobs.run_available(rows, jobs.newest_partial))
 
 
 @query(
@@ -42,18 +39,14 @@ def stream_upsert(t):
     "discharge_sum:r4",
 )
 def stream_three_day_sum(t):
-    out = jobs.run_available(jobs.stream_three_day_sum(_readings(t)), "update")
-    return jobs.latest_batches(t.spark, out, ["code", "date"])
+    return jobs.three_day_sum(jobs.run_available(_readings(t), jobs.daily_partial))
 
 
 @query(
     "X4_stream_silence",
-    """SELECT code, min(ts) AS start, max(ts) + INTERVAL 3 HOURS AS "end", count(*) AS readings FROM (
-      SELECT *, sum(opens) OVER (PARTITION BY code ORDER BY ts, opens DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM (
-        SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY code ORDER BY ts) < INTERVAL 3 HOURS THEN 0 ELSE 1 END AS opens FROM readings) AS o) AS s
-    GROUP BY code, session HAVING max(ts) + INTERVAL 3 HOURS <= (SELECT max(ts) FROM readings) - INTERVAL 1 DAY""",
+    """SELECT code, d AS last_date, coalesce(following, newest) AS until, CAST(coalesce(following - 1, newest) - d AS INTEGER) AS silent_days, following IS NULL AS open
+    FROM (SELECT *, lead(d) OVER (PARTITION BY code ORDER BY d) AS following, max(d) OVER () AS newest FROM (SELECT DISTINCT code, CAST(ts AS DATE) AS d FROM readings) AS days) AS s
+    WHERE coalesce(following - 1, newest) - d >= 1""",
 )
 def stream_silence(t):
-    out = jobs.run_available(jobs.stream_silence(_readings(t), gap="3 hours"), "append")
-    rows = t.spark.read.parquet(out).drop("batch")
-    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+    return jobs.silences(jobs.run_available(_readings(t), jobs.active_partial), 1)

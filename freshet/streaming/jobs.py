@@ -1,111 +1,110 @@
 """Incremental ingest as Structured Streaming.
 
-Results are stored per micro-batch in a folder named by the batch id, written with
-overwrite, so a replayed batch after a lost executor replaces its own output.  State
-lives in the shared checkpoint folder.
+Every micro-batch stores mergeable partial results (sums and counts, newest rows, active days) in a
+folder named by its id, written with overwrite, so a batch replayed after a lost executor
+replaces its own output.  Readers merge the partials.  Nothing is dropped by a watermark: late
+rows and corrections count whatever their age, and the answer is the same however rows fall
+into batches.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.merge import dedupe
 from ..session import shared_folder
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A folder's parquet table as a file stream (schema from the files' footer)."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("recursiveFileLookup", True)
-        .parquet(folder)
-    )
-
-
-def run_available(stream: DataFrame, mode: str, base: str | None = None, write=None) -> str:
-    """Process what is there, batch by batch, and return the output folder."""
+    """A folder's parquet table as a file stream, whether it is one file or a directory of files."""
+    path = f"{folder}/{name}.parquet"
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema)
+    if any(f.endswith(f"/{name}.parquet") for f in table.inputFiles()):
+        # a stream reads directories: take the single file out of its folder
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return stream.parquet(path)
+
+
+def run_available(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], base: str | None = None) -> DataFrame:
+    """Process what is there, batch by batch; returns all partials stored below ``base`` so far."""
     spark = stream.sparkSession
     base = base or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}/data"
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        rows = write(batch, batch_id) if write else batch
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        partial(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (
-        stream.writeStream.outputMode(mode)
+        stream.writeStream.outputMode("append")
         .foreachBatch(store)
         .option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return out
+    schema = partial(spark.createDataFrame([], stream.schema)).schema
+    try:
+        return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)  # no batch ran yet
+
+
+def daily_partial(batch: DataFrame) -> DataFrame:
+    """Readings (code, ts, value) -> sum and count per (code, UTC day)."""
+    return batch.groupBy("code", F.to_date("ts").alias("date")).agg(
+        F.sum("value").alias("total"), F.count("value").alias("readings")
+    )
 
 
-def latest_batches(spark: SparkSession, out: str, keys: list[str], arrival: str | None = None) -> DataFrame:
-    """Stored batches reduced to the newest row per key: later batch first, then arrival."""
-    rows = spark.read.option("basePath", out).parquet(out)
-    order = F.struct("batch", arrival) if arrival else F.col("batch")
-    return dedupe(rows, keys, order).drop("batch")
+def daily_mean(partials: DataFrame) -> DataFrame:
+    """Mean per (code, day) over all batches; null where no reading has a value."""
+    rows = partials.groupBy("code", "date").agg(F.sum("total").alias("total"), F.sum("readings").alias("readings"))
+    return rows.select("code", "date", F.try_divide("total", "readings").alias("discharge"))
 
 
-def stream_daily_mean(readings: DataFrame, lateness: str = "2 days") -> DataFrame:
-    """Raw readings -> mean per (code, UTC day)."""
-    return (
-        readings.withWatermark("ts", lateness)
-        .groupBy("code", F.window("ts", "1 day"))
-        .agg(F.avg("value").alias("discharge"))
-        .select("code", F.to_date("window.start").alias("date"), "discharge")
+def newest_partial(batch: DataFrame) -> DataFrame:
+    """The row of the latest arrival per (code, date)."""
+    return batch.groupBy("code", "date").agg(
+        F.max_by("discharge", "arrival").alias("discharge"), F.max("arrival").alias("arrival")
     )
 
 
-def stream_three_day_sum(readings: DataFrame, lateness: str = "3 days") -> DataFrame:
-    """Sum over the day and the two before it, as a sliding window."""
-    return (
-        readings.withWatermark("ts", lateness)
-        .groupBy("code", F.window("ts", "3 days", "1 day"))
-        .agg(F.sum("value").alias("discharge_sum"))
-        .select("code", F.date_sub(F.to_date("window.end"), 1).alias("date"), "discharge_sum")
-    )
+def newest(partials: DataFrame) -> DataFrame:
+    """Keep-last over all batches; a correction wins whatever its age."""
+    return newest_partial(partials).drop("arrival")
 
 
-def stream_silence(readings: DataFrame, gap: str = "1 day", lateness: str = "1 day") -> DataFrame:
-    """Sessions of activity per station; the time between two sessions is silence."""
-    return (
-        readings.withWatermark("ts", lateness)
-        .groupBy("code", F.session_window("ts", gap))
-        .agg(F.count(F.lit(1)).alias("readings"))
-        .select("code", "session_window.start", "session_window.end", "readings")
-    )
+def three_day_sum(partials: DataFrame) -> DataFrame:
+    """Daily partials -> sum over each day and the two before it."""
+    days = F.explode(F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: F.date_add("date", k)))
+    spread = partials.select("code", days.alias("date"), "total")
+    return spread.groupBy("code", "date").agg(F.sum("total").alias("discharge_sum"))
 
 
-def upsert_batches(base: str, max_late_days: int | None = None):
-    """A ``write`` step for ``run_available`` that rejects too-late corrections.
+def active_partial(batch: DataFrame) -> DataFrame:
+    """Days on which a station delivered."""
+    return batch.select("code", F.to_date("ts").alias("date")).where("code is not null and date is not null").distinct()
 
-    A row older than the newest date of earlier batches minus ``max_late_days`` is kept
-    out and counted in ``rejected``; the rest is keep-last on read.  Each batch leaves its
-    newest date in a one-row file, so later batches never read the stored rows again.
-    """
 
-    def write(batch: DataFrame, batch_id: int) -> DataFrame:
-        spark = batch.sparkSession
-        batch.agg(F.max("date").alias("newest")).write.mode("overwrite").parquet(
-            f"{base}/newest/batch={batch_id}"
-        )
-        if max_late_days is None or batch_id == 0:
-            return batch
-        marks = spark.read.option("basePath", f"{base}/newest").parquet(f"{base}/newest")
-        newest = marks.where(F.col("batch") < batch_id).agg(F.max("newest").alias("d")).scalar()
-        late = F.coalesce(F.col("date") < F.date_sub(newest, max_late_days), F.lit(False))
-        batch.where(late).agg(F.count(F.lit(1)).alias("count")).write.mode("overwrite").parquet(
-            f"{base}/rejected/batch={batch_id}"
-        )
-        return batch.where(~late)
-
-    return write
+def silences(partials: DataFrame, days: int = 1, as_of=None) -> DataFrame:
+    """Stretches of at least ``days`` days without data, the one still open included.
+
+    An open silence runs from a station's last day to ``as_of`` (else the newest day of all stations).
+    """
+    active = partials.distinct()
+    end = F.lit(as_of).cast("date") if as_of is not None else active.agg(F.max("date").alias("d")).scalar()
+    following = F.lead("date").over(Window.partitionBy("code").orderBy("date"))
+    rows = active.where(F.col("date") <= end).withColumns({"_next": following, "_end": end})
+    open_ = F.col("_next").isNull()
+    silent = F.date_diff(F.coalesce("_next", "_end"), "date") - F.when(open_, 0).otherwise(1)
+    return rows.select(
+        "code", F.col("date").alias("last_date"), F.coalesce("_next", "_end").alias("until"),
+        silent.alias("silent_days"), open_.alias("open"),
+    ).where(F.col("silent_days") >= days)
