@@ -44,9 +44,18 @@ def standardize_date(t):
 def _payload(t):
     """One nested document per given event; no grouping, so no document can grow."""
     value = F.when(F.col("event_type") != "signup", F.col("value"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    none = F.lit(None).cast("string")
     values = F.array(
-        F.struct(value.alias("value"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp_local")),
-        F.struct(F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("timestamp_local")),
+        F.struct(
+            value.alias("value"), stamp(F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("timestamp_local"),
+            stamp(F.col("ts")).alias("timestamp_utc"), F.expr("cast(event_id % 3 as int)").alias("value_code"),
+            F.col("event_type").alias("value_type"),
+        ),
+        F.struct(
+            F.lit(None).cast("double").alias("value"), none.alias("timestamp_local"), none.alias("timestamp_utc"),
+            F.lit(None).cast("int").alias("value_code"), none.alias("value_type"),
+        ),
     )
     data = F.array(F.struct(F.lit("WDDA").alias("variable_code"), F.lit("m3/s").alias("unit"), values.alias("values")))
     code = (F.expr("user_id div 15") + 10000).cast("string")
@@ -65,11 +74,25 @@ EVENT_CODE = "CAST(10000 + user_id // 15 AS VARCHAR)"
 
 @query(
     "S4_flatten_api_payload",
-    f"""SELECT {EVENT_CODE} AS code, 'post ' || CAST(user_id AS VARCHAR) AS name, 'WDDA' AS variable_code, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, value
+    f"""SELECT {EVENT_CODE} AS code, event_id AS station_id, 'post ' || CAST(user_id AS VARCHAR) AS name, 'WDDA' AS variable_code, 'm3/s' AS unit,
+      strftime(ts + INTERVAL 6 HOURS, '%Y-%m-%d %H:%M:%S') AS ts, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_utc, value, CAST(event_id % 3 AS INTEGER) AS value_code, event_type AS value_type
     FROM events WHERE event_type NOT IN ('error', 'signup')""",
 )
 def flatten_api_payload(t):
-    return readers.flatten_api_payload(_payload(t)).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    rows = readers.flatten_api_payload(_payload(t))
+    return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("ts", "ts_utc")})
+
+
+@query(
+    "S4_daily_mean_of_payload",
+    f"""SELECT {EVENT_CODE} AS code, CAST(date_trunc('second', ts) AS DATE) AS date, avg(value) AS discharge
+    FROM events WHERE event_type NOT IN ('error', 'signup') GROUP BY 1, 2""",
+    "discharge:r6",
+)
+def daily_mean_of_payload(t):
+    """S6 on the UTC stamps of S4."""
+    rows = readers.flatten_api_payload(_payload(t)).select("code", F.col("ts_utc").alias("ts"), "value")
+    return aggregates.daily_mean_readings(rows)
 
 
 @query(
@@ -86,10 +109,16 @@ def daily_mean_readings(t):
     return aggregates.daily_mean_readings(t.readings)
 
 
-@query("S7_read_station_registry", "SELECT code, name, lat, lon FROM registry")
+@query(
+    "S7_read_station_registry",
+    """SELECT code AS header, code, name, river, place, upper(name) AS name_eng, upper(river) AS river_eng, upper(place) AS place_eng, lat, lon
+    FROM registry""",
+)
 def read_station_registry(t):
     station = F.struct(
-        F.array("name").alias("name_ru"), F.array("lat").alias("lat"), F.array("lon").alias("long"), F.array("code").alias("code")
+        F.array("name").alias("name_ru"), F.array("river").alias("river_ru"), F.array("place").alias("punkt_ru"),
+        F.array(F.upper("name")).alias("name_eng"), F.array(F.upper("river")).alias("river_eng"),
+        F.array(F.upper("place")).alias("punkt_eng"), F.array("lat").alias("lat"), F.array("lon").alias("long"), F.array("code").alias("code")
     )
     return readers.read_station_registry(t.registry.select(F.to_json(F.create_map("code", station)).alias("json")))
 
@@ -264,9 +293,16 @@ def pivot_snow(t):
     return forcing.pivot_snow(t.snow, "HS", list(range(1, 8)))
 
 
+def _stored(t, table, order):
+    """The table as it is read back from its published CSV files."""
+    base = t.scratch("csv")
+    writers.write_csv(table, base, order)
+    return writers.read_csv(t.spark, base, table.schema)
+
+
 @query("S17_write_daily_series", "SELECT code, date, round_even(round(P, 9), 3) AS discharge FROM forcing", "discharge:r6")
 def write_daily_series(t):
-    return writers.daily_series_table(t.forcing.select("code", "date", F.col("P").alias("discharge")))
+    return _stored(t, writers.daily_series_table(t.forcing.select("code", "date", F.col("P").alias("discharge"))), ["code", "date"])
 
 
 NORM_DAY = "(dayofyear(date) - CASE WHEN year(date) IN (1996, 2000) AND dayofyear(date) >= 60 THEN 1 ELSE 0 END)"
@@ -285,7 +321,7 @@ HYDRO_NUMBERS = "mean std min q05 q25 q50 q75 q95 max last_year current_year".sp
     " ".join(f"{c}:r6" for c in HYDRO_NUMBERS),
 )
 def write_daily_hydrograph(t):
-    return writers.daily_hydrograph_table(hydrograph.daily_hydrograph(t.holes, 2000))
+    return _stored(t, writers.daily_hydrograph_table(hydrograph.daily_hydrograph(t.holes, 2000)), ["code", "day_of_year"])
 
 
 for _h in ("pentad", "decad"):
@@ -297,7 +333,7 @@ for _h in ("pentad", "decad"):
         "predictor:r6 discharge_avg:r6",
     )
     def write_period_series(t, h=_h):
-        return writers.period_series_table(t.series(h), h)
+        return _stored(t, writers.period_series_table(t.series(h), h), ["code", "date"])
 
 
 METRICS = """CASE WHEN count(*) >= 2 AND var_samp(o) * (count(*) - 1) >= 1e-10 AND stddev_samp(o) >= 1e-10 THEN sqrt(sum((o - s) * (o - s)) / (count(*) - 1)) / stddev_samp(o) END AS sdivsigma,
@@ -315,7 +351,8 @@ SKILL_KEYS = ["pentad_in_year", "code", "model_long", "model_short"]
     SKILL_SHAPE,
 )
 def write_skill(t):
-    return writers.skill_table(skill.score(skill.pair_with_observations(t.forecasts, t.observed), SKILL_KEYS))
+    scores = skill.score(skill.pair_with_observations(t.forecasts, t.observed), SKILL_KEYS)
+    return _stored(t, writers.skill_table(scores), SKILL_KEYS)
 
 
 @query(
@@ -327,8 +364,8 @@ def write_skill(t):
     "forecasted_discharge:r6",
 )
 def write_forecasts(t):
-    full, latest = writers.forecast_tables(t.forecasts, "pentad")
     keys = ["code", "date", "model_short", "pentad_in_year"]
+    full, latest = (_stored(t, table, keys) for table in writers.forecast_tables(t.forecasts, "pentad"))
     marked = full.join(latest.select(*keys, F.lit(True).alias("latest")), keys, "left")
     return marked.select(*keys, "forecasted_discharge", F.coalesce("latest", F.lit(False)).alias("latest"))
 
@@ -380,7 +417,8 @@ def write_linreg_forecasts(t):
     rows = t.linreg.withColumnRenamed("issue_period", "pentad_in_year").select(*columns)
     rows = rows.fillna(-1.0, ["predictor", "discharge_avg", "forecasted_discharge"])
     new, old = rows.where("date >= '2000-01-01'"), rows.where("date < '2000-01-01'").drop("issue_date", "discharge")
-    full, latest = writers.linreg_tables(new, old, "pentad", "pentad_in_year")
+    tables = writers.linreg_tables(new, old, "pentad", "pentad_in_year")
+    full, latest = (_stored(t, table, ["code", "date"]) for table in tables)
     marks = latest.select("code", "date", F.lit(True).alias("latest"))
     return full.join(marks, ["code", "date"], "left").withColumn("latest", F.coalesce("latest", F.lit(False)))
 
@@ -399,7 +437,7 @@ def display_readers(t):
 
 @query(
     "S27_newest_forecast_date",
-    "SELECT d.* FROM daily_ml AS d JOIN (SELECT code AS c, model AS m, max(forecast_date) AS f FROM daily_ml GROUP BY 1, 2) AS n ON code = c AND model = m AND forecast_date = f",
+    "SELECT d.* FROM daily_ml AS d JOIN (SELECT model AS m, max(forecast_date) AS f FROM daily_ml GROUP BY 1) AS n ON model = m AND forecast_date = f",
 )
 def newest_forecast_date(t):
     return readers.newest_forecast_date(t.daily_ml)
@@ -438,7 +476,8 @@ def snow_readers(t):
 )
 def append_period_forecast(t):
     stored = aggregates.daily_to_period(t.daily_ml.where("model = 'TIDE'"), "pentad")
-    return writers.append_period_forecast(stored, t.daily_ml.where("model = 'TFT'"), "pentad")
+    made = writers.append_period_forecast(stored, t.daily_ml.where("model = 'TFT'"), "pentad")
+    return _stored(t, made, ["code", "forecast_date"])
 
 
 @query("S31_read_static_features", "SELECT code, lat, lon, area FROM registry")
@@ -468,9 +507,10 @@ def forcing_pipeline(t):
 @query("S34_write_station_readings", "SELECT code, date, variable, unit, value FROM meteo")
 def write_station_readings(t):
     dotted = t.meteo.withColumn("code", F.concat("code", F.lit(".0")))
-    return writers.station_readings_table(
+    table = writers.station_readings_table(
         dotted.where("variable = 'Precipitation'"), dotted.where("variable != 'Precipitation'")
     )
+    return _stored(t, table, ["code", "variable", "date"])
 
 
 PERIOD_STATS = "SELECT code, issue_period, avg(discharge_avg) AS mean, max(discharge_avg) AS top FROM series_pentad WHERE issue_date GROUP BY 1, 2"

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DAILY = "code STRING, date DATE, discharge DOUBLE"
 DAILY_TEXT = "code STRING, date STRING, discharge STRING"
-FORCING = "date DATE, code STRING, P DOUBLE, T DOUBLE"
 REGISTRY = (
-    "map<string, struct<name_ru: array<string>, lat: array<double>, "
-    "long: array<double>, code: array<string>>>"
+    "map<string, struct<name_ru: array<string>, river_ru: array<string>, punkt_ru: array<string>, "
+    "name_eng: array<string>, river_eng: array<string>, punkt_eng: array<string>, "
+    "lat: array<double>, long: array<double>, code: array<string>>>"
 )
+# our column: the registry's field
+REGISTRY_FIELDS = {
+    "code": "code", "name": "name_ru", "river": "river_ru", "place": "punkt_ru", "name_eng": "name_eng",
+    "river_eng": "river_eng", "place_eng": "punkt_eng", "lat": "lat", "lon": "long",
+}
 SELECTION = "struct<stationsID: array<string>>"
 PAYLOAD = (
     "struct<results: array<struct<station_code: string, station_id: bigint, "
@@ -24,7 +28,6 @@ VIRTUAL_RULES = (
     "struct<virtualStations: map<string, struct<combinationFunction: string, "
     "weightByStation: map<string, double>>>>"
 )
-SKILL_KEYS = ("code", "model_long", "model_short")
 
 
 def require_columns(df: DataFrame, *columns: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import calendar as cal
 from ..functions import text
 from ..operators.filters import filter_selected
 from ..operators.merge import dedupe, stack
-from ..schemas import DAILY_TEXT, PAYLOAD, REGISTRY, SELECTION, VIRTUAL_RULES, null_nans, require_columns
+from ..schemas import DAILY_TEXT, PAYLOAD, REGISTRY, REGISTRY_FIELDS, SELECTION, VIRTUAL_RULES, null_nans, require_columns
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,17 +55,24 @@ def read_runoff_csv_dir(spark: SparkSession, folder: str, codes: DataFrame | Non
 
 
 def flatten_api_payload(df: DataFrame, column: str = "json") -> DataFrame:
-    """Nested payload -> one row per value of hydrological stations."""
+    """Nested payload -> one row per value of hydrological stations, with both time stamps."""
     parsed = df.select(F.from_json(F.col(column), PAYLOAD).alias("p"))
     site = parsed.select(F.explode("p.results").alias("s")).where(F.col("s.station_type") == "hydro")
-    data = site.select("s.station_code", "s.station_name", F.explode("s.data").alias("d"))
-    value = data.select("station_code", "station_name", "d.variable_code", F.explode("d.values").alias("v"))
+    data = site.select("s.station_code", "s.station_id", "s.station_name", F.explode("s.data").alias("d"))
+    value = data.select(
+        "station_code", "station_id", "station_name", "d.variable_code", "d.unit", F.explode("d.values").alias("v")
+    )
     return value.where(F.col("v.value").isNotNull()).select(
         F.col("station_code").alias("code"),
+        "station_id",
         F.col("station_name").alias("name"),
         "variable_code",
+        "unit",
         F.to_timestamp("v.timestamp_local").alias("ts"),
+        F.to_timestamp("v.timestamp_utc").alias("ts_utc"),
         F.col("v.value").alias("value"),
+        F.col("v.value_code").alias("value_code"),
+        F.col("v.value_type").alias("value_type"),
     )
 
 
@@ -81,10 +88,7 @@ def read_station_registry(df: DataFrame, column: str = "json") -> DataFrame:
     """Map of stations, every field wrapped in a one-element list -> rows."""
     entries = df.select(F.explode(F.from_json(F.col(column), REGISTRY)).alias("id", "s"))
     return entries.select(
-        F.element_at("s.code", 1).alias("code"),
-        F.element_at("s.name_ru", 1).alias("name"),
-        F.element_at("s.lat", 1).alias("lat"),
-        F.element_at("s.long", 1).alias("lon"),
+        F.col("id").alias("header"), *[F.element_at(f"s.{field}", 1).alias(name) for name, field in REGISTRY_FIELDS.items()]
     )
 
 
@@ -206,9 +210,9 @@ def display_forecasts(df: DataFrame, order: str) -> DataFrame:
 
 
 def newest_forecast_date(df: DataFrame) -> DataFrame:
-    """Rows of each station's and model's newest forecast date."""
-    newest = df.groupBy("code", "model").agg(F.max("forecast_date").alias("forecast_date"))
-    return df.join(newest, ["code", "model", "forecast_date"], "left_semi")
+    """Rows of the newest forecast date of each model's table; a stale station shows nothing."""
+    newest = df.groupBy("model").agg(F.max("forecast_date").alias("forecast_date"))
+    return df.join(newest, ["model", "forecast_date"], "left_semi")
 
 
 def shift_predictor_date(df: DataFrame, horizon, days: int = 1) -> DataFrame:

@@ -1,14 +1,14 @@
 """Sinks (S17-S22, S24, S26, S30, S34).
 
-``*_table`` functions shape a table for publication; ``publish`` stores it.  A table is
-never overwritten in place: each publication is a new folder, and a small pointer file
-is switched afterwards, so readers and a failed job both keep the old version.
+``*_table`` functions shape a table for publication; ``publish`` and ``write_csv`` store it.  A table
+is written to a folder of its own; a small pointer file is switched when it is whole.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,56 +88,62 @@ def bulletin_selection_table(df: DataFrame) -> DataFrame:
     )
 
 
-def _file_context(spark: SparkSession, folder: str):
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    conf = spark._jsc.hadoopConfiguration()
-    return jvm, jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), conf)
+def _store(base: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the path in it: local, HDFS or an object store."""
+    if base.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + base.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(base) if "://" in base else (fs.LocalFileSystem(), base)
 
 
-def _pointer(spark: SparkSession, base: str):
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{base}/_current")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs, path
+def _current(store: fs.FileSystem, root: str) -> str | None:
+    if store.get_file_info(f"{root}/_current").type == fs.FileType.NotFound:
+        return None
+    with store.open_input_stream(f"{root}/_current") as pointer:
+        return pointer.read().decode().strip()
+
 
+def publish(df: DataFrame, base: str, partition_by: list[str] | None = None, fmt: str = "parquet", **options) -> str:
+    """Write a folder of its own, then rename a pointer file over the old one.
 
-def publish(df: DataFrame, base: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> str:
-    """Write a new version folder, then rename the pointer file over the old one."""
-    spark = df.sparkSession
-    version = uuid.uuid4().hex
-    writer = df.write.format(fmt)
+    Readers of the version before keep it; older ones are deleted.  A failed job leaves all as it is.
+    Raises if another job has published meanwhile.
+    """
+    store, root = _store(base)
+    before, version = _current(store, root), uuid.uuid4().hex
+    writer = df.write.format(fmt).options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(f"{base}/version={version}")
-    jvm, context = _file_context(spark, base)
-    fs, target = _pointer(spark, base)
-    staged = jvm.org.apache.hadoop.fs.Path(f"{base}/_current.{version}")
-    out = fs.create(staged, True)
-    out.writeBytes(version)
-    out.close()
-    options = jvm.org.apache.hadoop.fs.Options.Rename
-    flags = spark.sparkContext._gateway.new_array(options, 1)
-    flags[0] = options.OVERWRITE
-    context.rename(staged, target, flags)
+    if _current(store, root) != before:
+        store.delete_dir(f"{root}/version={version}")
+        raise RuntimeError(f"another job has published to {base}")
+    with store.open_output_stream(f"{root}/_current.{version}") as pointer:
+        pointer.write(version.encode())
+    store.move(f"{root}/_current.{version}", f"{root}/_current")
+    for found in store.get_file_info(fs.FileSelector(root)):
+        if found.base_name.startswith("version=") and found.base_name[8:] not in (before, version):
+            store.delete_dir(found.path)
     return f"{base}/version={version}"
 
 
-def published(spark: SparkSession, base: str, fmt: str = "parquet") -> DataFrame | None:
+def published(spark: SparkSession, base: str, fmt: str = "parquet", schema=None, **options) -> DataFrame | None:
     """The current version, or None before the first publication."""
-    fs, target = _pointer(spark, base)
-    if not fs.exists(target):
+    store, root = _store(base)
+    version = _current(store, root)
+    if version is None:
         return None
-    version = _read_small(fs, target)
-    return spark.read.format(fmt).load(f"{base}/version={version}")
+    reader = spark.read.format(fmt).options(**options)
+    return (reader.schema(schema) if schema is not None else reader).load(f"{base}/version={version}")
+
+
+def write_csv(df: DataFrame, base: str, order: list[str]) -> str:
+    """Sorted CSV files with a header and ISO dates."""
+    return publish(df.orderBy(*order), base, fmt="csv", header=True)
 
 
-def _read_small(fs, path) -> str:
-    stream = fs.open(path)
-    try:
-        return bytes(stream.readAllBytes()).decode().strip()
-    finally:
-        stream.close()
+def read_csv(spark: SparkSession, base: str, schema) -> DataFrame:
+    """A table of ``write_csv``, typed by its schema."""
+    return published(spark, base, "csv", schema, header=True)
 
 
 def export_hydrograph(df: DataFrame, as_of_year: int) -> DataFrame:

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from freshet.operators import aggregates, merge
@@ -67,6 +69,9 @@ def test_publication_switches_and_never_overwrites_its_source(spark, frame, fold
     writers.publish(current.withColumn("discharge", F.col("discharge") + 1), base)
     assert rows(writers.published(spark, base)) == [("A", D(2024, 1, 1), 2.0)]
     assert rows(spark.read.parquet(first)) == [("A", D(2024, 1, 1), 1.0)]
+    writers.publish(frame([("A", D(2024, 1, 1), 3.0)], SCHEMA), base)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(first)
 
 
 def test_quantiles_of_a_hot_group_are_exact(spark, folder):
