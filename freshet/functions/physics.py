@@ -35,7 +35,7 @@ def map_temperature(value, a, b) -> Column:
 
 def discharge_to_depth(discharge, area) -> Column:
     """M5: m3/s over ``area`` m2 -> mm per day."""
-    return _col(discharge) / _col(area) * 86400 * 1000
+    return F.try_divide(_col(discharge), _col(area)) * 86400 * 1000
 
 
 def depth_to_discharge(depth, area) -> Column:

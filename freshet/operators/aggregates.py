@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions.rounding import stable_round
 from .merge import dedupe
-from .quantiles import GROUP_LIMIT, exact_quantiles, largest_group
+from .quantiles import exact_quantiles
 
 # Quantile levels of probabilistic forecasts, Q5..Q95 in steps of 5.
 FORECAST_QUANTILES = {f"Q{p}": p / 100 for p in range(5, 100, 5)}
@@ -162,17 +162,19 @@ def snow_norm(df: DataFrame, as_of_year: int, value: str = "value", keys=("code"
     )
 
 
-def ensemble_stats(df: DataFrame, value: str = "value", keys=("code", "date"), limit: int = GROUP_LIMIT) -> DataFrame:
-    """Spread and Q5..Q95 over ensemble members, for any number of members.
+def ensemble_stats(df: DataFrame, value: str = "value", keys=("code", "date")) -> DataFrame:
+    """Spread and Q5..Q95 over ensemble members, in one aggregation.
 
-    Groups within ``limit`` take one aggregation; larger ones are ranked over many tasks.
+    ``percentile`` counts equal values before the shuffle and holds a group's distinct values only.
     """
-    keys = list(keys)
     sd = F.stddev_samp(value).alias("sd")
-    if largest_group(df, keys) <= limit:
-        return df.groupBy(*keys).agg(sd, *quantile_columns(value, FORECAST_QUANTILES))
-    ranked = exact_quantiles(df, keys, value, FORECAST_QUANTILES)
-    return df.groupBy(*keys).agg(sd).join(ranked, keys, "left")
+    return df.groupBy(*keys).agg(sd, *quantile_columns(value, FORECAST_QUANTILES))
+
+
+def ensemble_stats_ranked(df: DataFrame, value: str = "value", keys=("code", "date")) -> DataFrame:
+    """A20 for members whose distinct values are too many for one task: ranked over range partitions."""
+    ranked = exact_quantiles(df, list(keys), value, FORECAST_QUANTILES)
+    return df.groupBy(*keys).agg(F.stddev_samp(value).alias("sd")).join(ranked, list(keys), "left")
 
 
 def daily_to_period(df: DataFrame, horizon, value: str = "Q50") -> DataFrame:
@@ -320,16 +322,19 @@ def basin_scaler(train: DataFrame, target: DataFrame, columns: list[str], per_ba
     else:
         stats = train.agg(F.struct(*aggs).alias("_s")).scalar()
         joined = target.withColumn("_stats", stats).select("*", "_stats.*").drop("_stats")
-    scaled = {c: (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") for c in columns}
+    scaled = {c: F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in columns}
     return joined.withColumns(scaled).select(*target.columns)
 
 
 def elevation_bands(bands: DataFrame, n: int = 3) -> DataFrame:
-    """Assign each elevation band (code, band, area) to one of ``n`` area percentiles."""
+    """Assign each elevation band (code, band, area) to one of ``n`` area percentiles.
+
+    Bands of a station without area belong to none.
+    """
     w = Window.partitionBy("code").orderBy("band")
     total = F.sum("area").over(Window.partitionBy("code"))
-    share = F.sum("area").over(w.rowsBetween(Window.unboundedPreceding, 0)) / total
-    group = F.lit(n)
+    share = F.try_divide(F.sum("area").over(w.rowsBetween(Window.unboundedPreceding, 0)), total)
+    group = F.when(share.isNotNull(), n)
     for i in range(n - 1, 0, -1):
         group = F.when(share <= i / n, i).otherwise(group)
     return bands.withColumn("percentile_band", group)

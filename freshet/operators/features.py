@@ -40,7 +40,12 @@ def feature_correlation(df: DataFrame, features: list[str], target: str, keys: l
 
     One aggregate per feature in a single pass; the unpivot runs on the aggregated rows.
     """
-    corr = df.groupBy(*keys).agg(*[F.abs(F.corr(f, target)).alias(f) for f in features])
+    def corr(f):
+        # a constant side has no correlation; ``corr`` itself would divide by zero
+        x, y = F.when(F.col(target).isNotNull(), F.col(f)), F.when(F.col(f).isNotNull(), F.col(target))
+        return F.abs(F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))))
+
+    corr = df.groupBy(*keys).agg(*[corr(f).alias(f) for f in features])
     long = corr.unpivot(keys, features, "feature", "abs_corr")
     return long.where(F.col("abs_corr").isNotNull() & ~F.isnan("abs_corr"))
 
@@ -108,15 +113,17 @@ def _harmonics(date: Column, n: int) -> list[Column]:
 
 @pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(gram: pd.Series, rhs: pd.Series) -> pd.Series:
-    """Least-squares solution per row of flattened normal equations (harmonics only)."""
-    def one(g, r):
-        if g is None or any(v is None for v in g):
-            return None
-        size = len(r)
-        matrix = np.asarray(g, dtype=float).reshape(size, size)
-        return np.linalg.lstsq(matrix, np.asarray(r, dtype=float), rcond=None)[0].tolist()
-
-    return pd.Series([one(g, r) for g, r in zip(gram, rhs)])
+    """Least-squares solutions of a batch of flattened normal equations (harmonics only)."""
+    good = (gram.notna() & rhs.notna()).to_numpy()
+    out: list = [None] * len(gram)
+    if good.any():
+        right = np.stack(rhs[good].to_list()).astype(float)
+        left = np.stack(gram[good].to_list()).astype(float).reshape(len(right), right.shape[1], -1)
+        clean = np.isfinite(left).all(axis=(1, 2)) & np.isfinite(right).all(axis=1)
+        solved = (np.linalg.pinv(left[clean], hermitian=True) @ right[clean][:, :, None])[:, :, 0]
+        for i, row in zip(np.flatnonzero(good)[clean], solved, strict=True):
+            out[i] = row.tolist()
+    return pd.Series(out, dtype=object)
 
 
 def fourier_climatology(df: DataFrame, value: str, harmonics: int = 2, keys=("code",)) -> DataFrame:
@@ -172,7 +179,10 @@ def model_input_window(daily: DataFrame, forecasts: DataFrame, as_of, length: in
 
 
 def scale_with(df: DataFrame, scalers: DataFrame, columns: list[str], kind: str = "standard") -> DataFrame:
-    """M9: scale columns with given statistics (code, feature, mean, std | min, max)."""
+    """M9: scale columns with given statistics (code, feature, mean, std | min, max).
+
+    A column without spread at a station becomes null there.
+    """
     if kind not in ("standard", "minmax"):
         raise ValueError(f"unknown scaling {kind!r}")
     center, spread = (
@@ -182,7 +192,7 @@ def scale_with(df: DataFrame, scalers: DataFrame, columns: list[str], kind: str
         F.first(center).alias("c"), F.first(spread).alias("s")
     )
     joined = df.join(wide, "code", "left")
-    scaled = {c: (F.col(c) - F.col(f"{c}_c")) / F.col(f"{c}_s") for c in columns}
+    scaled = {c: F.try_divide(F.col(c) - F.col(f"{c}_c"), F.col(f"{c}_s")) for c in columns}
     return joined.withColumns(scaled).select(*df.columns)
 
 

@@ -60,7 +60,8 @@ def _coefficients(x: np.ndarray, y: np.ndarray, kind: str, alpha: float) -> np.n
 def monthly_regression(df: DataFrame, features: list[str], as_of, num_features: int = 2, kind: str = "linear", alpha: float = 1.0, target: str = "target") -> DataFrame:
     """Per station, the same month-day of all years; fit on the past, predict ``as_of``.
 
-    Needs ``2 * num_features`` complete rows; the prediction is clipped at 0 and rounded
+    Needs ``2 * num_features`` complete rows; with fewer features than asked for it goes on with
+    those found.  The prediction is clipped at 0 and rounded
     to 2 decimals, ``r2`` is the in-sample fit.
     """
     day = F.lit(as_of).cast("date")
@@ -75,7 +76,7 @@ def monthly_regression(df: DataFrame, features: list[str], as_of, num_features:
         chosen = _best_features(past, features, target, num_features)
         train = past.dropna(subset=[target, *chosen])
         q = r2 = None
-        if len(chosen) == num_features and len(train) >= 2 * num_features and len(now):
+        if chosen and len(train) >= 2 * num_features and len(now):
             x, y = train[chosen].to_numpy(float), train[target].to_numpy(float)
             mx, my = x.mean(axis=0), y.mean()
             w = _coefficients(x - mx, y - my, kind, alpha)

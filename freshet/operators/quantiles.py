@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-# Rows a group may hold before its quantiles are ranked over many tasks.
-GROUP_LIMIT = 1_000_000
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Size of the biggest group; a partial count, so one number reaches the driver."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolation quantiles without holding a group in one task.
 

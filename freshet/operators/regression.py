@@ -90,12 +90,14 @@ def point_selected_regression(df: DataFrame, selection: DataFrame, period: str =
 
 def site_forecast(series: DataFrame, fits: DataFrame, norms: DataFrame, as_of, period: str = "issue_period") -> DataFrame:
     """One row per site - predictor on the date, forecast (never negative), norms,
-    percent of norm and printed range."""
-    today = series.where(F.col("date") == F.lit(as_of).cast("date")).select("code", period, "predictor")
+    percent of norm and printed range.  Predictor and forecast are rounded to valid digits first."""
+    today = series.where(F.col("date") == F.lit(as_of).cast("date")).select(
+        "code", period, round_significant("predictor").alias("predictor")
+    )
     rows = today.join(fits.select("code", period, "slope", "intercept", "delta"), ["code", period], "left")
     rows = rows.join(norms.withColumnRenamed("q_mean", "q_norm"), ["code", period], "left")
     rows = rows.withColumn(
-        "fc_qexp", physics.linear_prediction("slope", "predictor", "intercept", clip=True)
+        "fc_qexp", round_significant(physics.linear_prediction("slope", "predictor", "intercept", clip=True))
     )
     return rows.withColumn("perc_norm", percent_of_norm("fc_qexp", "q_norm")).withColumns(
         discharge_range("fc_qexp", "delta")

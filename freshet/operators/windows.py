@@ -32,20 +32,20 @@ def without_day(df: DataFrame, source: DataFrame) -> DataFrame:
     return df if "_day" in source.columns else df.drop("_day")
 
 
-def by_day(keys=KEYS):
-    return Window.partitionBy(*keys).orderBy("_day")
+def by_day(keys=KEYS, tie: str | None = None):
+    """By day; rows that share a day stand in the order of ``tie``."""
+    return Window.partitionBy(*keys).orderBy("_day", *([tie] if tie else []))
 
 
-def from_end(keys=KEYS):
+def from_end(keys=KEYS, tie: str | None = None):
     """Rows from the station's last day up to the current one.
 
     "The next known value" is the last one seen in this direction.  A frame that ends
     at UNBOUNDED FOLLOWING would be re-read for every row, which is quadratic in the
     length of a record; this costs one more sort inside the same partition.
     """
-    return Window.partitionBy(*keys).orderBy(F.col("_day").desc()).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
+    order = [F.col(c).desc() for c in ("_day", *([tie] if tie else []))]
+    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def non_negative(value) -> Column:
@@ -112,30 +112,33 @@ def interpolate(
     by_time: bool = False,
     keys=KEYS,
     date: str = "date",
+    tie: str | None = None,
 ) -> DataFrame:
     """Linear fill of null runs, at most ``limit`` rows from each side.
 
     Forward mode fills from the left edge of a gap and carries the last value past the
     end; ``both`` also fills from the right edge and extends the start.  Distances are
-    rows, or days with ``by_time``.  The backward sort comes first, so later forward
+    rows, or days with ``by_time``; between two values of one day the earlier one fills.
+    ``tie`` orders rows that share a day.  The backward sort comes first, so later forward
     windows of a chain keep the order this one leaves.
     """
     source, day = df, F.col("_day").cast("double")
-    backward = Window.partitionBy(*keys).orderBy(F.col("_day").desc())
+    backward = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in ("_day", *([tie] if tie else []))])
 
     def known(position: str) -> Column:
         row = F.struct(day.alias("x"), F.col(position).alias("row"), F.col(value).alias("v"))
         return F.when(F.col(value).isNotNull(), row)
 
     df = with_day(df, date).withColumn("_back", F.row_number().over(backward))
-    df = df.withColumn("_foll", F.last(known("_back"), ignorenulls=True).over(from_end(keys)))
-    df = df.withColumn("_row", F.row_number().over(by_day(keys)))
-    seen = by_day(keys).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_foll", F.last(known("_back"), ignorenulls=True).over(from_end(keys, tie)))
+    df = df.withColumn("_row", F.row_number().over(by_day(keys, tie)))
+    seen = by_day(keys, tie).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_prev", F.last(known("_row"), ignorenulls=True).over(seen))
     prev, foll = F.col("_prev"), F.col("_foll")
     behind, ahead = F.col("_row") - prev["row"], F.col("_back") - foll["row"]
     if by_time:
-        inner = prev["v"] + (foll["v"] - prev["v"]) / (foll["x"] - prev["x"]) * (day - prev["x"])
+        slope = F.coalesce(F.try_divide(foll["v"] - prev["v"], foll["x"] - prev["x"]), F.lit(0.0))
+        inner = prev["v"] + slope * (day - prev["x"])
     else:
         inner = prev["v"] + (foll["v"] - prev["v"]) / (behind + ahead) * behind
     reach = F.lit(True)
@@ -205,34 +208,44 @@ def season(date) -> Column:
     return F.element_at(names, (F.floor(F.month(cal._col(date)) % 12 / 3) + 1).cast("int"))
 
 
-def _iqr_filter(df, keys, value, below, above, min_rows) -> DataFrame:
-    """Quartiles over a station's season or variable - a group the calendar bounds - as a
-    window: with the input partitioned by station already, no exchange or join is added."""
+def _iqr_filter(df, keys, value, below, above, min_rows, raw: bool = False) -> DataFrame:
+    """Quartiles over a station's season or variable.
+
+    On one row per day the calendar bounds the group, so they are a window: with the input
+    partitioned by station already, no exchange or join is added.  ``raw`` input may repeat days
+    without bound: equal values are counted before the shuffle and the bounds are joined back.
+    """
     group = Window.partitionBy(*keys)
     quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    df = df.withColumn("_q", quartiles.over(group))
+    if raw:
+        bounds = df.groupBy(*keys).agg(quartiles.alias("_q"), F.count(F.lit(1)).alias("_n"))
+        df, counted = df.join(bounds, list(keys)), True
+    else:
+        df, counted = df.withColumn("_q", quartiles.over(group)), False
     low = F.col("_q")[0] - below * (F.col("_q")[1] - F.col("_q")[0])
     high = F.col("_q")[1] + above * (F.col("_q")[1] - F.col("_q")[0])
     keep = F.col(value).between(low, high)
     if min_rows:
-        df = df.withColumn("_n", F.count(F.lit(1)).over(group))
+        df = df if counted else df.withColumn("_n", F.count(F.lit(1)).over(group))
         keep = (F.col("_n") <= min_rows) | keep
     return df.withColumn(value, F.when(keep, F.col(value))).drop("_n", "_q")
 
 
-def seasonal_iqr_filter(df: DataFrame, value: str = "discharge", date: str = "date") -> DataFrame:
+def seasonal_iqr_filter(df: DataFrame, value: str = "discharge", date: str = "date", raw: bool = False) -> DataFrame:
     """Null outside [Q1 - 2.0 IQR, Q3 + 6.5 IQR] of a station's season with > 10 rows."""
     df = df.where(F.col("code").isNotNull()).withColumn("_season", season(date))
-    return _iqr_filter(df, ("code", "_season"), value, 2.0, 6.5, 10).drop("_season")
+    return _iqr_filter(df, ("code", "_season"), value, 2.0, 6.5, 10, raw).drop("_season")
 
 
 def rough_outlier_filter(df: DataFrame, value: str = "discharge", order: str | None = None) -> DataFrame:
     """Seasonal filter, keep-first per day, daily calendar, short-gap fill, jump filter, fill."""
     from .merge import dedupe
 
-    df = seasonal_iqr_filter(df.repartition("code"), value)  # one exchange for the whole chain
     if order:
+        df = seasonal_iqr_filter(df, value, raw=True)
         df = dedupe(df, ["code", "date"], F.col(order), keep="first").drop(order)
+    else:
+        df = seasonal_iqr_filter(df.repartition("code"), value)  # one exchange for the whole chain
     df = interpolate(with_day(daily_reindex(df)), value, limit=2, by_time=True)
     return interpolate(change_filter(df, value), value, limit=2, by_time=True).drop("_day")
 
@@ -242,8 +255,8 @@ def station_iqr_filter(df: DataFrame, value: str = "value", order: str | None =
     from .merge import dedupe
 
     keys = ("code", "variable")
-    df = _iqr_filter(df.dropna(subset=list(keys)), keys, value, 1.5, 1.5, 0)
-    df = interpolate(df, value, limit=2, by_time=True, keys=keys)
+    df = _iqr_filter(df.dropna(subset=list(keys)), keys, value, 1.5, 1.5, 0, raw=order is not None)
+    df = interpolate(df, value, limit=2, by_time=True, keys=keys, tie=order)
     return dedupe(df, [*keys, "date"], F.col(order)).drop(order) if order else df
 
 

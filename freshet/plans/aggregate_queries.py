@@ -231,8 +231,8 @@ def ensemble_stats(t):
 
 @query("A20_ensemble_stats_ranked", A20, A20_SHAPE)
 def ensemble_stats_ranked(t):
-    """The path for groups of any size."""
-    return aggregates.ensemble_stats(_members(t), limit=0)
+    """The form for very many distinct values."""
+    return aggregates.ensemble_stats_ranked(_members(t))
 
 
 for _h in ("pentad", "decad"):

@@ -82,9 +82,10 @@ def _text(x):
     f"""SELECT code, predictor, fc_qexp, q_norm, CASE WHEN fc_qexp / q_norm * 100 BETWEEN 0 AND 500 THEN CAST(CAST(round_even(fc_qexp / q_norm * 100, 0) AS INTEGER) AS VARCHAR) ELSE ' ' END AS perc_norm,
       CASE WHEN lo IS NULL OR (lo = 0 AND hi = 0) THEN ' ' ELSE {_text('lo')} END AS fc_qmin, CASE WHEN lo IS NULL OR (lo = 0 AND hi = 0) THEN ' ' ELSE {_text('hi')} END AS fc_qmax
     FROM (SELECT *, CASE WHEN fc_qexp - delta < 0 THEN 0 ELSE fc_qexp - delta END AS lo, CASE WHEN fc_qexp + delta < 0 THEN 0 ELSE fc_qexp + delta END AS hi FROM (
-      SELECT s.code, predictor, delta, CASE WHEN slope * predictor + intercept < 0 THEN 0 ELSE slope * predictor + intercept END AS fc_qexp, q_norm
-      FROM (SELECT * FROM series_pentad WHERE date = DATE '1999-06-25') AS s LEFT JOIN fits AS f ON s.code = f.code AND s.issue_period = f.issue_period
-        LEFT JOIN (SELECT code, issue_period, avg(discharge_avg) AS q_norm FROM series_pentad GROUP BY 1, 2) AS n ON s.code = n.code AND s.issue_period = n.issue_period) AS a) AS b""",
+      SELECT code, predictor, delta, {sig('raw_q')} AS fc_qexp, q_norm FROM (
+      SELECT s.code, s.predictor, delta, CASE WHEN slope * s.predictor + intercept < 0 THEN 0 ELSE slope * s.predictor + intercept END AS raw_q, q_norm
+      FROM (SELECT code, issue_period, {sig('predictor')} AS predictor FROM series_pentad WHERE date = DATE '1999-06-25') AS s LEFT JOIN fits AS f ON s.code = f.code AND s.issue_period = f.issue_period
+        LEFT JOIN (SELECT code, issue_period, avg(discharge_avg) AS q_norm FROM series_pentad GROUP BY 1, 2) AS n ON s.code = n.code AND s.issue_period = n.issue_period) AS u) AS a) AS b""",
     "predictor:r6 fc_qexp:r5 q_norm:r6",
 )
 def site_forecast(t):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from freshet.operators import windows as win
 
+D = dt.date
+
 START = dt.date(2022, 1, 1)
 
 
@@ -213,3 +215,19 @@ def test_second_earliest_start(frame):
     assert win.hindcast_start(last, two, "2019-01-01").first().start_date == dt.date(2020, 1, 2)
     assert win.hindcast_start(last, two).first().start_date is None
     assert win.hindcast_start(last.limit(0), None, "2019-01-01").first().start_date == dt.date(2019, 1, 1)
+
+
+def test_repeated_days_with_nulls_and_zero_divisors(frame):
+    from freshet.operators import aggregates, features
+
+    rows = [("1", "P", D(2024, 1, 1), 1.0, 0), ("1", "P", D(2024, 1, 2), 2.0, 0), ("1", "P", D(2024, 1, 2), None, 1), ("1", "P", D(2024, 1, 2), 3.0, 2)]
+    df = frame(rows, "code string, variable string, date date, value double, arrival int")
+    got = {r.date: r.value for r in win.station_iqr_filter(df, order="arrival").collect()}
+    assert got == {D(2024, 1, 1): 1.0, D(2024, 1, 2): 3.0}
+    flat = frame([("1", D(2024, 1, i), 5.0, float(i)) for i in (1, 2, 3)], "code string, date date, x double, target double")
+    assert features.feature_correlation(flat, ["x"], "target", ["code"]).count() == 0
+    assert features.feature_correlation(flat, ["target"], "target", ["code"]).first().abs_corr == 1.0
+    scalers = frame([("1", "x", 5.0, 0.0)], "code string, feature string, mean double, std double")
+    assert [r.x for r in features.scale_with(flat, scalers, ["x"]).collect()] == [None] * 3
+    bands = frame([("1", 1, 0.0), ("1", 2, 0.0)], "code string, band int, area double")
+    assert [r.percentile_band for r in aggregates.elevation_bands(bands).collect()] == [None] * 2
