@@ -153,7 +153,9 @@ def take(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], least:
         rows = rows.withColumn("posterior", F.array(*[F.lit(1.0 if i == 0 else 0.0) for i in range(len(domains))]))
     else:
         rows = model.transform(_features(rows)).withColumn("posterior", vector_to_array("probability"))
-    return rows.where(rate(F.col("posterior"), moves, momentum) >= least).select("row.*")
+    # as a lambda's argument the posteriors are computed once a row, not once a step
+    wanted = F.transform(F.array("posterior"), lambda p: rate(p, moves, momentum))[0]
+    return rows.where(wanted >= least).select("row.*")
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
