@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,7 +160,7 @@ def train(labelled: DataFrame) -> Model:
     """Fit on ``doc_id, text, lang``; rows without a lang or without a letter are left out.
 
     The document counts, at most ``DIM`` numbers, cover all rows.  The fit takes at most ``SAMPLE``
-    rows of a label, the least by hash of doc_id; the sample, not the table, comes to the driver.
+    rows of a label, the least by hash of doc_id, in one task; its weights come to the driver.
     """
     text_batches(labelled.sparkSession)
     named = labelled.where("lang is not null").select(
@@ -190,25 +191,57 @@ def train(labelled: DataFrame) -> Model:
                 names=["doc_id", "lang", "slots", "many"],
             )
 
-    got = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(
+    shared = labelled.sparkSession.sparkContext.broadcast(idf)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _fit_rows(batches, shared.value)
+
+    vectors = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(
         reduce, "doc_id long, lang string, slots array<int>, many array<long>"
-    ).toArrow().combine_chunks()
-    order = got.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    langs = order.column("lang").to_pylist()
-    labels = sorted(set(langs))
-    rows = []
-    for i, lang in enumerate(langs):
-        slots = order.column("slots")[i].values.to_numpy().astype(np.intp)
-        many = order.column("many")[i].values.to_numpy().astype(float)
-        rows.append((slots, TF_SCALE * many / many.sum() * idf[slots], labels.index(lang)))
-    if not rows:
-        return Model([], np.zeros((DIM, 0), np.float32), np.zeros(0), 1.0)
+    )
+    # the sample is bounded: one task fits it, and the model alone comes to the driver
+    found = vectors.repartition(1).mapInArrow(fit, "slot int, label string, weight double").toArrow()
+    slot, weight = found.column("slot").to_numpy(), found.column("weight").to_numpy()
+    labels = sorted(found.column("label").unique().to_pylist())
+    label = np.zeros(len(slot), int)
+    for i, name in enumerate(labels):
+        label[np.array(pc.equal(found.column("label"), name))] = i
+    whole = np.zeros((DIM + 2, len(labels)))
+    whole[slot, label] = weight
+    weights, bias = whole[:DIM].astype(np.float32), whole[DIM]
+    temperature = float(whole[DIM + 1].max(initial=0.0)) or 1.0
+    return Model(labels, weights, bias, temperature)
+
+
+def _fit_rows(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Fit the sample's vectors: non-zero weights by slot, at ``DIM`` the bias, above it the temperature."""
+    got = []
+    for batch in batches:
+        for i, (doc_id, lang) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            slots = batch.column(2)[i].values.to_numpy().astype(np.intp)
+            many = batch.column(3)[i].values.to_numpy().astype(float)
+            got.append((doc_id, lang, slots, TF_SCALE * many / many.sum() * idf[slots]))
+    if not got:
+        return
+    got.sort(key=lambda r: r[:2])
+    labels = sorted({r[1] for r in got})
+    rows = [(slots, values, labels.index(lang)) for _, lang, slots, values in got]
     # every fifth row, spread by id order over all labels, is kept for the temperature
     held, fit = rows[::5], [r for i, r in enumerate(rows) if i % 5] or rows
     w, bias = fit_ftrl(fit, len(labels))
     logits = np.array([v @ w[s] + bias for s, v, _ in held])
     temperature = fit_temperature(logits, np.array([y for _, _, y in held]))
-    return Model(labels, (TF_SCALE * w * idf[:, None]).astype(np.float32), bias, temperature)
+    w = TF_SCALE * w * idf[:, None]
+    slot, label = np.nonzero(w)
+    count = len(labels)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.r_[slot, [DIM] * count, [DIM + 1] * count].astype(np.int32)),
+            pa.array([labels[i] for i in label] + labels * 2, pa.string()),
+            pa.array(np.r_[w[slot, label], bias, [temperature] * count]),
+        ],
+        names=["slot", "label", "weight"],
+    )
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
