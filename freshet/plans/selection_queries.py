@@ -208,11 +208,11 @@ def norms(t):
 
 @query(
     "J6_observed_with_stats",
-    "SELECT o.code, o.date, discharge_avg, q_mean, q_std_sigma, f.delta FROM observed AS o LEFT JOIN (SELECT code AS c, date AS d, q_mean, q_std_sigma, delta FROM linreg WHERE date >= DATE '1997-01-01') AS f ON code = c AND date = d",
+    "SELECT o.code, o.date, discharge_avg, q_mean, q_std_sigma, f.delta FROM observed AS o LEFT JOIN (SELECT code AS c, date AS d, q_mean, q_std_sigma, delta FROM linreg) AS f ON code = c AND date = d",
     "discharge_avg:r6 q_mean:r6 q_std_sigma:r6 delta:r6",
 )
 def observed_with_stats(t):
-    return joins.with_stats(t.observed.drop("delta"), t.linreg.where("date >= '1997-01-01'"))
+    return joins.with_stats(t.observed.drop("delta"), t.linreg)
 
 
 @query(
@@ -225,23 +225,30 @@ def calendar_scaffold(t):
     return joins.calendar_scaffold(t.daily)
 
 
-@query("J8_merge_forcing", "SELECT code, date, P, T FROM forcing WHERE P > 5 AND T > 0")
+@query(
+    "J8_merge_forcing",
+    "SELECT p.code, p.date, p.P, t.T FROM forcing AS p JOIN forcing AS t ON p.code = t.code AND p.date = CAST(t.date + 1 AS DATE)",
+)
 def merge_forcing(t):
-    p = t.forcing.where("P > 5").select("code", "date", "P")
-    return joins.merge_forcing(p, t.forcing.where("T > 0").select("code", "date", "T"))
+    # temperatures move on a day, so that neither side holds all days of the other
+    late = t.forcing.select("code", F.date_add("date", 1).alias("date"), "T")
+    return joins.merge_forcing(t.forcing.select("code", "date", "P"), late)
 
 
 @query(
     "J9_left_chain",
     """SELECT q.code, q.date, discharge, P, T, SWE, HS, ROF FROM daily AS q
-      LEFT JOIN (SELECT code, date, P, T FROM forcing WHERE P > 3) AS f ON q.code = f.code AND q.date = f.date
+      LEFT JOIN (SELECT code, CAST(date + 1 AS DATE) AS date, P, T FROM forcing) AS f ON q.code = f.code AND q.date = f.date
       LEFT JOIN (SELECT code, date, sum(value) AS SWE FROM snow WHERE var = 'SWE' GROUP BY 1, 2) AS a ON q.code = a.code AND q.date = a.date
       LEFT JOIN (SELECT code, date, sum(value) AS HS FROM snow WHERE var = 'HS' GROUP BY 1, 2) AS b ON q.code = b.code AND q.date = b.date
       LEFT JOIN (SELECT code, date, sum(value) AS ROF FROM snow WHERE var = 'ROF' GROUP BY 1, 2) AS c ON q.code = c.code AND q.date = c.date""",
 )
 def left_chain(t):
-    snow = [t.snow.where(F.col("var") == v).groupBy("code", "date").agg(F.sum("value").alias(v)) for v in ("SWE", "HS", "ROF")]
-    return joins.left_chain(t.daily, t.forcing.where("P > 3"), *snow)
+    # one aggregate gives all snow variables, and forcing moves on a day so that the sides differ
+    sums = [F.sum(F.when(F.col("var") == v, F.col("value"))).alias(v) for v in ("SWE", "HS", "ROF")]
+    snow = t.snow.groupBy("code", "date").agg(*sums)
+    forcing = t.forcing.select("code", F.date_add("date", 1).alias("date"), "P", "T")
+    return joins.left_chain(t.daily, forcing, snow)
 
 
 NORM_2001 = """SELECT code, CAST(DATE '2001-01-01' + CAST(doy - 1 AS INTEGER) AS DATE) AS date, round_even(round(m, 8), 2) AS P_norm
