@@ -59,14 +59,21 @@ def train(docs: DataFrame, labelled: DataFrame):
     return LogisticRegression(maxIter=40, regParam=PENALTY, elasticNetParam=1.0, labelCol="label").fit(fit), domains
 
 
-def posteriors(docs: DataFrame, model, domains: list[str]) -> DataFrame:
-    """``doc_id, tokens, posterior`` (an array in the order of ``domains``) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def posteriors(docs: DataFrame, model, domains: list[str], whole: bool = False) -> DataFrame:
+    """``doc_id, tokens, posterior`` (an array in the order of ``domains``) of every row.
+
+    With ``whole`` the row itself comes along as ``row``, so that none of its names can clash.
+    """
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row)
     if model is None:
-        one = F.array(*[F.lit(1.0 if i == 0 else 0.0) for i in range(len(domains))])
-        return rows.select("doc_id", F.size(tokens()).cast("long").alias("tokens"), one.alias("posterior"))
-    scored = model.transform(_features(rows))
-    return scored.select("doc_id", F.size("words").cast("long").alias("tokens"), vector_to_array("probability").alias("posterior"))
+        posterior = F.array(*[F.lit(1.0 if i == 0 else 0.0) for i in range(len(domains))])
+        scored = rows.withColumn("words", tokens())
+    else:
+        posterior = vector_to_array("probability")
+        scored = model.transform(_features(rows))
+    out = ["doc_id", F.size("words").cast("long").alias("tokens"), posterior.alias("posterior")]
+    return scored.select(*out, *(["row"] if whole else []))
 
 
 def rate(posterior: Column, steps: list[list[float]], momentum: list[float]) -> Column:
@@ -119,14 +126,14 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], s
     return moves, momentum
 
 
-def _fitted(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]):
-    """(model, domains, posteriors table, steps, momenta) for targets of ``weights`` times the present totals."""
+def _fitted(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], whole: bool = False):
+    """(domains, posteriors table, steps, momenta) for targets of ``weights`` times the present totals."""
     model, domains = train(docs, labelled)
-    table = written(posteriors(docs, model, domains), "posteriors")
+    table = written(posteriors(docs, model, domains, whole), "posteriors")
     sums = [F.sum(F.col("tokens") * F.col("posterior")[i]) for i in range(len(domains))]
     now = [float(v or 0.0) for v in table.agg(*sums).first()]
     targets = {d: n * weights.get(d, 1.0) for d, n in zip(domains, now, strict=True)}
-    return model, domains, table, *fit_rates(table, domains, targets)
+    return domains, table, *fit_rates(table, domains, targets)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -136,7 +143,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> Data
     total, 0 asks for none of it.  Null and empty texts have 0 tokens and the posteriors of an empty
     text.  Repeated rows are documents of their own.  Other columns are ignored.
     """
-    _, domains, table, moves, momentum = _fitted(docs, labelled, weights)
+    domains, table, moves, momentum = _fitted(docs, labelled, weights)
     names = F.array(*map(F.lit, domains))
     best = F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int"))
     return table.select("doc_id", "tokens", "posterior", best.alias("domain"), rate(F.col("posterior"), moves, momentum).alias("rate"))
@@ -147,15 +154,11 @@ def take(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], least:
 
     Rates are realised without repetition: one half or more counts as one.
     """
-    model, domains, _, moves, momentum = _fitted(docs, labelled, weights)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    if model is None:
-        rows = rows.withColumn("posterior", F.array(*[F.lit(1.0 if i == 0 else 0.0) for i in range(len(domains))]))
-    else:
-        rows = model.transform(_features(rows)).withColumn("posterior", vector_to_array("probability"))
-    # as a lambda's argument the posteriors are computed once a row, not once a step
+    # texts are scored once: the steps read the numbers of the stored table, the last pass its rows
+    _, table, moves, momentum = _fitted(docs, labelled, weights, whole=True)
+    # as a lambda's argument the posteriors are read once a row, not once a step
     wanted = F.transform(F.array("posterior"), lambda p: rate(p, moves, momentum))[0]
-    return rows.where(wanted >= least).select("row.*")
+    return table.where(wanted >= least).select("row.*")
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
