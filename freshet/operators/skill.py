@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import calendar as cal
 from ..functions.text import bracketed
@@ -189,31 +190,27 @@ def older_skill(df: DataFrame, keys: list[str], observed: str = "discharge_avg",
     """Older skill form - group statistics attached to every row of the group.
 
     Statistics come from complete rows only; an incomplete row has no error and no flag of
-    its own.  They are partial aggregates joined back, so a large group is never one
-    window task.
+    its own.  A group holds one row per year, so both windows are small and share one exchange.
     """
-    o, s = F.col(observed), F.col(simulated)
-    rows = df.dropna()
-    stats = rows.groupBy(*keys).agg(
-        F.coalesce(F.stddev_samp(o), F.lit(0.0)).alias("observation_std"),
-        F.sum((o - s) * (o - s)).alias("_errors"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    stats = stats.select(
-        *keys,
-        "observation_std",
-        (DELTA_FACTOR * F.col("observation_std")).alias("observation_std0674"),
-        F.when(F.col("_n") > 2, F.sqrt(F.col("_errors") / (F.col("_n") - 2))).alias("forecast_std"),
-    )
-    inside = F.abs(s - o) <= F.col("observation_std0674")
-    share = rows.join(stats, keys).groupBy(*keys).agg(F.avg(inside.cast("double")).alias("accuracy"))
-    sigma = F.nullif(F.col("observation_std"), F.lit(0.0))
-    stats = stats.join(share, keys).withColumn("sdivsigma", F.col("forecast_std") / sigma)
     complete = F.lit(True)
     for column in df.columns:
         complete = complete & F.col(column).isNotNull()
-    return df.join(stats, keys, "left").withColumns(
-        {"absolute_error": F.when(complete, F.abs(s - o)), "flag": F.when(complete, inside)}
+    group = Window.partitionBy(*keys)
+    o, s = F.when(complete, F.col(observed)), F.when(complete, F.col(simulated))
+    n = F.count(o).over(group)
+    deviation = F.when(n > 0, F.coalesce(F.stddev_samp(o).over(group), F.lit(0.0)))
+    rows = df.withColumns(
+        {
+            "observation_std": deviation,
+            "observation_std0674": DELTA_FACTOR * deviation,
+            "forecast_std": F.when(n > 2, F.sqrt(F.sum((o - s) * (o - s)).over(group) / F.nullif(n - 2, F.lit(0)))),
+            "absolute_error": F.abs(s - o),
+        }
+    )
+    rows = rows.withColumn("flag", F.col("absolute_error") <= F.col("observation_std0674"))
+    sigma = F.nullif(F.col("observation_std"), F.lit(0.0))
+    return rows.withColumns(
+        {"accuracy": F.avg(F.col("flag").cast("double")).over(group), "sdivsigma": F.col("forecast_std") / sigma}
     )
 
 
@@ -242,5 +239,3 @@ def complete_blocks(df: DataFrame) -> DataFrame:
     """a model's whole table is dropped when any of its labels is missing."""
     broken = df.where(F.col("model_long").isNull()).select("model_short").distinct()
     return df.join(broken, "model_short", "left_anti")
-
-
