@@ -76,8 +76,11 @@ def posteriors(docs: DataFrame, model, domains: list[str], whole: bool = False)
     return scored.select(*out, *(["row"] if whole else []))
 
 
-def rate(posterior: Column, steps: list[list[float]], momentum: list[float]) -> Column:
-    """A document's rate after the given steps: gradient moves with momentum, held at 0 or more."""
+def rate(posterior: Column, steps: list[list[float]], momentum: list[float], ahead: bool = False) -> Column:
+    """A document's rate after the given steps: gradient moves with momentum, held at 0 or more.
+
+    With ``ahead`` it is the point ahead of the last step, at which the next gradient is taken.
+    """
     state = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
     if not steps:
         return F.lit(1.0)
@@ -88,13 +91,7 @@ def rate(posterior: Column, steps: list[list[float]], momentum: list[float]) ->
         new = F.greatest(F.lit(0.0), a["y"] - dot)
         return F.struct(new.alias("r"), (new + x["m"] * (new - a["r"])).alias("y"))
 
-    return F.aggregate(rows, state, move, lambda a: a["r"])
-
-
-def _ahead(posterior: Column, steps: list[list[float]], momentum: list[float]) -> Column:
-    """The point ahead of the last step, at which the next gradient is taken."""
-    before, last = rate(posterior, steps[:-1], momentum[:-1]), rate(posterior, steps, momentum)
-    return last + F.lit(momentum[-1]) * (last - before) if steps else F.lit(1.0)
+    return F.aggregate(rows, state, move, lambda a: a["y" if ahead else "r"])
 
 
 def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], steps: int = STEPS):
@@ -102,13 +99,18 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], s
 
     A domain without a target keeps its expected total at rate 1.
     """
-    total = lambda y: [F.sum(F.col("tokens") * y * F.col("posterior")[i]).alias(f"d{i}") for i in range(len(domains))]
-    now = [float(v or 0.0) for v in table.agg(*total(F.lit(1.0))).first()]
+    def totals(y: Column) -> np.ndarray:
+        # the rate is a column of its own, computed once a row and not once a domain
+        rated = table.select("tokens", "posterior", F.explode(F.array(y)).alias("y"))
+        sums = [F.sum(F.col("tokens") * F.col("y") * F.col("posterior")[i]).alias(f"d{i}") for i in range(len(domains))]
+        return np.array([float(v or 0.0) for v in rated.agg(*sums).first()])
+
+    now = totals(F.lit(1.0))
     aim = np.array([float(targets.get(d, n)) for d, n in zip(domains, now, strict=True)])
     scale = max(1.0, sum(now))
     moves: list[list[float]] = []
     momentum: list[float] = []
-    t, sums, worst = 1.0, np.array(now), np.inf
+    t, sums, worst = 1.0, now, np.inf
     for step in range(steps):
         residual = (sums - aim) / scale
         # an overshoot restarts the momentum
@@ -122,7 +124,7 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], s
         if np.abs(residual).max() < 1e-6:
             break
         if step < steps - 1:
-            sums = np.array([float(v or 0.0) for v in table.agg(*total(_ahead(F.col("posterior"), moves, momentum))).first()])
+            sums = totals(rate(F.col("posterior"), moves, momentum, ahead=True))
     return moves, momentum
 
 
