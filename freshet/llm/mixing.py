@@ -1,16 +1,23 @@
 """Mixing sources to target weights with soft domain membership.
 
 A classifier fitted on a labelled table gives every document posteriors over domains, so a document
-belongs to several domains in part.  Rates r (how often a document is wanted, 0 or more) are
-fitted by accelerated projected gradient on the least squares between expected domain token totals
-and targets: sum of r * tokens * posterior against target, from a start of 1.  A document's rate
-depends on its posteriors and on the residuals of all steps, a few numbers per step, so one
-aggregate over the posteriors table makes a step and no rate is stored in between.  All of it is
-DataFrame functions and Spark's JVM logistic regression.
+belongs to several domains in part.  Rates r (how often a document is wanted, 0 or more) are the ones
+nearest to 1, with tokens as weights, for which the expected domain token totals, sums of
+r * tokens * posterior, meet the targets.  Such a rate is max(0, 1 - pull . posterior) with one pull per
+domain.  A step adds the domains' residuals, scaled by the Gram matrix of the posteriors of the rows
+still wanted, to the pulls, so a rare domain moves as fast as a large one.  Misses are paid for in
+proportion to a domain's present total; the price rises until every total is within ``TOLERANCE`` of
+its present total from the target.  Steps go on until the gradient vanishes; there is no fixed count.
+A step is one aggregate over the posteriors table and no rate is stored.  Targets that the
+posteriors do not allow (a domain unwanted though all rows hold a part of it) are missed by the
+least cost at the highest price, with a warning that names the misses.  All of it is DataFrame
+functions and Spark's JVM logistic regression.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -20,8 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import sample_by_hash, written
 
-#: Hash space of the words, labelled rows fitted per domain, and the steps of the fit.
-WORDS, SAMPLE, STEPS = 1 << 15, 4000, 24
+#: Hash space of the words, and labelled rows fitted per domain.
+WORDS, SAMPLE = 1 << 15, 4000
+#: A total's greatest miss and the gradient that counts as none, both as shares of a domain's present total.
+TOLERANCE, FLAT = 0.05, 1e-4
+#: What a miss may cost, from lax to strict: the inverse price in the units of the pulls.
+SLACK = (1e-2, 5e-3, 2e-3, 5e-4, 1e-4)
 #: L1 penalty: few words tell domains apart.
 PENALTY = 0.003
 
@@ -76,66 +87,74 @@ def posteriors(docs: DataFrame, model, domains: list[str], whole: bool = False)
     return scored.select(*out, *(["row"] if whole else []))
 
 
-def rate(posterior: Column, steps: list[list[float]], momentum: list[float], ahead: bool = False) -> Column:
-    """A document's rate after the given steps: gradient moves with momentum, held at 0 or more.
-
-    With ``ahead`` it is the point ahead of the last step, at which the next gradient is taken.
-    """
-    state = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
-    if not steps:
-        return F.lit(1.0)
-    rows = F.array(*[F.struct(F.array(*map(F.lit, s)).alias("s"), F.lit(m).alias("m")) for s, m in zip(steps, momentum, strict=True)])
-
-    def move(a, x):
-        dot = F.aggregate(F.zip_with(posterior, x["s"], lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
-        new = F.greatest(F.lit(0.0), a["y"] - dot)
-        return F.struct(new.alias("r"), (new + x["m"] * (new - a["r"])).alias("y"))
-
-    return F.aggregate(rows, state, move, lambda a: a["y" if ahead else "r"])
+def rate(posterior: Column, pulls: list[float]) -> Column:
+    """A document's rate: 1 less the pulls of its domains, held at 0 or more."""
+    pulled = sum((posterior[i] * F.lit(float(v)) for i, v in enumerate(pulls)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.lit(1.0) - pulled)
 
 
-def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], steps: int = STEPS):
-    """Residual steps and momenta that bring expected token totals to ``targets`` (tokens per domain).
+def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float]) -> list[float]:
+    """The pulls that bring expected token totals to ``targets`` (tokens per domain).
 
-    A domain without a target keeps its expected total at rate 1.
+    A domain without a target keeps its expected total at rate 1.  Warns if a total misses its target.
     """
-    def totals(y: Column) -> np.ndarray:
-        # the rate is a column of its own, computed once a row and not once a domain
-        rated = table.select("tokens", "posterior", F.explode(F.array(y)).alias("y"))
-        sums = [F.sum(F.col("tokens") * F.col("y") * F.col("posterior")[i]).alias(f"d{i}") for i in range(len(domains))]
-        return np.array([float(v or 0.0) for v in rated.agg(*sums).first()])
-
-    now = totals(F.lit(1.0))
+    size = len(domains)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+
+    def at(pulls: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals, Gram matrix of the rows with a rate above 0, and the sum of tokens * rate^2."""
+        # the rate is a column of its own, computed once a row and not once a sum
+        rated = table.select("tokens", "posterior", F.explode(F.array(rate(F.col("posterior"), list(pulls)))).alias("y"))
+        p = [F.col("posterior")[i] for i in range(size)]
+        held = F.when(F.col("y") > 0, F.col("tokens")).otherwise(F.lit(0))
+        sums = [F.sum(F.col("tokens") * F.col("y") * p[i]) for i in range(size)]
+        sums += [F.sum(held * p[i] * p[j]) for i, j in pairs] + [F.sum(F.col("tokens") * F.col("y") * F.col("y"))]
+        got = [float(v or 0.0) for v in rated.agg(*[v.alias(f"s{n}") for n, v in enumerate(sums)]).first()]
+        gram = np.zeros((size, size))
+        for (i, j), v in zip(pairs, got[size:], strict=False):
+            gram[i, j] = gram[j, i] = v
+        return np.array(got[:size]), gram, got[-1]
+
+    pulls = np.zeros(size)
+    state = at(pulls)
+    now = state[0]
     aim = np.array([float(targets.get(d, n)) for d, n in zip(domains, now, strict=True)])
-    scale = max(1.0, sum(now))
-    moves: list[list[float]] = []
-    momentum: list[float] = []
-    t, sums, worst = 1.0, now, np.inf
-    for step in range(steps):
-        residual = (sums - aim) / scale
-        # an overshoot restarts the momentum
-        norm = float((residual * residual).sum())
-        t, worst = (t if norm <= worst else 1.0), norm
-        # with tokens as weights the gradient's Lipschitz bound is 1, so the step length is 1
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        moves.append([float(v) for v in residual])
-        momentum.append(float((t - 1) / after))
-        t = after
-        if np.abs(residual).max() < 1e-6:
+    # a domain that holds nothing cannot be pulled
+    scale = np.where(now > 0, now, max(1.0, now.sum()))
+    for slack in SLACK:
+        worth = lambda x, s: -0.5 * s[2] - aim @ x - 0.5 * slack * scale @ (x * x)  # noqa: B023, E731
+        while True:
+            gradient = state[0] - aim - slack * scale * pulls
+            if np.abs(gradient / scale).max() <= FLAT:
+                break
+            move = np.linalg.solve(state[1] + slack * np.diag(scale), gradient)
+            length, old = 1.0, worth(pulls, state)
+            while True:
+                then = at(pulls + length * move)
+                better = worth(pulls + length * move, then) >= old + 1e-4 * length * (gradient @ move)
+                if better or length < 1e-6:
+                    break
+                length /= 2
+            if not better:
+                break
+            pulls, state = pulls + length * move, then
+        missed = np.abs(state[0] - aim) / scale
+        if missed.max() <= TOLERANCE:
             break
-        if step < steps - 1:
-            sums = totals(rate(F.col("posterior"), moves, momentum, ahead=True))
-    return moves, momentum
+    if missed.max() > TOLERANCE:
+        names = ", ".join(f"{d!r} by {v:.3f}" for d, v in zip(domains, missed, strict=True) if v > TOLERANCE)
+        warnings.warn(f"targets missed, as shares of the present totals: {names}", stacklevel=2)
+    return [float(v) for v in pulls]
 
 
 def _fitted(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], whole: bool = False):
-    """(domains, posteriors table, steps, momenta) for targets of ``weights`` times the present totals."""
+    """(domains, posteriors table, pulls) for targets of ``weights`` times the present totals."""
     model, domains = train(docs, labelled)
     table = written(posteriors(docs, model, domains, whole), "posteriors")
     sums = [F.sum(F.col("tokens") * F.col("posterior")[i]) for i in range(len(domains))]
     now = [float(v or 0.0) for v in table.agg(*sums).first()]
     targets = {d: n * weights.get(d, 1.0) for d, n in zip(domains, now, strict=True)}
-    return domains, table, *fit_rates(table, domains, targets)
+    return domains, table, fit_rates(table, domains, targets)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -145,10 +164,10 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> Data
     total, 0 asks for none of it.  Null and empty texts have 0 tokens and the posteriors of an empty
     text.  Repeated rows are documents of their own.  Other columns are ignored.
     """
-    domains, table, moves, momentum = _fitted(docs, labelled, weights)
+    domains, table, pulls = _fitted(docs, labelled, weights)
     names = F.array(*map(F.lit, domains))
     best = F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int"))
-    return table.select("doc_id", "tokens", "posterior", best.alias("domain"), rate(F.col("posterior"), moves, momentum).alias("rate"))
+    return table.select("doc_id", "tokens", "posterior", best.alias("domain"), rate(F.col("posterior"), pulls).alias("rate"))
 
 
 def take(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], least: float = 0.5) -> DataFrame:
@@ -157,10 +176,8 @@ def take(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], least:
     Rates are realised without repetition: one half or more counts as one.
     """
     # texts are scored once: the steps read the numbers of the stored table, the last pass its rows
-    _, table, moves, momentum = _fitted(docs, labelled, weights, whole=True)
-    # as a lambda's argument the posteriors are read once a row, not once a step
-    wanted = F.transform(F.array("posterior"), lambda p: rate(p, moves, momentum))[0]
-    return table.where(wanted >= least).select("row.*")
+    _, table, pulls = _fitted(docs, labelled, weights, whole=True)
+    return table.where(rate(F.col("posterior"), pulls) >= least).select("row.*")
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:

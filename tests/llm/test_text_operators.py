@@ -151,6 +151,24 @@ def test_mixing_meets_its_targets(spark, documents, odd, nothing):
     assert mixing.mix(odd, labels.limit(0), {}).count() == odd.count() and mixing.mix(nothing, labels, {}).count() == 0
 
 
+@pytest.mark.parametrize("blur", [0.0, 1e-5])
+def test_mixing_meets_the_target_of_a_rare_domain(spark, blur):
+    rows = [(100, [1 - blur, blur] if i else [blur, 1 - blur]) for i in range(1000)]
+    table = spark.createDataFrame(rows, "tokens long, posterior array<double>").coalesce(4)
+    pulls = mixing.fit_rates(table, ["many", "rare"], {"rare": 0.0})
+    got = table.withColumn("rate", mixing.rate(F.col("posterior"), pulls)).collect()
+    for n, aim in enumerate((1.0, 0.0)):
+        now = sum(r.tokens * r.posterior[n] for r in got)
+        assert abs(sum(r.tokens * r.posterior[n] * r.rate for r in got) - aim * now) <= mixing.TOLERANCE * now
+    assert max(r.rate for r in got if r.posterior[1] > 0.5) < 0.05
+
+
+def test_mixing_says_which_target_cannot_be_met(spark):
+    table = spark.createDataFrame([(100, [0.9, 0.1])] * 20, "tokens long, posterior array<double>").coalesce(4)
+    with pytest.warns(UserWarning, match="'b'"):
+        mixing.fit_rates(table, ["a", "b"], {"b": 0.0})
+
+
 def check_packing(rows, packed, limit):
     """An exact round trip of every piece; returns the number of sequences."""
     tokens = Tokenizer.from_file(JSON)
