@@ -31,6 +31,8 @@ SAMPLE = 400
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 _LETTER = re.compile(r"[^\W\d_]")
+#: The same for Spark.
+_LETTER_SPARK = r"[\p{L}\p{Nl}\p{No}]"
 _SEEDS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 #: The temperature's range; texts that are all told apart would drive it to nothing.
 LEAST_T, MOST_T = 0.5, 20.0
@@ -160,7 +162,8 @@ def train(labelled: DataFrame) -> Model:
     """Fit on ``doc_id, text, lang``; rows without a lang or without a letter are left out.
 
     The document counts, at most ``DIM`` numbers, cover all rows.  The fit takes at most ``SAMPLE``
-    rows of a label, the least by hash of doc_id, in one task; its weights come to the driver.
+    rows of a label, the least by hash of doc_id and text, in one task; its weights come to the driver.
+    Only rows with a letter take a place, also those without a doc_id; equal rows take one.
     """
     text_batches(labelled.sparkSession)
     named = labelled.where("lang is not null").select(
@@ -174,21 +177,26 @@ def train(labelled: DataFrame) -> Model:
         else:
             df[slot] = n
     idf = np.log((1 + docs) / (1 + df)) + 0.1
-    chosen = sample_by_hash(named.select("doc_id", "lang"), "lang", ["doc_id"], SAMPLE)
-    chosen = chosen.select("doc_id").distinct()
-    sample = named.join(F.broadcast(chosen), "doc_id")
+    rows = named.where(F.col("text").rlike(_LETTER_SPARK)).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.xxhash64("text").alias("digest")
+    )
+    chosen = sample_by_hash(rows.select("lang", "doc_id", "digest").distinct(), "lang", ["doc_id", "digest"], SAMPLE)
+    taken = F.broadcast(chosen.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")))
+    same = (F.col("lang") == F.col("_lang")) & (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    # the rows taken are the ones fitted: of equal rows one
+    sample = rows.join(taken, same, "left_semi").groupBy("lang", "doc_id", "digest").agg(F.first("text").alias("text"))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [], [], [], []
-            for doc_id, text, lang in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True):
+            out = [], [], [], [], []
+            for doc_id, digest, text, lang in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "text", "lang")), strict=True):
                 if has_letter(text):
                     slots, many = counts(text)
-                    for c, v in zip(out, (doc_id, lang, slots.tolist(), many.tolist()), strict=True):
+                    for c, v in zip(out, (doc_id, lang, slots.tolist(), many.tolist(), digest), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.int64()))],
-                names=["doc_id", "lang", "slots", "many"],
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.int64())],
+                names=["doc_id", "lang", "slots", "many", "digest"],
             )
 
     shared = labelled.sparkSession.sparkContext.broadcast(idf)
@@ -196,8 +204,8 @@ def train(labelled: DataFrame) -> Model:
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _fit_rows(batches, shared.value)
 
-    vectors = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(
-        reduce, "doc_id long, lang string, slots array<int>, many array<long>"
+    vectors = sample.select("doc_id", "digest", "text", "lang").mapInArrow(
+        reduce, "doc_id long, lang string, slots array<int>, many array<long>, digest long"
     )
     # the sample is bounded: one task fits it, and the model alone comes to the driver
     found = vectors.repartition(1).mapInArrow(fit, "slot int, label string, weight double").toArrow()
@@ -217,13 +225,13 @@ def _fit_rows(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa
     """Fit the sample's vectors: non-zero weights by slot, at ``DIM`` the bias, above it the temperature."""
     got = []
     for batch in batches:
-        for i, (doc_id, lang) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+        for i, (doc_id, lang, digest) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 4)), strict=True)):
             slots = batch.column(2)[i].values.to_numpy().astype(np.intp)
             many = batch.column(3)[i].values.to_numpy().astype(float)
-            got.append((doc_id, lang, slots, TF_SCALE * many / many.sum() * idf[slots]))
+            got.append(((doc_id is None, doc_id or 0, lang, digest), lang, slots, TF_SCALE * many / many.sum() * idf[slots]))
     if not got:
         return
-    got.sort(key=lambda r: r[:2])
+    got.sort(key=lambda r: r[0])
     labels = sorted({r[1] for r in got})
     rows = [(slots, values, labels.index(lang)) for _, lang, slots, values in got]
     # every fifth row, spread by id order over all labels, is kept for the temperature

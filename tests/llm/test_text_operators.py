@@ -95,6 +95,16 @@ def test_language_learns_and_rejects(documents, odd, nothing):
     assert none.labels == [] and {r.doc_id for r in language.keep_identified(odd, none).collect()} == {0, 3, None, 4, 7, 8, 9}
 
 
+def test_language_learns_beside_rows_without_id(documents, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 20)
+    rows = [(None, prose(i, 30), "en", "s") for i in range(30)] + [(None, "12 34", "en", "s")] * 30
+    rows += [(9, prose(900, 30, "qrstuvwxyz"), "de", "s")] * 30
+    rows += [(i, prose(i, 30, "qrstuvwxyz"), "de", "s") for i in range(100, 140)]
+    model = language.train(documents(rows))
+    assert model.labels == ["de", "en"]
+    assert model.predict(prose(7000, 30))[0] == "en" and model.predict(prose(7001, 30, "qrstuvwxyz"))[0] == "de"
+
+
 def test_language_slices_do_not_change_the_counts(monkeypatch):
     text = prose(5, 400)
     whole = language.counts(text)
