@@ -27,8 +27,8 @@ HARMLESS = "example|sample|test|dummy|placeholder|commit|sha1|sha256|md5|checksu
 _ASSIGN = rf"(?i:(?:{NAMES})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?)"
 _KEY_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,30}PRIVATE KEY-----"
 CANDIDATE = rf"(?:{_KEY_BLOCK}|{_ASSIGN}[^\s\"',;]{{6,}}|{'|'.join(PROVIDERS)}|[A-Za-z0-9+/_-]{{16,}}={{0,2}})"
-#: Occurrences in the corpus that make a word part of its dictionary.
-DICTIONARY = 20
+#: Share of the distinct texts, and their least number, that hold a word of the corpus's dictionary.
+DICTIONARY, LEAST = 0.001, 2
 #: Labelled findings that the forest is fitted on, per label.
 SAMPLE = 2000
 FEATURES = (
@@ -80,9 +80,22 @@ def findings(docs: DataFrame) -> DataFrame:
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
-    """Words of three letters or more that the corpus holds ``DICTIONARY`` times; counts cover all texts."""
-    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}]+")).alias("word"))
-    return words.where(F.length("word") >= 3).groupBy("word").count().where(F.col("count") >= DICTIONARY).select("word")
+    """Words of three letters or more that a share ``DICTIONARY`` of the distinct texts hold outside candidates.
+
+    Every text counts; exact copies count as one text and a word once in it.
+    """
+    # n copies of a text weigh 1 / n each: no text has to move to make them one
+    texts = docs.where("text is not null").select(F.col("text").cast("string").alias("text"))
+    texts = texts.select("text", F.xxhash64("text").alias("digest"), F.octet_length("text").alias("bytes"))
+    copies = written(texts.groupBy("digest", "bytes").agg(F.count(F.lit(1)).alias("n")), "copies")
+    bar = max(float(LEAST), DICTIONARY * copies.count())
+    plain = F.lower(F.regexp_replace("text", CANDIDATE, " "))
+    words = F.array_distinct(F.filter(F.split(plain, r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
+    rows = texts.join(copies.where("n > 1"), ["digest", "bytes"], "left").select(
+        (F.lit(1.0) / F.coalesce("n", F.lit(1))).alias("weight"), F.explode(words).alias("word")
+    )
+    # sums of n parts of 1 / n, in any order, are whole up to rounding
+    return rows.groupBy("word").agg(F.sum("weight").alias("held")).where(F.col("held") >= bar - 1e-6).select("word")
 
 
 def featured(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -99,7 +112,7 @@ def featured(found: DataFrame, known: DataFrame) -> DataFrame:
             "size": F.least(F.length(value), F.lit(200)).cast("double"),
             "digits": share("[0-9]"), "uppers": share(r"\p{Lu}"), "lowers": share(r"\p{Ll}"),
             "others": share(r"[^\p{L}0-9]"), "changes": changes / F.greatest(F.length(value), F.lit(1)),
-            "distinct": F.size(F.array_distinct(F.split(F.substring(value, 1, 200), ""))) / F.greatest(F.least(F.length(value), F.lit(200)), F.lit(1)),
+            "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.greatest(F.length(value), F.lit(1)),
             "provider": value.rlike(f"^(?:{'|'.join(PROVIDERS)})$").cast("double"),
             "named_before": F.col("before").rlike(f"(?:{NAMES})[^a-z0-9]{{0,8}}$").cast("double"),
             "harmless_near": (F.col("before").rlike(HARMLESS) | F.col("after").rlike(HARMLESS)).cast("double"),
@@ -109,11 +122,11 @@ def featured(found: DataFrame, known: DataFrame) -> DataFrame:
             "assigned": F.col("assigned").cast("double"),
         }
     )
-    parts = F.filter(F.array_distinct(F.split(F.lower(F.substring(value, 1, 200)), r"[^\p{L}]+")), lambda w: F.length(w) >= 3)
+    parts = F.filter(F.split(F.lower(value), r"[^\p{L}]+"), lambda w: F.length(w) >= 3)
     own = out.select("key", "nth", F.explode(parts).alias("word"))
     hits = own.join(known, "word").groupBy("key", "nth").agg(F.sum(F.length("word")).alias("letters"))
     out = out.join(hits, ["key", "nth"], "left")
-    covered = F.least(F.coalesce("letters", F.lit(0)) / F.greatest(F.least(F.length(value), F.lit(200)), F.lit(1)), F.lit(1.0))
+    covered = F.least(F.coalesce("letters", F.lit(0)) / F.greatest(F.length(value), F.lit(1)), F.lit(1.0))
     return out.withColumn("covered", covered).drop("letters")
 
 

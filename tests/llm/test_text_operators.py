@@ -138,6 +138,22 @@ def test_secrets_found_and_masked(documents, odd, nothing):
     assert secrets.scan(nothing).count() == 0 and secrets.redact(nothing).count() == 0
 
 
+def test_secrets_do_not_learn_words_from_candidates(documents):
+    leaked = "qzxkvbnmlkj-trwpqsdfgh-1"
+    rows = [(i, f"river gauge {prose(i, 5)} {leaked} end", "en", "s") for i in range(30)]
+    rows += [(100 + i, "copied zanzibar text", "en", "s") for i in range(30)]
+    known = {r.word for r in secrets.dictionary(documents(rows)).collect()}
+    assert {"river", "gauge", "end"} <= known and not known & {"qzxkvbnmlkj", "trwpqsdfgh", "zanzibar", "copied"}
+
+
+def test_secrets_features_cover_the_whole_value(documents):
+    value = "A1" * 120 + "/alpha" * 60
+    docs = documents([(0, f"x {value} y", "en", "s")])
+    known = docs.select(F.lit("alpha").alias("word"))
+    row = secrets.featured(secrets.findings(docs), known).first()
+    assert row.value == value and row.covered == 300 / 600 and row.distinct == 7 / 600
+
+
 def test_secrets_take_reviewed_labels(documents):
     docs = documents([(i, f"{prose(i, 5)} {'abcdefgh' * 3}{i} {prose(i, 5)} {'0123456789' * 2}{i}", "en", "s") for i in range(20)])
     labelled = secrets.findings(docs).select("key", "nth", (F.col("nth") == 0).cast("int").alias("label"))
