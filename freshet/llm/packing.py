@@ -1,6 +1,7 @@
 """Best-fit packing of token sequences by a grouping genetic algorithm.
 
-Whole texts are tokenized once and only the pieces' lengths and digests are kept, as a table.
+Whole texts are tokenized once; the pieces with their ids are kept as a table.  The search below sees
+items and lengths alone, and the ids join its result at the end.
 Pieces of full length are sequences of their own.  The others are dealt out to shards of about
 ``SHARD`` pieces; on every shard several islands evolve packings.  A crossover injects well-filled
 bins of one parent into another, removes the bins that hold an injected piece, and best-fits the
@@ -34,8 +35,13 @@ POPULATION = 4
 FULL = 0.995
 
 _PIECES = pa.schema(
-    [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    [
+        ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
+        ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32())),
+    ]
 )
+#: Ids in one batch of pieces, but for those of a single longer text.
+IDS = 1 << 20
 #: Texts of these characters are split alike by both libraries of the same vocabulary.
 _COMMON = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
 
@@ -73,23 +79,54 @@ def encode(text: str, path: str, rank_path: str | None) -> np.ndarray:
 
 
 def pieces(docs: DataFrame, path: str, rank_path: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """Cut documents longer than ``limit``; only the first piece of one may be shorter."""
+    """Cut documents longer than ``limit``; only the first piece of one may be shorter.
+
+    ``ids`` holds a piece's tokens, the last piece's with the end mark.
+    """
     text_batches(docs.sparkSession)
 
+    def made(out: list[list], ids: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array(c, f.type) for c, f in zip(out, _PIECES, strict=False)]
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        flat = np.concatenate([np.zeros(0, "<u4"), *ids]).astype(np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+        return pa.RecordBatch.from_arrays(columns, schema=_PIECES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
+            parts: list[np.ndarray] = []
+            held = 0
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids = encode(text.as_py() or "", path, rank_path)
+                if held and held + len(ids) > IDS:
+                    yield made(out, parts)
+                    out, parts, held = [[], [], [], [], []], [], 0
+                held += len(ids)
                 first = len(ids) % limit or limit
                 for n, start in enumerate([0, *range(first, len(ids), limit)]):
                     part = ids[start : first if n == 0 else start + limit]
+                    parts.append(part)
                     for c, v in zip(out, (doc_id.as_py(), n, start, len(part), zlib.crc32(part.tobytes())), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PIECES, strict=True)], schema=_PIECES)
+            yield made(out, parts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>")
+
+
+def digested(packed: DataFrame) -> DataFrame:
+    """``packed`` with ``ids_crc32`` taken anew from ``ids``, which go."""
+    text_batches(packed.sparkSession)
+    names = [c for c in packed.columns if c != "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [zlib.crc32(v.values.to_numpy().astype("<u4").tobytes()) for v in batch.column("ids")]
+            columns = [pa.array(found, pa.int64()) if c == "ids_crc32" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return packed.mapInArrow(run, packed.drop("ids").schema)
 
 
 class Packing:

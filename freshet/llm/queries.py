@@ -106,7 +106,7 @@ def op6(spark, folder):
         public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.path("byte_bpe_50k.tiktoken"),
     )
-    return packing.pack(cut)
+    return packing.digested(packing.pack(cut))
 
 
 @query("op7_warc")

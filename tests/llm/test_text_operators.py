@@ -232,6 +232,17 @@ def test_packing_round_trip(documents, odd, nothing):
     assert packing.pack(packing.pieces(nothing, JSON, RANKS)).count() == 0
 
 
+def test_packing_returns_the_tokens(documents):
+    texts = {i: prose(i, 20 + 30 * i) for i in range(30)}
+    packed = packing.pack(packing.pieces(documents([(i, t, "en", "s") for i, t in texts.items()]), JSON, RANKS, 128), 128)
+    rows = sorted(packed.collect(), key=lambda r: (r.doc_id, r.piece))
+    for i, text in texts.items():
+        assert [v for r in rows if r.doc_id == i for v in r.ids] == packing.encode(text, JSON, RANKS).tolist()
+    assert all(len(r.ids) == r.length for r in rows)
+    digests = packing.digested(packed).select("doc_id", "piece", "ids_crc32").collect()
+    assert sorted(map(tuple, digests)) == [(r.doc_id, r.piece, r.ids_crc32) for r in rows]
+
+
 def test_packing_over_several_shards(documents, monkeypatch):
     monkeypatch.setattr(packing, "SHARD", 16)
     rows = [(i, prose(i, 10 + i)) for i in range(100)]
