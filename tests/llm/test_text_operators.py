@@ -292,6 +292,20 @@ def test_shards_fit(documents, odd, nothing):
     assert sharding.shards(nothing, "doc_id", F.octet_length("text"), 1000).count() == 0
 
 
+def test_parts_of_a_hot_id_fit(documents):
+    rows = [(7, "x" * 60, "en", "s")] * 30 + [(None, "y" * 70, "en", "s")] * 10 + [(8, "z" * 300, "en", "s"), (7, None, "en", "s")]
+    rows += [(7, "x" * 250, "en", "s")] * 2 + [(i, "a" * 9, "en", "s") for i in range(100, 150)]
+    got = sharding.shards(documents(rows), "doc_id", F.octet_length("text"), 100).collect()
+    assert len(got) == len(rows)
+    held = defaultdict(list)
+    for r in got:
+        held[r.depth, r.prefix, r.part].append(r)
+    for own in held.values():
+        sizes = [len(r.text or "") for r in own]
+        assert sum(sizes) <= 100 or len(sizes) == 1
+        assert {r.part_bytes for r in own} == {sum(sizes)}
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages_take_odd_and_empty_tables(spark, odd, nothing, tmp_path, name, stage):
     spark.createDataFrame([(3, 1, 0), (4, 0, 1), (7, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
