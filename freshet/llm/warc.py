@@ -142,12 +142,20 @@ class Member:
                 return True
         return False
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        while (at := self.ready.find(mark)) < 0:
-            if len(self.ready) > most or not self._more():
+    def until(self, mark: bytes) -> bytes:
+        """The bytes before ``mark``: a header is as long as its url, at most the whole member."""
+        parts, tail = [], b""
+        while (at := (tail + self.ready).find(mark)) < 0:
+            # what may hold the start of the mark is looked at again
+            whole = tail + self.ready
+            keep = min(len(whole), len(mark) - 1)
+            parts.append(whole[: len(whole) - keep])
+            tail, self.ready = whole[len(whole) - keep :], b""
+            if not self._more():
                 raise Damaged("a header without an end")
-        found, self.ready = self.ready[:at], self.ready[at + len(mark) :]
-        return found
+        whole = tail + self.ready
+        self.ready = whole[at + len(mark) :]
+        return b"".join([*parts, whole[:at]])
 
     def take(self, count: int) -> Iterator[bytes]:
         while count:

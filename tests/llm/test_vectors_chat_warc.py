@@ -172,6 +172,16 @@ def test_warc_round_trip(spark):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_warc_reads_urls_of_any_length(spark):
+    import random
+
+    rng = random.Random(3)
+    url = "http://h/" + "".join(rng.choice("abcdefgh0123456789") for _ in range(3 << 20))
+    df = spark.createDataFrame([(1, "u", "<p>a</p>"), (2, url, "<p>b</p>"), (3, "v", "<p>c</p>")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.archive(df.coalesce(1)).collect()}
+    assert sorted(got) == [1, 2, 3] and all(r.verified for r in got.values()) and got[2].url == url
+
+
 def test_warc_members_and_damage(spark, tmp_path):
     good = [warc.record(i, "u", b"x" * (70000 * i), None) for i in range(4)]
     plain = gzip.decompress(good[1])
