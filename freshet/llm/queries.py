@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, cover_tree, language, mixing, near_dedup, packing, secrets, sharding, top_k, warc
+from . import chat, cover_tree, language, mixing, near_dedup, packing, secrets, sharding, top_k, trie, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,49 @@ def op9(spark, folder):
 @query("op10_top_k")
 def op10(spark, folder):
     return top_k.top_k(table(spark, folder, "embeddings"), 20, 20, 64.0)
+
+
+#: The CRC-32 polynomial, bit by bit: -1 stands for one shift in the list of steps.
+OP11_SQL = """
+WITH turns AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), steps AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, flatten(list_transform(
+           string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS todo
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), ids AS (
+  SELECT conv_id, base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), todo), lambda a, s:
+           CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) % 9 AS h
+  FROM steps
+), parts AS (
+  SELECT i.conv_id, place, t FROM ids i JOIN turns s ON s.conv_id = i.base AND place <= h
+  UNION ALL
+  SELECT i.conv_id, place, t FROM ids i JOIN turns s ON s.conv_id = i.conv_id AND place > h
+), whole AS (
+  SELECT i.conv_id, coalesce(list(t ORDER BY place) FILTER (WHERE t IS NOT NULL), []) AS seq
+  FROM ids i LEFT JOIN parts p ON p.conv_id = i.conv_id GROUP BY i.conv_id
+), members AS (
+  SELECT conv_id, d, seq[1:d] AS prefix, d = len(seq) AS ends FROM whole, range(0, len(seq) + 1) r(d)
+), nodes AS (
+  SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(array_to_string(list(conv_id ORDER BY conv_id) FILTER (WHERE ends), ','), '') AS listed
+  FROM members GROUP BY prefix, d
+), children AS (
+  SELECT prefix[1:d - 1] AS prefix, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1
+), above AS (
+  SELECT n.prefix[1:k] AS prefix, CAST(k AS BIGINT) AS d, count(*) FILTER (WHERE c.prefix IS NULL) AS n_leaves,
+         CAST(sum(CASE WHEN n.d = 0 THEN 0 ELSE (n.n - 1) * strlen(n.prefix[-1].text) END) AS BIGINT) AS saved_tokens
+  FROM nodes n LEFT JOIN children c ON c.prefix = n.prefix, range(0, n.d + 1) r(k) GROUP BY 1, 2
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(c.n_children, 0) AS n_children,
+       a.n_leaves, a.saved_tokens, sha256(n.listed) AS ends_sha256
+FROM nodes n JOIN above a ON a.prefix = n.prefix LEFT JOIN children c ON c.prefix = n.prefix
+LEFT JOIN nodes p ON n.d > 0 AND p.prefix = n.prefix[1:n.d - 1]
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark, folder):
+    turns, ids = trie.rebuilt(trie.in_order(table(spark, folder, "conversations")))
+    return trie.prefix_trie(turns, ids).drop("key", "parent_key")
