@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,10 @@ from pyspark.sql.window import Window
 
 from ..session import shared_folder
 
+#: Bytes of one slice of a long text, and where it may be cut.
+SLICE = 1 << 22
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
 #: Rows in one Arrow batch of whole texts; long texts then stay far below a worker's memory.
 TEXT_ROWS = 256
 
@@ -52,3 +58,15 @@ def sample_by_hash(rows: DataFrame, group: str, keys: list[str], most: int) -> D
     thin = rows.join(F.broadcast(sizes), group).where(unit < F.lit(4.0 * most + 100) / F.col("_rows")).drop("_rows")
     by = Window.partitionBy(group).orderBy(unit, *keys)
     return thin.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= most).drop("_rank")
+
+
+def slices(text: bytes) -> Iterator[bytes]:
+    """A text cut at blanks into parts of about ``SLICE`` bytes, so that no list of words grows with it."""
+    at = 0
+    while len(text) - at > SLICE:
+        blank = BLANK.search(text, at + SLICE)
+        if blank is None:
+            break
+        yield text[at : blank.start()]
+        at = blank.end()
+    yield text[at:] if at else text

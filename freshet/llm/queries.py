@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, cover_tree, language, mixing, near_dedup, packing, secrets, sharding, top_k, trie, warc
+from . import bloom_lm, chat, cover_tree, language, lexical, mixing, near_dedup, packing, secrets, sharding, top_k, trie, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,3 +184,44 @@ LEFT JOIN nodes p ON n.d > 0 AND p.prefix = n.prefix[1:n.d - 1]
 def op11(spark, folder):
     turns, ids = trie.rebuilt(trie.in_order(table(spark, folder, "conversations")))
     return trie.prefix_trie(turns, ids).drop("key", "parent_key")
+
+
+@query("op12_bloom_lm")
+def op12(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", bloom_lm.held_out("doc_id").alias("held_out"))
+    return bloom_lm.score(docs, bloom_lm.train(docs.where("not held_out")), ["doc_id", "held_out"])
+
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), whole AS (
+  SELECT CAST(count(*) FILTER (WHERE len(ts) > 0) AS BIGINT) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM words
+), asked AS (
+  SELECT item_id, t, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM (SELECT item_id, min(text) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY 1))
+  GROUP BY 1, 2
+), postings AS (
+  SELECT row, doc_id, n, t, count(*) AS tf FROM (SELECT row, doc_id, len(ts) AS n, unnest(ts) AS t FROM words)
+  WHERE t IN (SELECT t FROM asked) GROUP BY 1, 2, 3, 4
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, whole GROUP BY t, n_docs
+), scored AS (
+  SELECT item_id, row, doc_id,
+         CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (t) JOIN weights USING (t), whole GROUP BY 1, 2, 3
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0
+) WHERE rank <= 10
+"""
+
+
+@query("op13_lexical_search", OP13_SQL)
+def op13(spark, folder):
+    return lexical.search(table(spark, folder, "benchmark"), table(spark, folder, "documents"), 10)
