@@ -290,7 +290,7 @@ def _texts() -> Column:
     return F.col("text").cast("string").cast("binary").alias("text")
 
 
-def train(docs: DataFrame, order: int = 2, prior: float = 100.0, base: float = 1.5) -> Model:
+def train(docs: DataFrame, order: int = 2, prior: float = 300.0, base: float = 1.5) -> Model:
     """Count words and n-grams of the whole column ``text`` and build the filter; null texts are empty.
 
     Tokens are words ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case, and one end per text; a text begins after an end.
