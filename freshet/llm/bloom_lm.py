@@ -25,13 +25,13 @@ which is hot.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -41,7 +41,7 @@ from .common import slices, written
 
 END = b""
 #: Text bytes per bucket of n-grams.
-BUCKET_BYTES = 1 << 25
+BUCKET_BYTES = 1 << 23
 #: Filter bits per inserted pair.
 BITS = 10
 #: Largest filter that is broadcast, in bytes.
@@ -50,8 +50,8 @@ BROADCAST = 1 << 27
 SHARE = 1 << 20
 #: n-grams that a task counts before it sends them on.
 HELD = 1 << 22
-#: Tokens scored at a time.
-CHUNK = 1 << 17
+#: Bytes of text that are read at a time.
+CHUNK = 1 << 21
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _HALF = np.uint64(32)
 
@@ -91,13 +91,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _masks() -> np.ndarray:
+    """For each 16 bits a word with four bits set, drawn once and for all."""
+    bits = np.random.Generator(np.random.PCG64(12)).integers(0, 64, (4, 1 << 16), dtype=np.uint64)
+    return np.bitwise_or.reduce(np.uint64(1) << bits, axis=0)
+
+
+_MASKS = _masks()
+
+
 def _cells(grams: np.ndarray, level: int, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The word of a (n-gram, level) pair in its block, and the four bits there."""
-    x = _mixed(grams + np.array([level], np.uint64) * _STEP)
-    mask = np.zeros(len(x), np.uint64)
-    for shift in (0, 6, 12, 18):
-        mask |= np.uint64(1) << ((x >> np.uint64(shift)) & np.uint64(63))
-    return (((x >> _HALF) * np.uint64(words)) >> _HALF).astype(np.int64), mask
+    x = (grams ^ (np.array([level], np.uint64) * _STEP)) * _MIX
+    return (((x >> _HALF) * np.uint64(words)) >> _HALF).astype(np.int64), _MASKS[x & np.uint64(0xFFFF)]
 
 
 def block(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -124,47 +130,86 @@ def probe(words: np.ndarray, grams: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tokens:
-    """Some texts' tokens in a row: words, row of each, and for each order the hash of the n-gram that ends there."""
+    """Some texts' tokens in a row.
 
-    words: list[bytes]
-    doc: np.ndarray
-    grams: list[np.ndarray]
-    contexts: list[np.ndarray]
+    ``names`` are the distinct words, the end last, ``hashes`` theirs; ``codes`` the words of a row that holds every text's
+    context before it; ``grams`` for each order the hash of the n-gram that ends at a place; ``at`` the places of tokens
+    and ``doc`` the text of each.
+    """
 
+    names: pa.Array
+    hashes: np.ndarray
+    codes: np.ndarray
+    grams: list[np.ndarray]
+    at: np.ndarray
+    doc: np.ndarray
 
-def tokens(texts: Iterator[bytes | None], order: int) -> Iterator[Tokens]:
-    """Texts in chunks of bounded size: a long text is read in slices that carry their context on."""
-    begin = [xxh3_64_intdigest(END)] * (order - 1)
-    words, doc, hashes, real, size = [], [], [], [], 0
 
-    def ready() -> Tokens:
-        own = np.concatenate([np.array(h, np.uint64) for h in hashes])
-        at = np.flatnonzero(np.concatenate(real))
+def _bytes(names: pa.Array) -> list[bytes]:
+    """A binary array as Python bytes."""
+    offsets = np.frombuffer(names.buffers()[1], np.int32)[names.offset : names.offset + len(names) + 1].tolist()
+    data = names.buffers()[2].to_pybytes() if names.buffers()[2] is not None else b""
+    return [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _named(names: pa.Array) -> np.ndarray:
+    return np.array(list(map(xxh3_64_intdigest, _bytes(names))), np.uint64)
+
+
+def _added(names: list[pa.Array], counts: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """Distinct names and the sums of their counts."""
+    coded = pa.concat_arrays([*names, pa.array([], pa.binary())]).dictionary_encode()
+    total = np.zeros(len(coded.dictionary), np.int64)
+    np.add.at(total, coded.indices.to_numpy(), np.concatenate([*counts, np.empty(0, np.int64)]))
+    return coded.dictionary, total
+
+
+def _chunks(column: pa.Array) -> Iterator[tuple[pa.Array, int, bool, bool]]:
+    """Texts of some ``CHUNK`` bytes, the number of the first, and whether they begin and end here: long ones come in slices."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start = 0
+    while start < len(column):
+        if size[start] > CHUNK:
+            parts = list(slices(column[start].as_py().encode(), CHUNK))
+            for i, part in enumerate(parts):
+                yield pa.array([part.decode()]), start, i == 0, i == len(parts) - 1
+            start += 1
+            continue
+        end, held = start, 0
+        while end < len(column) and size[end] <= CHUNK and held <= CHUNK:
+            held, end = held + int(size[end]), end + 1
+        yield column.slice(start, end - start).fill_null(""), start, True, True
+        start = end
+
+
+def tokens(column: pa.Array, order: int) -> Iterator[Tokens]:
+    """A column of texts in chunks of bounded size; the slices of a long text carry their context on."""
+    pad, carried = order - 1, None
+    for texts, first, begins, ends in _chunks(column):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+        flat = lists.flatten()
+        word = pc.greater(pc.binary_length(flat), 0)
+        owner, coded = owner[word.to_numpy(zero_copy_only=False)], flat.filter(word).dictionary_encode()
+        names = pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+        hashes = _named(names)
+        sizes = np.bincount(owner, minlength=len(texts)) + int(ends)
+        begin = np.cumsum(sizes + pad) - sizes - pad
+        codes = np.full(int((sizes + pad).sum()), len(names) - 1)
+        within = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        codes[begin[owner] + pad + within] = coded.indices.to_numpy()
+        own = hashes[codes]
+        if not begins and pad:
+            own[:pad] = carried
+        carried = own[len(own) - pad :]
         grams = [own]
         for _ in range(1, order):
             longer = np.zeros_like(own)
             longer[1:] = _mixed(grams[-1][:-1] * _MIX ^ own[1:])
             grams.append(longer)
-        return Tokens(words, np.concatenate(doc), [g[at] for g in grams], [g[at - 1] for g in grams[:-1]])
-
-    for number, text in enumerate(texts):
-        context, parts = begin, list(slices((text or b"").lower()))
-        for i, part in enumerate(parts):
-            found = part.split()
-            if i == len(parts) - 1:
-                found.append(END)
-            own = list(map(xxh3_64_intdigest, found))
-            words.extend(found)
-            hashes.append(context + own)
-            real.append(np.r_[np.zeros(order - 1, bool), np.ones(len(own), bool)])
-            doc.append(np.full(len(own), number))
-            context = (context + own)[len(context + own) - (order - 1) :]
-            size += len(own)
-            if size >= CHUNK:
-                yield ready()
-                words, doc, hashes, real, size = [], [], [], [], 0
-    if hashes:
-        yield ready()
+        real = np.ones(len(own), bool)
+        real[(begin[:, None] + np.arange(pad)).ravel()] = False
+        yield Tokens(names, hashes, codes, grams, np.flatnonzero(real), first + np.repeat(np.arange(len(texts)), sizes))
 
 
 def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,10 +219,7 @@ def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return grams[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-_COUNTED = pa.schema([
-    ("bucket", pa.int32()), ("words", pa.large_binary()), ("word_counts", pa.large_binary()), ("grams", pa.large_binary()), ("gram_counts", pa.large_binary()),
-])
-_COUNTED_SQL = "bucket int, words binary, word_counts binary, grams binary, gram_counts binary"
+_COUNTED_SQL = "bucket int, words binary, sizes binary, word_counts binary, grams binary, gram_counts binary"
 
 
 def _binary(values: list[bytes]) -> pa.Array:
@@ -187,39 +229,42 @@ def _binary(values: list[bytes]) -> pa.Array:
 def _count(order: int, buckets: int):
     """Counts of a task's words and n-grams (from two words on), one row per bucket and ``HELD`` n-grams."""
 
-    def sent(words: Counter, grams: list[np.ndarray]) -> pa.RecordBatch:
-        names = list(words)
-        hashes = np.array(list(map(xxh3_64_intdigest, names)), np.uint64)
+    def sent(names: list[pa.Array], times: list[np.ndarray], grams: list[np.ndarray]) -> pa.RecordBatch:
+        words, totals = _added(names, times)
+        hashes = _named(words)
         by = np.argsort(hashes)
-        where, totals = bucket_of(hashes[by], buckets), np.array(list(words.values()), np.int64)[by]
-        every = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-        found, counts = np.unique(every, return_counts=True)
+        words, totals, where = words.take(pa.array(by)), totals[by], bucket_of(hashes[by], buckets)
+        offsets, data = np.frombuffer(words.buffers()[1], np.int32), words.buffers()[2].to_pybytes()
+        found, counts = np.unique(np.concatenate(grams) if grams else np.empty(0, np.uint64), return_counts=True)
         ends = np.arange(buckets + 1)
         word_cut, gram_cut = np.searchsorted(where, ends), np.searchsorted(bucket_of(found, buckets), ends)
         used = np.flatnonzero((np.diff(word_cut) > 0) | (np.diff(gram_cut) > 0))
-        columns = [[], [], [], []]
+        columns = [[], [], [], [], []]
         for b in used:
-            w, g = slice(word_cut[b], word_cut[b + 1]), slice(gram_cut[b], gram_cut[b + 1])
-            columns[0].append(b" ".join(names[i] for i in by[w]))
-            columns[1].append(totals[w].tobytes())
-            columns[2].append(found[g].tobytes())
-            columns[3].append(counts[g].astype(np.int64).tobytes())
+            w, z, g = word_cut[b], word_cut[b + 1], slice(gram_cut[b], gram_cut[b + 1])
+            columns[0].append(data[offsets[w] : offsets[z]])
+            columns[1].append(np.diff(offsets[w : z + 1]).tobytes())
+            columns[2].append(totals[w:z].tobytes())
+            columns[3].append(found[g].tobytes())
+            columns[4].append(counts[g].astype(np.int64).tobytes())
         return pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()), *map(_binary, columns)], ["bucket", "words", "word_counts", "grams", "gram_counts"]
+            [pa.array(used, pa.int32()), *map(_binary, columns)], ["bucket", "words", "sizes", "word_counts", "grams", "gram_counts"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, grams, held = Counter(), [], 0
+        names, times, grams, held = [], [], [], 0
         for batch in batches:
-            for part in tokens((t.as_py() for t in batch.column(0)), order):
-                words.update(part.words)
-                grams.extend(part.grams[1:])
-                held += len(part.words) * order
+            for part in tokens(batch.column(0), order):
+                seen = np.bincount(part.codes[part.at], minlength=len(part.names))
+                names.append(part.names.filter(pa.array(seen > 0)))
+                times.append(seen[seen > 0])
+                grams.extend(g[part.at] for g in part.grams[1:])
+                held += len(part.at) * order
                 if held >= HELD:
-                    yield sent(words, grams)
-                    words, grams, held = Counter(), [], 0
-        if words:
-            yield sent(words, grams)
+                    yield sent(names, times, grams)
+                    names, times, grams, held = [], [], [], 0
+        if names:
+            yield sent(names, times, grams)
 
     return run
 
@@ -230,43 +275,42 @@ _MODEL_SQL = "bucket int, bits binary, pairs long, word binary, hash long, n lon
 def _build(levels: Levels):
     """Rows of one bucket after another -> its filter block, then its words with exact counts."""
 
-    def made(bucket: int, words: Counter, grams: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        names, totals = list(words), np.array(list(words.values()), np.int64)
-        hashes = np.array(list(map(xxh3_64_intdigest, names)), np.uint64)
+    def made(bucket: int, names: pa.Array, totals: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        hashes = _named(names)
         of = levels.of(np.r_[totals, counts])
         bits = block(np.r_[hashes, grams], of)
-        yield batch([bucket], [bits.tobytes()], [int(of.sum())], [None], [None], [None])
+        yield batch([bucket], _binary([bits.tobytes()]), [int(of.sum())], _binary([None]), [None], [None])
         for at in range(0, len(names), 1 << 14):
-            part = slice(at, at + (1 << 14))
-            n = len(names[part])
-            yield batch([bucket] * n, [None] * n, [None] * n, names[part], hashes[part].view(np.int64), totals[part])
+            n = min(1 << 14, len(names) - at)
+            part = slice(at, at + n)
+            yield batch([bucket] * n, _binary([None] * n), [None] * n, names[part], hashes[part].view(np.int64), totals[part])
 
     def batch(bucket, bits, pairs, word, hashes, n) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(bucket, pa.int32()), _binary(bits), pa.array(pairs, pa.int64()), _binary(word), pa.array(hashes, pa.int64()), pa.array(n, pa.int64())],
+            [pa.array(bucket, pa.int32()), bits, pa.array(pairs, pa.int64()), word, pa.array(hashes, pa.int64()), pa.array(n, pa.int64())],
             ["bucket", "bits", "pairs", "word", "hash", "n"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, words, grams, counts, held = None, Counter(), [], [], 0
+        bucket, names, totals, grams, counts, held = None, [], [], [], [], 0
         for rows in batches:
-            for own, names, totals, found, seen in zip(*(rows.column(i) for i in range(5)), strict=True):
+            for own, words, sizes, times, found, seen in zip(*(rows.column(i) for i in range(6)), strict=True):
                 if own.as_py() != bucket:
                     if bucket is not None:
-                        yield from made(bucket, words, *_summed(np.concatenate(grams), np.concatenate(counts)))
-                    bucket, words, grams, counts, held = own.as_py(), Counter(), [], [], 0
-                totals = np.frombuffer(totals.as_py(), np.int64)
-                # an empty blob holds no word, or the end alone
-                for name, n in zip(names.as_py().split(b" ") if len(totals) else (), totals.tolist(), strict=True):
-                    words[name] += n
+                        yield from made(bucket, *_added(names, totals), *_summed(np.concatenate(grams), np.concatenate(counts)))
+                    bucket, names, totals, grams, counts, held = own.as_py(), [], [], [], [], 0
+                sizes = np.frombuffer(sizes.as_py(), np.int32)
+                ends = pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+                names.append(pa.Array.from_buffers(pa.binary(), len(sizes), [None, ends, pa.py_buffer(words.as_py())]))
+                totals.append(np.frombuffer(times.as_py(), np.int64))
                 grams.append(np.frombuffer(found.as_py(), np.uint64))
                 counts.append(np.frombuffer(seen.as_py(), np.int64))
-                held += len(grams[-1])
-                if held >= HELD:
-                    both = _summed(np.concatenate(grams), np.concatenate(counts))
-                    grams, counts, held = [both[0]], [both[1]], 0
+                held += len(grams[-1]) + len(sizes)
+                if held >= HELD // 4:
+                    both, (word, total) = _summed(np.concatenate(grams), np.concatenate(counts)), _added(names, totals)
+                    names, totals, grams, counts, held = [word], [total], [both[0]], [both[1]], 0
         if bucket is not None:
-            yield from made(bucket, words, *_summed(np.concatenate(grams), np.concatenate(counts)))
+            yield from made(bucket, *_added(names, totals), *_summed(np.concatenate(grams), np.concatenate(counts)))
 
     return run
 
@@ -287,7 +331,7 @@ class Model:
 
 
 def _texts() -> Column:
-    return F.col("text").cast("string").cast("binary").alias("text")
+    return F.col("text").cast("string").alias("text")
 
 
 def train(docs: DataFrame, order: int = 2, prior: float = 300.0, base: float = 1.5) -> Model:
@@ -338,43 +382,50 @@ def _score(model: Model, heavy, shards):
     shape = Model(None, None, buckets, model.tokens, model.distinct, model.bytes, order, model.prior, model.levels)
 
     def levels(grams: np.ndarray) -> np.ndarray:
-        found, back = np.unique(grams, return_inverse=True)
-        out = np.zeros(len(found), np.int16)
-        cuts = np.searchsorted(bucket_of(found, buckets), np.arange(buckets + 1))
+        where = bucket_of(grams, buckets)
+        by = np.argsort(where.astype(np.uint16) if buckets <= 1 << 16 else where, kind="stable")
+        out = np.zeros(len(grams), np.int16)
+        cuts = np.searchsorted(where[by], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)):
             if b in shards:
-                part = slice(cuts[b], cuts[b + 1])
-                out[part] = probe(np.frombuffer(shards[b].value, np.uint64), found[part])
-        return out[back]
+                rows = by[cuts[b] : cuts[b + 1]]
+                out[rows] = probe(np.frombuffer(shards[b].value, np.uint64), grams[rows])
+        return out
+
+    def scores(part: Tokens) -> np.ndarray:
+        single = levels(part.hashes)[part.codes]
+        if order > 1:
+            # a slice's carried context need not be among its own words
+            single[: order - 1] = levels(part.grams[0][: order - 1])
+        every = [single, *map(levels, part.grams[1:])]
+        own, contexts = [e[part.at] for e in every], [e[part.at - 1] for e in every[:-1]]
+        return np.log10(probability(shape, own, contexts, np.minimum, expected.__getitem__, unit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = heavy.value
         for batch in batches:
             n = batch.num_rows
-            total, known, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-            light: list[list] = [[] for _ in range(n)]
-            tf: list[list] = [[] for _ in range(n)]
-            for part in tokens((t.as_py() for t in batch.column(1)), order):
-                names, first, back = np.unique(part.grams[0], return_index=True, return_inverse=True)
-                at = np.minimum(np.searchsorted(hashes, names), max(0, len(hashes) - 1))
-                hit = hashes[at] == names if len(hashes) else np.zeros(len(names), bool)
-                share = np.where(hit, np.log10((counts[at] + 0.1) / unit), 0.0) if len(hashes) else np.zeros(len(names))
-                np.add.at(total, part.doc, 1)
-                np.add.at(known, part.doc, hit[back])
-                np.add.at(base, part.doc, share[back])
-                rest = np.flatnonzero(~hit[back])
-                pairs, times = np.unique(part.doc[rest] * len(names) + back[rest], return_counts=True)
-                for pair, count in zip(pairs.tolist(), times.tolist(), strict=True):
-                    doc, name = divmod(pair, len(names))
-                    light[doc].append(part.words[first[name]])
-                    tf[doc].append(count)
+            total, known, base, score = (np.zeros(n) for _ in range(4))
+            docs, light, tf = [np.empty(0, np.int64)], [pa.array([], pa.binary())], [np.empty(0, np.int64)]
+            for part in tokens(batch.column(1), order):
+                at = np.minimum(np.searchsorted(hashes, part.hashes), max(0, len(hashes) - 1))
+                hit = hashes[at] == part.hashes if len(hashes) else np.zeros(len(at), bool)
+                share = np.where(hit, np.log10((counts[at] + 0.1) / unit), 0.0) if len(hashes) else np.zeros(len(at))
+                codes = part.codes[part.at]
+                total += np.bincount(part.doc, minlength=n)
+                known += np.bincount(part.doc, hit[codes], minlength=n)
+                base += np.bincount(part.doc, share[codes], minlength=n)
+                rest = ~hit[codes]
+                pairs, times = np.unique(part.doc[rest] * len(part.names) + codes[rest], return_counts=True)
+                docs.append(pairs // len(part.names))
+                light.append(part.names.take(pa.array(pairs % len(part.names))))
+                tf.append(times)
                 if shards is not None:
-                    own = [levels(g) for g in part.grams]
-                    contexts = [levels(g) for g in part.contexts]
-                    p = probability(shape, own, contexts, np.minimum, expected.__getitem__, unit)
-                    np.add.at(score, part.doc, np.log10(p))
+                    score += np.bincount(part.doc, scores(part), minlength=n)
+            ends = pa.array(np.searchsorted(np.concatenate(docs), np.arange(n + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, v) for v in (pa.concat_arrays(light), pa.array(np.concatenate(tf)))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(total), pa.array(known), pa.array(base), pa.array(score), pa.array(light, pa.list_(pa.binary())), pa.array(tf, pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(2), *(pa.array(v.astype(np.int64)) for v in (total, known)), pa.array(base), pa.array(score), *lists],
                 ["row", "kept", "n_tokens", "known", "base", "score", "light", "tf"],
             )
 
@@ -387,8 +438,9 @@ def _asked(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(0).to_numpy()
-            for part in tokens((t.as_py() for t in batch.column(1)), order):
-                keys = np.stack([part.doc.astype(np.uint64), *part.grams, *part.contexts])
+            for part in tokens(batch.column(1), order):
+                grams = [g[part.at] for g in part.grams] + [g[part.at - 1] for g in part.grams[:-1]]
+                keys = np.stack([part.doc.astype(np.uint64), *grams])
                 found, times = np.unique(keys, axis=1, return_counts=True)
                 grams = pa.array(found[1:].T.astype(np.uint64).view(np.int64).tolist(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(rows[found[0].astype(np.int64)]), grams, pa.array(times, pa.int64())], ["row", "grams", "times"])

@@ -60,11 +60,11 @@ def sample_by_hash(rows: DataFrame, group: str, keys: list[str], most: int) -> D
     return thin.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= most).drop("_rank")
 
 
-def slices(text: bytes) -> Iterator[bytes]:
-    """A text cut at blanks into parts of about ``SLICE`` bytes, so that no list of words grows with it."""
-    at = 0
-    while len(text) - at > SLICE:
-        blank = BLANK.search(text, at + SLICE)
+def slices(text: bytes, size: int | None = None) -> Iterator[bytes]:
+    """A text cut at blanks into parts of about ``size`` bytes (else ``SLICE``), so that no list of words grows with it."""
+    at, size = 0, size or SLICE
+    while len(text) - at > size:
+        blank = BLANK.search(text, at + size)
         if blank is None:
             break
         yield text[at : blank.start()]

@@ -173,7 +173,7 @@ def impacts(weight: np.ndarray, tf: np.ndarray, length: np.ndarray, docs: int, t
 _FOUND_SQL = "item int, doc_id long, score long"
 
 
-def _search(asked, weight, docs: int, total: int, k: int):
+def _search(asked, weight, docs: int, total: int, k: int, most_rows: int, most_postings: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, items = weight.value, asked.value
         held: list[pa.RecordBatch] = []
@@ -204,10 +204,10 @@ def _search(asked, weight, docs: int, total: int, k: int):
 
         rows = postings = 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for start in range(0, batch.num_rows, min(1024, most_rows)):
+                part = batch.slice(start, min(1024, most_rows))
                 more = len(part.column("terms").flatten())
-                if held and (rows + part.num_rows > SEGMENT or postings + more > POSTINGS):
+                if held and (rows + part.num_rows > most_rows or postings + more > most_postings):
                     yield searched()
                     held, rows, postings = [], 0, 0
                 held.append(part)
@@ -239,7 +239,7 @@ def _block(items: list, docs: DataFrame, k: int) -> DataFrame:
         frequency[r["term"]] = r["count"]
     weight = np.array([floor(WEIGHT * log((2 * count + 2) / (2 * df + 1))) for df in frequency.tolist()], np.int64)
     queries = [np.unique(np.array([number[t] for t in own], np.int64), return_counts=True) for own in asked]
-    search = _search(context.broadcast(queries), context.broadcast(weight), count, total, k)
+    search = _search(context.broadcast(queries), context.broadcast(weight), count, total, k, SEGMENT, POSTINGS)
     found = index.select("doc_id", "n", "terms", "tfs").mapInArrow(search, _FOUND_SQL)
     names = spark.createDataFrame([(i, r.item_id) for i, r in enumerate(items)], "item int, item_id long")
     # a block's names are bounded with its texts

@@ -6,9 +6,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from freshet.llm import bloom_lm, common
+from freshet.llm import bloom_lm
 
 from .conftest import prose
 
@@ -126,7 +127,7 @@ def test_levels_cover_counts():
     assert levels.expected[:7].tolist() == [0, 1, 2, 3, 4.5, 6.5, 9.5]
 
 
-def test_odd_and_empty_tables(odd, nothing, documents, monkeypatch):
+def test_odd_and_empty_tables(odd, nothing, documents):
     _, got = run(odd)
     assert len(got) == odd.count() and all(np.isfinite(r.score) for r in got)
     _, got = run(nothing)
@@ -135,10 +136,29 @@ def test_odd_and_empty_tables(odd, nothing, documents, monkeypatch):
     model = bloom_lm.train(nothing)
     r = bloom_lm.score(documents([(1, "a b", "en", "s")]), model, ["doc_id"]).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.base_score == 0.0
-    # a long text is read in slices
-    text = prose(3, 3000)
-    whole = [t for t in bloom_lm.tokens([text.encode()], 3)]
-    monkeypatch.setattr(common, "SLICE", 100)
-    sliced = [t for t in bloom_lm.tokens([text.encode()], 3)]
-    for a, b in zip(whole[0].grams + whole[0].contexts, sliced[0].grams + sliced[0].contexts, strict=True):
-        assert (a == b).all()
+
+
+def test_long_texts_are_read_in_slices(monkeypatch):
+    column = pa.array([prose(3, 3000), None, "a b", prose(4, 500), ""])
+
+    def read():
+        parts = list(bloom_lm.tokens(column, 3))
+        own = [np.concatenate([g[p.at] for p, g in ((p, p.grams[i]) for p in parts)]) for i in range(3)]
+        context = [np.concatenate([p.grams[i][p.at - 1] for p in parts]) for i in range(2)]
+        words = [w for p in parts for w in p.names.take(pa.array(p.codes[p.at])).to_pylist()]
+        return words, np.concatenate([p.doc for p in parts]), own + context
+
+    words, doc, grams = read()
+    assert words == [w for t in column.to_pylist() for w in split(t)]
+    monkeypatch.setattr(bloom_lm, "CHUNK", 100)
+    other = read()
+    assert words == other[0] and (doc == other[1]).all()
+    assert all((a == b).all() for a, b in zip(grams, other[2], strict=True))
+
+
+def test_sliced_scores_equal_whole_ones(documents, monkeypatch):
+    docs = documents(ROWS)
+    whole = {r.doc_id: (r.score, r.base_score) for r in run(docs, order=3)[1]}
+    monkeypatch.setattr(bloom_lm, "CHUNK", 200)
+    for r in run(docs, order=3)[1]:
+        assert (r.score, r.base_score) == pytest.approx(whole[r.doc_id], rel=1e-12)
