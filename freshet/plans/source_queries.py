@@ -138,7 +138,7 @@ def read_observed(t):
     return readers.read_observed(t.series("pentad"), "pentad")
 
 
-def _stored(t):
+def _with_older_rows(t):
     """The stored regression table with an older copy of every row."""
     older = t.linreg.withColumns({"forecasted_discharge": F.lit(-1.0), "arrival": F.lit(0)})
     return older.unionByName(t.linreg.withColumn("arrival", F.lit(1)))
@@ -151,7 +151,7 @@ def _stored(t):
     "slope:r5 intercept:r5 forecasted_discharge:r5 q_mean:r6 q_std_sigma:r6 delta:r6",
 )
 def read_linreg_forecasts(t):
-    forecasts, stats = readers.read_linreg_forecasts(_stored(t), "pentad", "arrival")
+    forecasts, stats = readers.read_linreg_forecasts(_with_older_rows(t), "pentad", "arrival")
     keep = ["slope", "intercept", "forecasted_discharge", "pentad_in_month", "pentad_in_year", "model_long", "model_short"]
     return forecasts.select("code", "date", *keep).join(stats, ["code", "date"])
 

@@ -16,7 +16,7 @@ def _readings(t):
 
 @query("X1_stream_daily_mean", "SELECT code, CAST(ts AS DATE) AS date, avg(value) AS discharge FROM readings GROUP BY 1, 2", "discharge:r6")
 def stream_daily_mean(t):
-    return jobs.daily_mean(jobs.run_available(_readings(t), jobs.daily_partial))
+    return jobs.daily_mean(_readings(t))
 
 
 @query(
@@ -29,7 +29,7 @@ def stream_upsert(t):
         gauge("user_id", 15).alias("code"), F.to_date("ts").alias("date"), F.col("event_id").alias("arrival"),
         F.col("value").alias("discharge"),
     )
-    return jobs.newest(jobs.run_available(rows, jobs.newest_partial))
+    return jobs.newest(rows)
 
 
 @query(
@@ -39,7 +39,7 @@ def stream_upsert(t):
     "discharge_sum:r4",
 )
 def stream_three_day_sum(t):
-    return jobs.three_day_sum(jobs.run_available(_readings(t), jobs.daily_partial))
+    return jobs.three_day_sum(_readings(t))
 
 
 @query(
@@ -49,4 +49,4 @@ def stream_three_day_sum(t):
     WHERE coalesce(following - 1, newest) - d >= 1""",
 )
 def stream_silence(t):
-    return jobs.silences(jobs.run_available(_readings(t), jobs.active_partial), 1)
+    return jobs.silences(jobs.active_stretches(_readings(t), 1), 1)

@@ -88,7 +88,7 @@ def bulletin_selection_table(df: DataFrame) -> DataFrame:
     )
 
 
-def _store(base: str) -> tuple[fs.FileSystem, str]:
+def file_store(base: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder and the path in it: local, HDFS or an object store."""
     if base.startswith("file:"):
         return fs.LocalFileSystem(), "/" + base.removeprefix("file:").lstrip("/")
@@ -108,7 +108,7 @@ def publish(df: DataFrame, base: str, partition_by: list[str] | None = None, fmt
     Readers of the version before keep it; older ones are deleted.  A failed job leaves all as it is.
     Raises if another job has published meanwhile.
     """
-    store, root = _store(base)
+    store, root = file_store(base)
     before, version = _current(store, root), uuid.uuid4().hex
     writer = df.write.format(fmt).options(**options)
     if partition_by:
@@ -128,7 +128,7 @@ def publish(df: DataFrame, base: str, partition_by: list[str] | None = None, fmt
 
 def published(spark: SparkSession, base: str, fmt: str = "parquet", schema=None, **options) -> DataFrame | None:
     """The current version, or None before the first publication."""
-    store, root = _store(base)
+    store, root = file_store(base)
     version = _current(store, root)
     if version is None:
         return None

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from freshet.operators import forcing, joins
 from freshet.schemas import null_nans, require_columns
 from freshet.sources import readers, writers
-from freshet.streaming import jobs
 
 D = dt.date
 
@@ -99,40 +98,6 @@ def test_reprocessing_is_needed_when_an_input_is_newer(spark, folder):
     assert readers.needs_reprocess(spark, [f"{base}/b"], f"{base}/a")
 
 
-def test_stream_answers_do_not_depend_on_batches(spark, frame, folder):
-    """Corrections and late rows of any age; the same rows as one file, as many, and as a directory table."""
-    rows = [("1", dt.datetime(2024, 1, 31, 5), 1.0, 0), ("1", dt.datetime(2024, 1, 25, 5), 2.0, 1), ("1", dt.datetime(2024, 1, 25, 9), 5.0, 2),
-            ("1", dt.datetime(2023, 1, 1), 9.0, 3), ("2", dt.datetime(2024, 1, 28), 4.0, 4)]
-    schema = "code string, ts timestamp, value double, arrival int"
-
-    def answers(name, parts):
-        for part in parts:
-            frame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/{name}/events.parquet")
-        stream = jobs.read_stream(spark, f"{folder}/{name}", "events")
-        if len(parts) > 1:
-            files = spark.readStream.schema(stream.schema).option("maxFilesPerTrigger", 1)
-            stream = files.parquet(f"{folder}/{name}/events.parquet")
-        daily = jobs.run_available(stream, jobs.daily_partial)
-        dated = stream.select("code", F.to_date("ts").alias("date"), F.col("value").alias("discharge"), "arrival")
-        found = (
-            jobs.daily_mean(daily), jobs.newest(jobs.run_available(dated, jobs.newest_partial)), jobs.three_day_sum(daily),
-            jobs.silences(jobs.run_available(stream, jobs.active_partial), 2),
-        )
-        return [sorted(tuple(r) for r in f.collect()) for f in found]
-
-    whole = answers("one", [rows])
-    assert whole == answers("many", [[r] for r in reversed(rows)])
-    mean, newest, _, silent = whole
-    assert ("1", D(2024, 1, 25), 3.5) in mean and ("1", D(2024, 1, 25), 5.0) in newest and ("1", D(2023, 1, 1), 9.0) in newest
-    assert silent == [("1", D(2023, 1, 1), D(2024, 1, 25), 388, False), ("1", D(2024, 1, 25), D(2024, 1, 31), 5, False), ("2", D(2024, 1, 28), D(2024, 1, 31), 3, True)]
-
-
-def test_stream_without_files_gives_an_empty_table(spark, frame, folder):
-    frame([], "code string, ts timestamp, value double").write.parquet(f"{folder}/empty")
-    stream = spark.readStream.schema("code string, ts timestamp, value double").option("pathGlobFilter", "*.none").parquet(f"{folder}/empty")
-    assert jobs.daily_mean(jobs.run_available(stream, jobs.daily_partial)).collect() == []
-
-
 def test_csv_sink_is_sorted_with_a_header(spark, frame, folder):
     df = frame([("B", D(2024, 1, 2), 2.5), ("A", D(2024, 1, 3), None), ("A", D(2024, 1, 1), 1.0)], "code string, date date, discharge double")
     for _ in range(2):
