@@ -30,9 +30,10 @@ ORDERS = (1, 2, 3)
 SAMPLE = 400
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
-_LETTER = re.compile(r"[^\W\d_]")
-#: The same for Spark.
-_LETTER_SPARK = r"[\p{L}\p{Nl}\p{No}]"
+#: Letters and numerals such as fractions and Roman numbers, which are no letters.
+_ALNUM = re.compile(r"[^\W\d_]")
+#: Letters, for Spark.
+_LETTER_SPARK = r"\p{L}"
 _SEEDS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 #: The temperature's range; texts that are all told apart would drive it to nothing.
 LEAST_T, MOST_T = 0.5, 20.0
@@ -41,7 +42,8 @@ SLICE = 1 << 18
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether any character is of a Unicode letter category."""
+    return bool(text) and any(m[0].isalpha() for m in _ALNUM.finditer(text))
 
 
 def ngram_slots(text: str) -> Iterator[np.ndarray]:

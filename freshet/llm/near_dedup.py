@@ -35,9 +35,9 @@ DISTANCE = 19
 CONFIRM = 36
 BLOCK = 512
 
-_SIGNED = pa.schema(
-    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary())]
-)
+_SIGNED = pa.schema([
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.binary()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary()),
+])
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -45,23 +45,33 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = sh.permutations(K)
     for batch in batches:
         sizes, keys, sigs = [], [], []
-        for text in batch.column(1):
+        for text in batch.column(3):
             found = sh.words(text.as_py())
             own = sh.shingle_set(found)
             sizes.append(len(own))
             keys.append(sh.class_key(found) if found else None)
             sigs.append(sh.signature(own, a, b).tobytes() if found else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
+            [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
             schema=_SIGNED,
         )
 
 
+def text_mark() -> Column:
+    """A digest of the text as it stands; null without text."""
+    return F.unhex(F.md5(F.col("text").cast("string").cast("binary")))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, cls, sig`` of every row; ``cls`` and ``sig`` are null without words."""
+    """``row, doc_id, mark, n_shingles, cls, sig`` of every row; ``cls`` and ``sig`` are null without words.
+
+    ``row`` numbers the rows; write the table before it is used, so that the numbers stay.
+    """
     text_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_sign, "doc_id long, n_shingles long, cls binary, sig binary")
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), text_mark().alias("mark"), F.col("text").cast("string")
+    )
+    return rows.mapInArrow(_sign, "row long, doc_id long, mark binary, n_shingles long, cls binary, sig binary")
 
 
 def index_keys(sig: Column) -> Column:
@@ -220,54 +230,67 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _emit(forest, ids)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text, ...).
+def classes(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """``cls, component, first_id`` from the written signatures of ``docs``: texts of equal words are one class.
 
-    Linked are texts whose distinct 5-word shingles have a Jaccard similarity of at least 0.75.
-    Null or wordless texts have no shingle and no link.  Texts of equal words form a class that is
-    compared once.  A row without doc_id takes no part (component null, kept).  Rows that repeat a
-    doc_id are returned each; they stand for the same node.  Other columns are ignored.
+    Classes are compared and linked by their own number, never by doc_id: ids may be null or shared by other texts.
+    ``component`` names what links connect, ``first_id`` is the least doc_id of a class.
     """
-    signed = written(signatures(docs), "signatures")
-    named = signed.where("doc_id is not null and cls is not null")
-    reps = named.groupBy("cls").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")
+    reps = signed.where("cls is not null").groupBy("cls").agg(
+        F.min("row").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"),
+        F.min_by("mark", "row").alias("mark"), F.min("doc_id").alias("first_id"),
     )
-    # one doc_id may carry two texts, and so be the least of two classes
-    keys = reps.select("rep", "cls", F.explode(index_keys(F.col("sig"))).alias("key"))
+    keys = reps.select("rep", F.explode(index_keys(F.col("sig"))).alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hits = in_blocks(keys.join(shared, "key"), "key", F.col("n"), "cls").select("task", "cls")
-    hits = hits.join(reps, "cls").repartition("task").sortWithinPartitions("task")
+    hits = in_blocks(keys.join(shared, "key"), "key", F.col("n"), "rep").select("task", "rep")
+    hits = hits.join(reps.select("rep", "n_shingles", "sig"), "rep").repartition("task").sortWithinPartitions("task")
     loose = components(hits.select("task", "rep", "n_shingles", "sig").mapInArrow(_meet, "u long, v long"))
 
-    members = reps.join(loose, F.col("rep") == F.col("node")).select("cls", "rep", "n_shingles", "sig", "component")
+    members = reps.join(loose, F.col("rep") == F.col("node")).select("mark", "rep", "n_shingles", "sig", "component")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = in_blocks(members.join(sizes, "component"), "component", F.col("n"), "cls").drop("component", "n")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    # a repeated doc_id gives several rows here; each is compared as it stands
-    asked = members.join(texts, "rep").select("task", "rep", "n_shingles", "sig", "text")
+    members = in_blocks(members.join(sizes, "component"), "component", F.col("n"), "rep").drop("component", "n")
+    # one text of each class, whatever its copies and their ids
+    texts = docs.where("text is not null").select(text_mark().alias("mark"), F.col("text").cast("string").alias("text"))
+    texts = texts.groupBy("mark").agg(F.first("text").alias("text"))
+    asked = members.join(texts, "mark").select("task", "rep", "n_shingles", "sig", "text")
     asked = asked.repartition("task").sortWithinPartitions("task")
-    links = asked.mapInArrow(_confirm, "u long, v long")
-    same = named.join(reps.select("cls", "rep"), "cls").where("doc_id != rep").select(
-        F.col("doc_id").alias("u"), F.col("rep").alias("v")
-    )
-    found = components(links.unionByName(same))
-    out = signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+    found = components(asked.mapInArrow(_confirm, "u long, v long"))
+    return reps.join(found, F.col("rep") == F.col("node"), "left").select(
+        "cls", F.coalesce("component", "rep").alias("component"), "first_id"
     )
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text, ...).
+
+    Linked are texts whose distinct 5-word shingles have a Jaccard similarity of at least 0.75.
+    Null or wordless texts have no shingle and no link.  Texts of equal words form a class that is
+    compared once.  ``component_id`` is the least doc_id of all texts that links connect with the row's own text; other
+    texts under the same doc_id have their own.  It is null where no such row has a doc_id; of rows without doc_id
+    only those are kept.  Rows that repeat a doc_id are returned each.  Other columns are ignored.
+    """
+    signed = written(signatures(docs), "signatures")
+    found = written(classes(docs, signed), "classes")
+    least = found.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = found.join(least, "component").select("cls", "component_id")
+    out = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.equal_null("doc_id", component).alias("kept"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates, with its columns as they are.
+    """One row of each group of near-duplicates, with its columns as they are; wordless rows stay all.
 
-    Of rows that repeat the kept doc_id the one with the least text stays; rows without a doc_id
-    stay all.
+    Of a group the row of the least doc_id stays, an id before none, then that of the least text digest; of rows that
+    are equal in both one stays.
     """
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    rows = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    named = rows.groupBy("doc_id").agg(F.min_by(whole, F.struct("text")).alias("_row")).select("_row.*")
-    return named.unionByName(docs.where("doc_id is null"))
+    signed = written(signatures(docs), "signatures")
+    found = classes(docs, signed).select("cls", "component")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))
+    kept = signed.join(found, "cls").groupBy("component").agg(F.min(place).alias("p")).select("p.id", "p.mark")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("_id"), text_mark().alias("_mark"))
+    has_words = F.coalesce(F.col("_row.text").cast("string").rlike("[^ \\x09-\\x0D]"), F.lit(False))
+    named = rows.where(has_words).join(kept, (F.col("_mark") == F.col("mark")) & F.col("_id").eqNullSafe(F.col("id")), "left_semi")
+    named = named.groupBy("_id", "_mark").agg(F.first("_row").alias("_row"))
+    return named.select("_row.*").unionByName(rows.where(~has_words).select("_row.*"))

@@ -46,16 +46,27 @@ IDS = 1 << 20
 _COMMON = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    """The library's tokenizer; the strings of special tokens are ordinary text."""
+@lru_cache(maxsize=4)
+def tokenizer(path: str, special_as_text: bool = True):
+    """The library's tokenizer.
+
+    By default the strings of special tokens are ordinary text, the use that the vocabularies' README gives, so no document
+    can write a control token; otherwise the library's own default holds and such a string becomes its token.
+    """
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
+    if special_as_text:
+        found.encode_special_tokens = True
     return found
 
 
+@lru_cache(maxsize=2)
+def special(path: str) -> tuple[str, ...]:
+    """The strings of special tokens, which ranks do not know."""
+    return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+
+
 @lru_cache(maxsize=2)
 def ranks(path: str):
     """The same vocabulary as ranks, several times as fast for common characters."""
@@ -69,16 +80,17 @@ def ranks(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
 
-def encode(text: str, path: str, rank_path: str | None) -> np.ndarray:
+def encode(text: str, path: str, rank_path: str | None, special_as_text: bool = True) -> np.ndarray:
     """The text's ids and the end mark; a lone surrogate counts as a question mark."""
-    if rank_path and not _COMMON.search(text):
+    known = special_as_text or not any(t in text for t in special(path))
+    if rank_path and known and not _COMMON.search(text):
         ids = ranks(rank_path).encode_ordinary(text)
     else:
-        ids = tokenizer(path).encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
+        ids = tokenizer(path, special_as_text).encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
     return np.array([*ids, END], "<u4")
 
 
-def pieces(docs: DataFrame, path: str, rank_path: str | None = None, limit: int = LIMIT) -> DataFrame:
+def pieces(docs: DataFrame, path: str, rank_path: str | None = None, limit: int = LIMIT, special_as_text: bool = True) -> DataFrame:
     """Cut documents longer than ``limit``; only the first piece of one may be shorter.
 
     ``ids`` holds a piece's tokens, the last piece's with the end mark.
@@ -98,7 +110,7 @@ def pieces(docs: DataFrame, path: str, rank_path: str | None = None, limit: int
             parts: list[np.ndarray] = []
             held = 0
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "", path, rank_path)
+                ids = encode(text.as_py() or "", path, rank_path, special_as_text)
                 if held and held + len(ids) > IDS:
                     yield made(out, parts)
                     out, parts, held = [[], [], [], [], []], [], 0

@@ -78,10 +78,51 @@ def test_near_duplicates_of_odd_rows(odd, nothing):
     assert by[None].kept and by[None].component_id is None and by[0].n_shingles == len(shingles(odd.where("doc_id = 0").first().text))
     kept = near_dedup.keep_first(odd)
     assert kept.columns == odd.columns
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [0, 1, 2, 3, 5, 6, 7, 9]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [0, 1, 2, 3, 5, 6, 7, 9, None]
     assert near_dedup.near_duplicates(nothing).count() == 0 and near_dedup.keep_first(nothing).count() == 0
 
 
+def test_decisions_are_by_text_not_by_id(documents):
+    a, b, c, d = (prose(i, 40) for i in (1, 2, 3, 4))
+    rows = [(1, a), (1, b), (2, b), (None, c), (None, c), (5, c), (None, d), (None, d), (1, "")]
+    df = documents([(i, t, "en", "s") for i, t in rows])
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in near_dedup.keep_first(df).collect())
+    assert kept == sorted([(False, 1, a), (False, 1, b), (False, 5, c), (True, 0, d), (False, 1, "")])
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()), key=str)
+    expected = [(1, 1, True), (1, 1, True), (2, 1, False), (None, 5, False), (None, 5, False), (5, 5, True), (None, None, True), (None, None, True), (1, 1, True)]
+    assert got == sorted(expected, key=str)
+
+
+def test_a_hot_id_stays_linear(documents, monkeypatch):
+    """Texts that share an id are compared as texts: each reaches the confirming task once."""
+    rows = [(7, prose(i, 25)) for i in range(400)] + [(8, prose(3, 25) + " more"), (9, prose(3, 25))]
+    seen = documents([(i, t, "en", "s") for i, t in rows])
+    counted = []
+    meet = near_dedup.in_blocks
+
+    def in_blocks(*args):
+        out = meet(*args)
+        counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "in_blocks", in_blocks)
+    got = near_dedup.keep_first(seen).collect()
+    assert len(got) == 400 and all(r.doc_id == 7 for r in got)
+    # two texts are alike
+    assert counted[-1] == 2
+
+
+def test_letters_are_unicode_letters(documents):
+    texts = ["\u00bd \u2461 \u00b3", "\u2167", "\u0661\u0662", "\u0301", "_ 1", "\u02b0", "\u4e2d", "\u01c5", "\u05d0", "x"]
+    for text in texts:
+        assert language.has_letter(text) == any(ch.isalpha() for ch in text)
+    spark_side = documents([(i, t, "en", "s") for i, t in enumerate(texts)]).where(F.col("text").rlike(language._LETTER_SPARK))
+    assert sorted(r.doc_id for r in spark_side.collect()) == [5, 6, 7, 8, 9]
+    rows = [(i, prose(i, 30), "la", "s") for i in range(40)] + [(50, texts[0], None, "s"), (51, texts[1], None, "s")]
+    found = {r.doc_id: r.lang_pred for r in language.identify(documents(rows)).collect()}
+    assert found[50] == found[51] == "und" and found[0] == "la"
+
+
 def test_language_learns_and_rejects(documents, odd, nothing):
     rows = [(i, prose(i, 30, "abcdefgh" if i % 2 else "stuvwxyz"), "la" if i % 2 else "zz", "s") for i in range(120)]
     got = language.identify(documents(rows)).collect()
@@ -258,6 +299,14 @@ def test_both_tokenizers_agree(spark):
         assert packing.encode(text, JSON, RANKS).tolist() == [*tokens.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_strings_of_special_tokens_by_either_rule():
+    plain = Tokenizer.from_file(JSON)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "a <|endoftext| b"):
+        ids = packing.encode(text, JSON, RANKS, special_as_text=False).tolist()
+        assert ids == [*plain.encode(text, add_special_tokens=False).ids, 0]
+    assert 50256 not in packing.encode("a <|endoftext|> b", JSON, RANKS).tolist()
+
+
 def test_crossover_keeps_every_item():
     import numpy as np
 
