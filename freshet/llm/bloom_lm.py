@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from xxhash import xxh3_64_intdigest
 
-from .common import slices, written
+from .common import slices, small_batches, written
 
 END = b""
 #: Text bytes per bucket of n-grams.
@@ -49,9 +49,9 @@ BROADCAST = 1 << 27
 #: Words with this share of all tokens have their exact counts broadcast.
 SHARE = 1 << 20
 #: n-grams that a task counts before it sends them on.
-HELD = 1 << 22
+HELD = 1 << 21
 #: Bytes of text that are read at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _HALF = np.uint64(32)
 
@@ -265,6 +265,9 @@ def _count(order: int, buckets: int):
                     names, times, grams, held = [], [], [], 0
         if names:
             yield sent(names, times, grams)
+        # the worker goes on to other tasks
+        del names, times, grams
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -306,11 +309,13 @@ def _build(levels: Levels):
                 grams.append(np.frombuffer(found.as_py(), np.uint64))
                 counts.append(np.frombuffer(seen.as_py(), np.int64))
                 held += len(grams[-1]) + len(sizes)
-                if held >= HELD // 4:
+                if held >= HELD // 2:
                     both, (word, total) = _summed(np.concatenate(grams), np.concatenate(counts)), _added(names, totals)
                     names, totals, grams, counts, held = [word], [total], [both[0]], [both[1]], 0
         if bucket is not None:
             yield from made(bucket, *_added(names, totals), *_summed(np.concatenate(grams), np.concatenate(counts)))
+        del names, totals, grams, counts
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -346,7 +351,8 @@ def train(docs: DataFrame, order: int = 2, prior: float = 300.0, base: float = 1
     buckets = max(1, -(-size // BUCKET_BYTES))
     counted = docs.select(_texts()).mapInArrow(_count(order, buckets), _COUNTED_SQL)
     merged = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_build(levels), _MODEL_SQL)
-    model = written(merged, "ngrams")
+    with small_batches(docs.sparkSession):
+        model = written(merged, "ngrams")
     blocks = model.where("bits is not null").select("bucket", "bits", "pairs")
     words = model.where("word is not null").select("word", "hash", "n")
     total = words.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -466,7 +472,8 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _routed(rows: DataFrame, model: Model) -> DataFrame:
     """``row, score`` when the filter is too large to broadcast: n-grams go to the blocks and levels come back."""
-    asked = written(rows.mapInArrow(_asked(model.order), "row long, grams array<long>, times long"), "asked")
+    with small_batches(rows.sparkSession):
+        asked = written(rows.mapInArrow(_asked(model.order), "row long, grams array<long>, times long"), "asked")
     slots = asked.select("row", "grams", "times", F.posexplode("grams").alias("slot", "gram"))
     high = F.shiftrightunsigned("gram", 32)
     grams = asked.select(F.explode("grams").alias("gram")).distinct().select(
@@ -506,7 +513,8 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, broadcas
         # the texts are read twice: numbers must not change in between
         rows = written(rows, "rows")
     schema = StructType([rows.schema["row"], rows.schema["kept"], *StructType.fromDDL(_SCORED)])
-    made = written(rows.mapInArrow(_score(model, heavy, shards), schema), "scored")
+    with small_batches(docs.sparkSession):
+        made = written(rows.mapInArrow(_score(model, heavy, shards), schema), "scored")
     words = made.select("row", F.explode(F.arrays_zip("light", "tf")).alias("w")).select("row", F.col("w.light").alias("word"), F.col("w.tf").alias("tf"))
     rest = words.join(model.words.select("word", "n"), "word", "left").groupBy("row").agg(
         F.sum(F.col("tf") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / unit)).alias("more"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,20 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_ROWS))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024, size: str = "16m"):
+    """Arrow batches of at most so many rows and bytes for what runs inside; the session's settings come back."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key) for key in keys}
+    for key, value in keys.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def sample_by_hash(rows: DataFrame, group: str, keys: list[str], most: int) -> DataFrame:
     """At most ``most`` rows of each value of ``group``, the least by hash of ``keys``.
 

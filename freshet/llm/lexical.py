@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices, written
+from .common import slices, small_batches, written
 
 #: Bytes of item texts that ask together.
 BLOCK_BYTES = 1 << 23
@@ -264,6 +264,7 @@ def search(items: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
         rows = dealt.where(F.col("block") == block).orderBy("item_id").select("item_id", "text").collect()
         if not rows and (block or blocks > 1):
             continue
-        found = written(_block(rows, docs, k), "ranked")
+        with small_batches(docs.sparkSession):
+            found = written(_block(rows, docs, k), "ranked")
         out = found if out is None else out.unionByName(found)
     return out.select("item_id", F.col("rank").cast("int"), "doc_id", "score")
