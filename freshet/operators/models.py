@@ -6,20 +6,25 @@ year), so Spark spreads stations over tasks and no group is unbounded.
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Callable
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
+from itertools import product
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .folds import fit_folds, own_units, predict_folds, prepared, scaled_prediction, with_fold
 
 REGRESSORS = {
     "linear": LinearRegression,
@@ -113,31 +118,57 @@ def fit_on_all(df: DataFrame, features: list[str], target: str, kind: str = "ran
     return _pipeline(kind, features, target, params).fit(df.dropna(subset=[target, *features]))
 
 
-def _years(df: DataFrame) -> list[int]:
-    """Calendar years of the data: a handful of integers, bounded by the calendar."""
-    return sorted(r[0] for r in df.select(F.year("date")).distinct().collect())
+def at_once(spark: SparkSession, jobs: dict[str, Callable[[], object]], parallelism: int = 4) -> list:
+    """Results of independent jobs, several at a time, each under a job group of its own name."""
 
+    def run(item):
+        name, job = item
+        spark.sparkContext.setJobGroup(name, name)
+        return job()
 
-def leave_one_year_out(df: DataFrame, features: list[str], target: str, kind: str = "random_forest", params: dict | None = None, cascade: bool = False) -> DataFrame:
-    """Each year predicted by a model fitted on the others.
+    with ThreadPoolExecutor(max(1, min(parallelism, len(jobs) or 1))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(run), item) for item in jobs.items()]]
 
-    The input is read once per year, so it is written to the shared folder first.
-    ``cascade``: a ridge model first, then ``kind`` on its residuals.
+
+def leave_one_year_out(
+    df: DataFrame, features: list[str], target: str, kind: str = "random_forest", params: dict | None = None, cascade: bool = False,
+    impute: bool = False, scale: str | None = None, groups: dict[str, list[str]] | None = None, share: float = 0.95,
+    alpha: float = 1.0, parallelism: int = 4,
+) -> DataFrame:
+    """Each year predicted by a model of the others, prepared by the others alone (see ``folds.fit_folds``).
+
+    ``linear`` and ``ridge`` come from yearly sums without a refit.  Other kinds are fitted once a year, several at a
+    time; ``cascade`` fits them on what a ridge model of the same fold leaves over.
     """
-    rows = cut_lineage(df.select("code", "date", target, *features).dropna(subset=[target, *features]))
-    parts = []
-    for year in _years(rows):
-        train, test = rows.where(F.year("date") != year), rows.where(F.year("date") == year)
-        if cascade:
-            base = _pipeline("linear", features, target, {"regParam": 1.0}, "base").fit(train)
-            train = base.transform(train).withColumn("_residual", F.col(target) - F.col("base"))
-            rest = _pipeline(kind, features, "_residual", params, "rest").fit(train)
-            scored = rest.transform(base.transform(test))
-            scored = scored.withColumn("prediction", F.col("base") + F.col("rest"))
-        else:
-            scored = _pipeline(kind, features, target, params).fit(train).transform(test)
-        parts.append(scored.select("code", "date", target, "prediction"))
-    return reduce(DataFrame.unionByName, parts)
+    if kind in ("linear", "ridge") and not cascade:
+        return predict_folds(df, fit_folds(df, features, target, kind, alpha, impute, scale, groups, share))
+    # read once a fold: written to the shared folder
+    rows = cut_lineage(df.select("code", "date", target, *features))
+    folds = fit_folds(rows, features, target, "ridge", alpha, impute, scale, groups, share)
+    rows = folds.complete(rows)
+    base = scaled_prediction(folds) if cascade else F.lit(0.0)
+    at = len(features)
+
+    def one(year: int) -> DataFrame:
+        inputs = [f"_x{i}" for i in range(folds.axes[year].shape[1])]
+
+        def seen(part: DataFrame) -> DataFrame:
+            part = with_fold(part, folds, F.lit(year)).withColumn("_z", F.array(*prepared(folds))).withColumn("_base", base)
+            turned = {
+                name: sum((F.col("_z")[i] * float(v) for i, v in enumerate(axis) if v), F.lit(0.0))
+                for name, axis in zip(inputs, folds.axes[year].T, strict=True)
+            }
+            scaled = (F.col(target) - F.col("_mean")[at]) / F.col("_std")[at]
+            return part.withColumns(turned).withColumn("_rest", scaled - F.col("_base"))
+
+        model = _pipeline(kind, inputs, "_rest", params, "_found").fit(seen(rows.where(F.year("date") != year)))
+        scored = model.transform(seen(rows.where(F.year("date") == year)))
+        return scored.select("code", "date", target, own_units(folds, F.col("_base") + F.col("_found")).alias("prediction"))
+
+    jobs = {f"leave out {year}": partial(one, year) for year in sorted(folds.axes)}
+    parts = at_once(df.sparkSession, jobs, parallelism)
+    empty = rows.select("code", "date", target, F.lit(None).cast("double").alias("prediction")).limit(0)
+    return reduce(DataFrame.unionByName, parts) if parts else empty
 
 
 def feature_importance(model, features: list[str], spark) -> DataFrame:
@@ -149,26 +180,61 @@ def feature_importance(model, features: list[str], spark) -> DataFrame:
     )
 
 
-def year_split(df: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """The first ``share`` of the years for training, the rest for validation."""
-    years = _years(df)
-    cut = years[max(0, int(len(years) * share) - 1)]
+def year_split(df: DataFrame, share: float = 0.8, until: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The first ``share`` of the years (before ``until``) for training, the rest for validation."""
+    if until is not None:
+        df = df.where(F.year("date") < until)
+    # calendar years: a handful of integers
+    years = sorted(r[0] for r in df.select(F.year("date")).distinct().collect() if r[0] is not None)
+    cut = years[max(0, int(len(years) * share) - 1)] if years else 0
     return df.where(F.year("date") <= cut), df.where(F.year("date") > cut)
 
 
-def search_parameters(df: DataFrame, features: list[str], target: str, kind: str = "random_forest", grid: dict[str, list] | None = None, share: float = 0.8) -> DataFrame:
-    """Validation RMSE of every parameter combination, best first."""
+def sampled_parameters(space: dict[str, list | tuple], trials: int, seed: int = 0) -> list[dict]:
+    """Parameter sets drawn at random: from a list, or between two bounds (whole numbers if both are).
+
+    A third item ``"log"`` draws on a logarithmic scale.
+    """
+    rng = random.Random(seed)
+
+    def drawn(choice):
+        if isinstance(choice, list):
+            return rng.choice(choice)
+        low, high, *log = choice
+        whole = isinstance(low, int) and isinstance(high, int)
+        if log:
+            value = math.exp(rng.uniform(math.log(low), math.log(high + (0.5 if whole else 0))))
+            return min(high, round(value)) if whole else value
+        return rng.randint(low, high) if whole else rng.uniform(low, high)
+
+    return [{name: drawn(space[name]) for name in sorted(space)} for _ in range(trials)]
+
+
+def search_parameters(
+    df: DataFrame, features: list[str], target: str, kind: str = "random_forest", grid: dict[str, list] | None = None, share: float = 0.8,
+    space: dict[str, list | tuple] | None = None, trials: int = 10, seed: int = 0, until: int | None = None, parallelism: int = 4,
+) -> DataFrame:
+    """Validation RMSE and R2 of parameter sets, best first; several trials run at the same time.
+
+    All combinations of ``grid``, or ``trials`` sets drawn from ``space``.  The validation rows are the last years'.
+    """
+    if space is not None:
+        sets = sampled_parameters(space, trials, seed)
+    else:
+        names = list(grid or {})
+        sets = [dict(zip(names, values, strict=True)) for values in product(*(grid[n] for n in names))]
     rows = cut_lineage(df.select("date", target, *features).dropna(subset=[target, *features]))
-    train, valid = year_split(rows, share)
-    pipeline = _pipeline(kind, features, target, None)
-    model = pipeline.getStages()[-1]
-    builder = ParamGridBuilder()
-    for name, values in (grid or {}).items():
-        builder = builder.addGrid(model.getParam(name), values)
-    combos = builder.build()
-    evaluator = RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName="rmse")
-    rows = []
-    for combo in combos:
-        rmse = evaluator.evaluate(pipeline.fit(train, combo).transform(valid))
-        rows.append((", ".join(f"{p.name}={v}" for p, v in combo.items()), float(rmse)))
-    return df.sparkSession.createDataFrame(rows, "params string, rmse double").orderBy("rmse")
+    train, valid = year_split(rows, share, until)
+
+    def one(params: dict) -> tuple[float, float]:
+        scored = _pipeline(kind, features, target, params).fit(train).transform(valid)
+        metrics = RegressionEvaluator(labelCol=target, predictionCol="prediction")
+        scored = scored.select(target, "prediction")
+        return tuple(metrics.evaluate(scored, {metrics.metricName: m}) for m in ("rmse", "r2"))
+
+    found = at_once(df.sparkSession, {f"trial {i}": partial(one, params) for i, params in enumerate(sets)}, parallelism)
+    table = [
+        (i, ", ".join(f"{k}={v}" for k, v in params.items()), float(rmse), float(r2))
+        for i, (params, (rmse, r2)) in enumerate(zip(sets, found, strict=True))
+    ]
+    return df.sparkSession.createDataFrame(table, "trial int, params string, rmse double, r2 double").orderBy("rmse", "trial")

@@ -197,7 +197,13 @@ def feature_importance(t):
 @query("R13_hyper_parameter_search")
 def hyper_parameter_search(t):
     grid = {"maxDepth": [2, 4]}
-    return models.search_parameters(_targets(t), FEATURES, "target", "random_forest", grid)
+    return models.search_parameters(_targets(t), FEATURES, "target", "random_forest", grid).select("params", "rmse")
+
+
+@query("R13_random_trials")
+def random_trials(t):
+    space = {"maxDepth": (2, 5), "numTrees": [3, 6], "minInstancesPerNode": (1, 50, "log")}
+    return models.search_parameters(_targets(t), FEATURES, "target", "random_forest", space=space, trials=4, seed=11)
 
 
 END = "DATE '2001-06-15'"
@@ -296,6 +302,49 @@ def leave_one_year_out_one(t):
     return models.leave_one_year_out(_targets(t), ["P_1"], "target", "linear")
 
 
+#: Every year beside the rows of the others; two features in closed form, ``ridge`` added to both variances.
+TRAIN = f"{X_SQL} JOIN (SELECT DISTINCT year(date) AS y FROM daily) AS folds ON year(x.date) <> y"
+
+
+def _two_features(scaled, ridge):
+    s1, s2, st = (f"coalesce(nullif(stddev_samp({c}), 0), 1)" if scaled else "1" for c in ("P_1", "T_1", "target"))
+    return f"""SELECT x.code, x.date, target, mt + st * (b1 * (P_1 - m1) / s1 + b2 * (T_1 - m2) / s2) AS prediction FROM {X_SQL} JOIN (
+      SELECT *, (v2 * c1 - v12 * c2) / (v1 * v2 - v12 * v12) AS b1, (v1 * c2 - v12 * c1) / (v1 * v2 - v12 * v12) AS b2 FROM (
+        SELECT y, m1, m2, mt, s1, s2, st, v1 / (s1 * s1) + {ridge} AS v1, v2 / (s2 * s2) + {ridge} AS v2, v12 / (s1 * s2) AS v12, c1 / (s1 * st) AS c1, c2 / (s2 * st) AS c2 FROM (
+          SELECT y, avg(P_1) AS m1, avg(T_1) AS m2, avg(target) AS mt, {s1} AS s1, {s2} AS s2, {st} AS st, count(*) * var_pop(P_1) AS v1, count(*) * var_pop(T_1) AS v2,
+            count(*) * covar_pop(P_1, T_1) AS v12, count(*) * covar_pop(P_1, target) AS c1, count(*) * covar_pop(T_1, target) AS c2 FROM {TRAIN} GROUP BY 1) AS sums) AS own) AS fits
+      ON year(x.date) = y"""
+
+
+@query("R10_folds_two_features", _two_features(False, 0), "target:r6 prediction:r5")
+def folds_two_features(t):
+    return models.leave_one_year_out(_targets(t), ["P_1", "T_1"], "target", "linear")
+
+
+@query("R10_cascade_first_stage", _two_features(True, 1.0), "target:r6 prediction:r5")
+def cascade_first_stage(t):
+    """What the cascade's ridge model predicts, its residual model left out."""
+    return models.leave_one_year_out(_targets(t), ["P_1", "T_1"], "target", "ridge", scale="global")
+
+
+GAPPY = X_SQL.replace("T AS T_1", "CASE WHEN T >= -1 THEN T END AS T_1")
+
+
+@query(
+    "R10_folds_imputed_per_basin",
+    f"""WITH x AS (SELECT * FROM {GAPPY}), folds AS (SELECT DISTINCT year(date) AS y FROM x), train AS (
+      SELECT y, code, target, coalesce(T_1, avg(T_1) OVER (PARTITION BY y)) AS f FROM x JOIN folds ON year(date) <> y),
+    scales AS (SELECT y, code, avg(f) AS mf, coalesce(nullif(stddev_samp(f), 0), 1) AS sf, avg(target) AS mt, coalesce(nullif(stddev_samp(target), 0), 1) AS st FROM train GROUP BY 1, 2),
+    fits AS (SELECT t.y, sum((f - mf) / sf * (target - mt) / st) / (sum((f - mf) / sf * (f - mf) / sf) + 2.5) AS b FROM train AS t JOIN scales AS s ON t.y = s.y AND t.code = s.code GROUP BY 1),
+    fills AS (SELECT y, avg(T_1) AS fill FROM x JOIN folds ON year(date) <> y GROUP BY 1)
+    SELECT x.code, x.date, target, mt + st * b * (coalesce(T_1, fill) - mf) / sf AS prediction FROM x JOIN fits AS f ON year(x.date) = f.y JOIN fills AS i ON f.y = i.y JOIN scales AS s ON s.y = f.y AND s.code = x.code""",
+    "target:r6 prediction:r5",
+)
+def folds_imputed_per_basin(t):
+    rows = _targets(t).withColumn("T_1", F.when(F.col("T_1") >= -1, F.col("T_1")))
+    return models.leave_one_year_out(rows, ["T_1"], "target", "ridge", alpha=2.5, impute=True, scale="basin")
+
+
 @query(
     "R11_fit_on_all_linear",
     f"SELECT code, date, target, P_1 * (SELECT regr_slope(target, P_1) FROM {X_SQL}) + (SELECT regr_intercept(target, P_1) FROM {X_SQL}) AS prediction FROM {X_SQL.replace(') AS x', ') AS q')}",
