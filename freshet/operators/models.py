@@ -1,7 +1,7 @@
 """Per-station models (R5, R10-R13) and the hook for user models.
 
-Station groups handed to pandas hold at most one row per calendar day (R5: one per
-year), so Spark spreads stations over tasks and no group is unbounded.
+Station groups handed to a user's model hold at most one row per calendar day, so Spark spreads
+stations over tasks and no group is unbounded.
 """
 
 from __future__ import annotations
@@ -22,8 +22,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from ..session import cut_lineage
+from .features import feature_correlation, top_features
 from .folds import fit_folds, own_units, predict_folds, prepared, scaled_prediction, with_fold
 
 REGRESSORS = {
@@ -33,68 +36,99 @@ REGRESSORS = {
 }
 
 
-def _best_features(pdf: pd.DataFrame, features: list[str], target: str, k: int) -> list[str]:
-    best: dict[str, tuple[float, str]] = {}
-    for f in features:
-        c = abs(pdf[f].corr(pdf[target]))
-        if not np.isnan(c) and c > best.get(f.split("_")[0], (-1.0, ""))[0]:
-            best[f.split("_")[0]] = (c, f)
-    return [f for _, f in sorted(best.values(), reverse=True)[:k]]
+def solved(cross: np.ndarray, right: np.ndarray, rows: np.ndarray, kind: str, alpha: float) -> np.ndarray:
+    """Coefficients of many small systems at once, from centred cross-products (systems x k x k).
 
-
-def _coefficients(x: np.ndarray, y: np.ndarray, kind: str, alpha: float) -> np.ndarray:
+    Lasso goes on by coordinate descent on the cross-products until no system's coefficients move.
+    """
+    size = cross.shape[-1]
     if kind == "linear":
-        return np.linalg.lstsq(x, y, rcond=None)[0]
+        return (np.linalg.pinv(cross, hermitian=True) @ right[..., None])[..., 0]
     if kind == "ridge":
-        return np.linalg.solve(x.T @ x + alpha * np.eye(x.shape[1]), x.T @ y)
+        return np.linalg.solve(cross + alpha * np.eye(size), right[..., None])[..., 0]
     if kind != "lasso":
         raise ValueError(f"unknown regression {kind!r}")
-    w, n = np.zeros(x.shape[1]), len(y)
-    norms = (x**2).sum(axis=0)
+    w, norms = np.zeros_like(right), np.einsum("sii->si", cross)
     for _ in range(1000):
         before = w.copy()
-        for j in range(len(w)):
-            if norms[j] > 0:
-                rho = x[:, j] @ (y - x @ w + x[:, j] * w[j])
-                w[j] = np.sign(rho) * max(abs(rho) - alpha * n, 0) / norms[j]
-        if np.abs(w - before).max() < 1e-8:
+        for j in range(size):
+            rho = right[:, j] - np.einsum("si,si->s", cross[:, j], w) + norms[:, j] * w[:, j]
+            least = np.maximum(np.abs(rho) - alpha * rows, 0)
+            w[:, j] = np.sign(rho) * np.divide(least, norms[:, j], out=np.zeros_like(rho), where=norms[:, j] > 0)
+        if np.abs(w - before).max(initial=0) < 1e-8:
             break
     return w
 
 
+def _solver(kind: str, alpha: float):
+    @pandas_udf(T.ArrayType(T.DoubleType()))
+    def solve(cross: pd.Series, right: pd.Series, rows: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(rows), dtype=object)
+        # systems of equal size together
+        sizes = right.map(lambda r: -1 if r is None else len(r))
+        for size in sizes[sizes > 0].unique():
+            at = np.flatnonzero(sizes == size)
+            c = np.stack(cross.iloc[at].to_list()).astype(float).reshape(len(at), size, size)
+            w = solved(c, np.stack(right.iloc[at].to_list()).astype(float), rows.iloc[at].to_numpy(float), kind, alpha)
+            for i, own in zip(at, w, strict=True):
+                out.iat[i] = own.tolist()
+        return out
+
+    return solve
+
+
 def monthly_regression(df: DataFrame, features: list[str], as_of, num_features: int = 2, kind: str = "linear", alpha: float = 1.0, target: str = "target") -> DataFrame:
     """Per station, the same month-day of all years; fit on the past, predict ``as_of``.
 
     Needs ``2 * num_features`` complete rows; with fewer features than asked for it goes on with
     those found.  The prediction is clipped at 0 and rounded
-    to 2 decimals, ``r2`` is the in-sample fit.
+    to 2 decimals, ``r2`` is the in-sample fit.  Correlations and cross-products are aggregates; only the
+    solution of a station's small system is Python, many stations at a time.
     """
+    if kind not in ("linear", "ridge", "lasso"):
+        raise ValueError(f"unknown regression {kind!r}")
     day = F.lit(as_of).cast("date")
     rows = df.where(
         (F.month("date") == F.month(day)) & (F.dayofmonth("date") == F.dayofmonth(day)) & (F.col("date") <= day)
-    ).select("code", "date", target, *features)
-    cutoff = pd.Timestamp(str(as_of))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        dates = pd.to_datetime(pdf["date"])
-        past, now = pdf[dates < cutoff], pdf[dates == cutoff]
-        chosen = _best_features(past, features, target, num_features)
-        train = past.dropna(subset=[target, *chosen])
-        q = r2 = None
-        if chosen and len(train) >= 2 * num_features and len(now):
-            x, y = train[chosen].to_numpy(float), train[target].to_numpy(float)
-            mx, my = x.mean(axis=0), y.mean()
-            w = _coefficients(x - mx, y - my, kind, alpha)
-            rest = y - my - (x - mx) @ w
-            spread = ((y - my) ** 2).sum()
-            r2 = float(1 - (rest**2).sum() / spread) if spread > 0 else None
-            value = float(my + (now[chosen].to_numpy(float)[0] - mx) @ w)
-            q = None if np.isnan(value) else round(max(value, 0.0), 2)
-        return pd.DataFrame(
-            {"code": [pdf["code"].iloc[0]], "features": [", ".join(chosen)], "Q": [q], "r2": [r2]}
-        ).astype({"Q": "float64", "r2": "float64"})
-
-    return rows.groupBy("code").applyInPandas(fit, "code string, features string, Q double, r2 double")
+    ).select("code", "date", F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features])
+    best = top_features(feature_correlation(rows.where(F.col("date") < day), features, "_y", ["code"]), ["code"], num_features)
+    chosen = best.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("rank", "feature"))).alias("_best"))
+    chosen = chosen.select("code", F.transform("_best", lambda b: b["feature"]).alias("_chosen"))
+    named = F.create_map(*[c for f in features for c in (F.lit(f), F.col(f))])
+    seen = rows.join(chosen, "code", "left").withColumn("_x", F.transform("_chosen", lambda f: named[f]))
+    used = (F.col("date") < day) & F.col("_y").isNotNull() & F.forall("_x", lambda v: v.isNotNull())
+    x = [F.when(used, F.get("_x", F.lit(i))) for i in range(num_features)]
+    y = F.when(used, F.col("_y"))
+    size = F.coalesce(F.size(F.first("_chosen")), F.lit(0))
+    n = F.count(y)
+
+    def own(parts):
+        # a station may have found fewer features than asked for
+        return F.filter(F.array(*parts), lambda v: v.isNotNull())
+
+    sums = seen.groupBy("code").agg(
+        F.first("_chosen").alias("_chosen"), size.alias("_k"), n.cast("double").alias("_n"), F.avg(y).alias("_my"), (n * F.var_pop(y)).alias("_yy"),
+        own([F.avg(v) for v in x]).alias("_mx"), own([n * F.covar_pop(v, y) for v in x]).alias("_xy"),
+        own([n * F.covar_pop(v, u) for v in x for u in x]).alias("_xx"), F.first(F.when(F.col("date") == day, F.col("_x")), ignorenulls=True).alias("_now"),
+        F.max(F.col("date") == day).alias("_asked"),
+    )
+    able = F.col("_asked") & (F.col("_k") > 0) & (F.col("_n") >= 2 * num_features)
+    # the systems that can be solved alone reach Python
+    right = F.when(able, F.col("_xy"))
+    fits = sums.withColumn("_able", able).withColumn("_w", _solver(kind, alpha)("_xx", right, "_n"))
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+    k = F.col("_k")
+    ww = F.flatten(F.transform("_w", lambda p: F.transform("_w", lambda q: p * q)))
+    rest = F.col("_yy") - 2 * dot("_w", "_xy") + dot(ww, "_xx")
+    value = F.col("_my") + dot("_w", F.zip_with("_now", "_mx", lambda p, q: p - q))
+    return fits.select(
+        "code", F.array_join(F.coalesce("_chosen", F.array().cast("array<string>")), ", ").alias("features"),
+        F.when(F.col("_able") & (k > 0), F.round(F.greatest(value, F.lit(0.0) * value), 2)).alias("Q"),
+        F.when(F.col("_able") & (k > 0) & (F.col("_yy") > 0), 1 - F.try_divide(rest, F.col("_yy"))).alias("r2"),
+    )
 
 
 def apply_model(df: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
