@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, features, models, regression
+from ..operators import aggregates, features, models, pca, regression, selection
 from .registry import query
 from .aggregate_queries import FEATURES, _features
 from .selection_queries import _selection
@@ -370,3 +370,103 @@ def _first_component(a, b):
 def pca_first_components(t):
     rows = features.pca_groups(_features(t), {"P": ["P_1", "P_2"], "T": ["T_1", "T_2"]})
     return rows.select("code", "date", F.abs("P_pc1").alias("P_pc1"), F.abs("T_pc1").alias("T_pc1"))
+
+
+CHOSEN = f"""z AS (SELECT * FROM {SAME_DAY}), corrs AS ({' UNION ALL '.join(f"SELECT code, '{f}' AS feature, abs(corr({f}, target)) AS c FROM z WHERE date < DATE '{AS_OF}' GROUP BY 1" for f in FEATURES)}),
+  best AS (SELECT code, split_part(feature, '_', 1) AS v, arg_max(feature, c) AS feature, max(c) AS c FROM corrs WHERE isfinite(c) GROUP BY 1, 2)"""
+
+
+def _two_best(ridge):
+    fit = "(v2 * c1 - v12 * c2) / (v1 * v2 - v12 * v12) AS w1, (v1 * c2 - v12 * c1) / (v1 * v2 - v12 * v12) AS w2"
+    return f"""WITH {CHOSEN}, wide AS (SELECT code, max(feature) FILTER (v = 'P') AS p, max(feature) FILTER (v = 'T') AS t, max(c) FILTER (v = 'P') AS cp, max(c) FILTER (v = 'T') AS ct FROM best GROUP BY 1),
+    seen AS (SELECT z.code, date, target, p, t, cp, ct, CASE p WHEN 'P_1' THEN P_1 ELSE P_2 END AS a, CASE t WHEN 'T_1' THEN T_1 ELSE T_2 END AS b FROM z JOIN wide AS w ON z.code = w.code WHERE p IS NOT NULL AND t IS NOT NULL),
+    sums AS (SELECT code, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(target) AS my, count(*) * var_pop(a) AS s1, count(*) * var_pop(b) AS s2, count(*) * covar_pop(a, b) AS v12,
+      count(*) * covar_pop(a, target) AS c1, count(*) * covar_pop(b, target) AS c2, count(*) * var_pop(target) AS yy FROM seen WHERE date < DATE '{AS_OF}' GROUP BY 1),
+    fits AS (SELECT *, {fit} FROM (SELECT *, s1 + {ridge} AS v1, s2 + {ridge} AS v2 FROM sums) AS r WHERE n >= 4)
+    SELECT f.code, CASE WHEN cp > ct THEN p || ', ' || t ELSE t || ', ' || p END AS features, greatest(my + w1 * (a - ma) + w2 * (b - mb), 0) AS Q,
+      1 - (yy - 2 * (w1 * c1 + w2 * c2) + w1 * w1 * s1 + 2 * w1 * w2 * v12 + w2 * w2 * s2) / yy AS r2
+    FROM fits AS f JOIN seen AS s ON f.code = s.code AND s.date = DATE '{AS_OF}'"""
+
+
+for _kind, _ridge in (("linear", 0), ("ridge", 0.5)):
+
+    @query(f"R5_two_features_{_kind}", _two_best(_ridge), "Q:r2 r2:r5")
+    def monthly_regression_two(t, kind=_kind):
+        rows = models.monthly_regression(_targets(t), FEATURES, AS_OF, 2, kind, alpha=0.5)
+        return rows.where(F.col("Q").isNotNull() & F.col("features").contains(","))
+
+
+def _one_best(weight):
+    value = " ".join(f"WHEN '{f}' THEN {f}" for f in FEATURES)
+    return f"""WITH {CHOSEN}, one AS (SELECT code, arg_max(feature, c) AS features FROM best GROUP BY 1),
+    seen AS (SELECT z.code, date, target, features, CASE features {value} END AS a FROM z JOIN one AS w ON z.code = w.code),
+    sums AS (SELECT code, count(*) AS n, avg(a) AS ma, avg(target) AS my, count(*) * var_pop(a) AS v, count(*) * covar_pop(a, target) AS c, count(*) * var_pop(target) AS yy FROM seen WHERE date < DATE '{AS_OF}' GROUP BY 1)
+    SELECT f.code, features, greatest(my + w * (a - ma), 0) AS Q, 1 - (yy - 2 * w * c + w * w * v) / yy AS r2
+    FROM (SELECT *, {weight} AS w FROM sums WHERE n >= 2) AS f JOIN seen AS s ON f.code = s.code AND s.date = DATE '{AS_OF}'"""
+
+
+for _kind, _weight in (("ridge", "c / (v + 0.5)"), ("lasso", "sign(c) * greatest(abs(c) - 0.5 * n, 0) / v")):
+
+    @query(f"R5_one_feature_{_kind}", _one_best(_weight), "Q:r2 r2:r5")
+    def monthly_regression_penalty(t, kind=_kind):
+        rows = models.monthly_regression(_targets(t), FEATURES, AS_OF, 1, kind, alpha=0.5)
+        return rows.where(F.col("Q").isNotNull())
+
+
+SPLIT_YEAR = 1997
+
+
+def _held_out_component(a, b):
+    """Mean and first axis of two columns of the earlier years, its largest loading positive."""
+    lead = "(va + vb) / 2 + sqrt(((va - vb) / 2) * ((va - vb) / 2) + cab * cab)"
+    return f"""SELECT ma, mb, s * wa AS wa, s * wb AS wb FROM (SELECT *, CASE WHEN abs(wa) >= abs(wb) THEN sign(wa) ELSE sign(wb) END AS s FROM (
+      SELECT ma, mb, cab / sqrt(cab * cab + (l - va) * (l - va)) AS wa, (l - va) / sqrt(cab * cab + (l - va) * (l - va)) AS wb FROM (
+        SELECT *, {lead} AS l FROM (SELECT avg({a}) AS ma, avg({b}) AS mb, var_samp({a}) AS va, var_samp({b}) AS vb, covar_samp({a}, {b}) AS cab FROM {X_SQL} WHERE year(date) < {SPLIT_YEAR}) AS c) AS e) AS u) AS w"""
+
+
+@query(
+    "R8_fit_and_apply",
+    f"""SELECT code, date, (P_1 - p.ma) * p.wa + (P_2 - p.mb) * p.wb AS P_PC1, (T_1 - t.ma) * t.wa + (T_2 - t.mb) * t.wb AS T_PC1
+    FROM {X_SQL} CROSS JOIN ({_held_out_component('P_1', 'P_2')}) AS p CROSS JOIN ({_held_out_component('T_1', 'T_2')}) AS t WHERE year(date) >= {SPLIT_YEAR}""",
+    "P_PC1:r5 T_PC1:r5",
+)
+def fit_and_apply(t):
+    """Components of the earlier years, stored, read back and applied to years they have not seen."""
+    rows = _features(t)
+    path = t.scratch("components")
+    pca.GroupPCA({"P": ["P_1", "P_2"], "T": ["T_1", "T_2"]}).fit(rows.where(F.year("date") < SPLIT_YEAR)).save(t.spark, path)
+    later = pca.GroupPCAModel.load(t.spark, path).transform(rows.where(F.year("date") >= SPLIT_YEAR))
+    return later.select("code", "date", "P_PC1", "T_PC1")
+
+
+def _binned(f):
+    edges = f"(SELECT quantile_cont({f}, [{', '.join(str(i / 16) for i in range(1, 16))}]) FROM x)"
+    return f"list_sum(list_transform({edges}, lambda e: CASE WHEN {f} > e THEN 1 ELSE 0 END))"
+
+
+#: Features that correlate above 0.95 with an earlier one go.
+KEPT_SQL = " UNION ALL ".join(
+    f"SELECT '{f}' AS feature" + (" WHERE " + " AND ".join(f"(SELECT abs(corr({e}, {f})) FROM x) <= 0.95" for e in FEATURES[:i]) if i else "")
+    for i, f in enumerate(FEATURES)
+)
+INFORMATION = f"""x AS (SELECT * FROM {X_SQL}), cells AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {_binned(f)} AS a, {_binned('target')} AS b FROM x" for f in FEATURES)}),
+  counts AS (SELECT feature, a, b, count(*) AS c FROM cells WHERE feature IN ({KEPT_SQL}) GROUP BY 1, 2, 3),
+  totals AS (SELECT *, sum(c) OVER (PARTITION BY feature) AS n, sum(c) OVER (PARTITION BY feature, a) AS ca, sum(c) OVER (PARTITION BY feature, b) AS cb FROM counts),
+  told AS (SELECT feature, CAST(max(n) AS BIGINT) AS n, greatest(sum(c / n * ln(c * n / (ca * cb))) - (count(*) - count(DISTINCT a) - count(DISTINCT b) + 1) / (2 * max(n)), 0) AS mi FROM totals GROUP BY 1),
+  ranked AS (SELECT *, row_number() OVER (ORDER BY round(mi, 9) DESC, feature) AS rank FROM told)"""
+
+
+@query("R9_mutual_information", f"WITH {INFORMATION} SELECT feature, n, mi, rank FROM ranked", "n:l mi:r6 rank:i")
+def mutual_information(t):
+    return selection.ranked_features(_targets(t), FEATURES, "target")
+
+
+@query(
+    "R9_select_by_information",
+    f"""WITH {INFORMATION} SELECT code, date, target, feature, CASE feature {' '.join(f"WHEN '{f}' THEN {f}" for f in FEATURES)} END AS value FROM x JOIN ranked ON rank <= 2""",
+    "value:r6",
+)
+def select_by_information(t):
+    rows = _targets(t)
+    best = selection.select_informative(rows, FEATURES, "target", 2)
+    return rows.select("code", "date", "target", *best).unpivot(["code", "date", "target"], best, "feature", "value")
