@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,6 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.physics import cyclic_features
 from . import windows as win
-from .aggregates import null_flags
 
 
 def feature_table(df: DataFrame, specs: dict, lags: dict[str, list[int]] | None = None, target: str | None = "discharge", horizon: int = 30, offset: int = 30) -> DataFrame:
@@ -35,6 +35,52 @@ def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.col("_m")[c]) for c in columns}).drop("_m")
 
 
+def _nearest(pdf: pd.DataFrame, columns: list[str], wanted: list[str], neighbours: int) -> pd.DataFrame:
+    """Fill one season's rows from their nearest neighbours."""
+    pdf = pdf.sort_values("date", kind="stable")
+    x = pdf[columns].to_numpy(float)
+    known = ~np.isnan(x)
+    out = x.copy()
+    for j in (columns.index(c) for c in wanted):
+        holes, donors = np.flatnonzero(~known[:, j]), np.flatnonzero(known[:, j])
+        if not len(donors):
+            continue
+        for at in np.array_split(holes, len(holes) // 256 + 1):
+            both = known[at][:, None] & known[donors][None]
+            gap = np.where(both, x[at][:, None] - x[donors][None], 0.0)
+            shared = both.sum(axis=2)
+            # the distance over shared columns stands for all columns; without a shared one there is none
+            far = np.where(shared > 0, (gap**2).sum(axis=2) * len(columns) / np.maximum(shared, 1), np.inf)
+            order = np.argsort(far, axis=1, kind="stable")[:, :neighbours]
+            near = np.isfinite(np.take_along_axis(far, order, axis=1))
+            total = np.where(near, x[donors, j][order], 0.0).sum(axis=1)
+            out[at, j] = np.where(near.any(axis=1), total / np.maximum(near.sum(axis=1), 1), x[donors, j].mean())
+    return pdf.assign(**{c: out[:, columns.index(c)] for c in wanted})
+
+
+def impute_knn(df: DataFrame, columns: list[str], wanted: list[str] | None = None, neighbours: int = 5) -> DataFrame:
+    """Missing values become the mean of the nearest rows of the same station and calendar month.
+
+    The distance is Euclidean over the columns that both rows know, scaled up to all of them; ties go to the
+    earlier date.  A row that shares no column with any donor takes the season's mean; a column without a value in the season stays
+    missing.  ``wanted`` are the columns to fill (else all); the other columns stay as they are.  A season
+    holds at most 31 rows a year, so every group is bounded by the calendar.
+    """
+    wanted = wanted or columns
+    rest = [c for c in df.columns if c not in wanted]
+    typed = df.select(*rest, *[F.col(c).cast("double").alias(c) for c in wanted])
+
+    order = typed.columns
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _nearest(pdf, columns, wanted, neighbours)[order]
+
+    filled = typed.groupBy("code", F.month("date")).applyInPandas(fill, typed.schema)
+    # pandas has no missing number beside not-a-number
+    back = {c: F.when(~F.isnan(c), F.col(c)) for c in {*wanted, *columns}}
+    return filled.withColumns(back).select(*df.columns)
+
+
 def feature_correlation(df: DataFrame, features: list[str], target: str, keys: list[str]) -> DataFrame:
     """Absolute correlation of every feature with the target per group.
 
@@ -146,36 +192,78 @@ def fourier_climatology(df: DataFrame, value: str, harmonics: int = 2, keys=("co
     return out.withColumn(f"{value}_anomaly", F.col(value) - F.col(f"{value}_climatology")).drop("_coef")
 
 
-def model_input_window(daily: DataFrame, forecasts: DataFrame, as_of, length: int, max_missing: int, max_missing_end: int, value: str = "Q50") -> DataFrame:
+def model_input_window(daily: DataFrame, forecasts: DataFrame, as_of, length: int, max_missing: int, max_missing_end: int, value: str = "Q50", stations: DataFrame | None = None) -> DataFrame:
     """The last ``length + 1`` days of each station, completed, with a usability flag.
 
     Flag 1: too many nulls inside the window or at its end, before or after the nulls are
     filled with earlier forecasts; such rows stay unfilled.  Flag 0: short inner gaps are
     interpolated and the end is carried forward.
+
+    A station's days and the newest forecasts for them are one row of two small maps (of ``length + 2`` days), in which nulls
+    are counted as they stand; so besides the newest forecast of each day there is a single exchange by station, and
+    the interpolation keeps it.  ``stations`` (code) lists those asked for, else all with any day.
     """
     end = F.lit(as_of).cast("date")
     start = F.date_sub(end, length + 1)
-    recent = daily.where(F.col("date").between(start, end))
-    days = daily.select("code").distinct().select("code", F.explode(F.sequence(start, end)).alias("date"))
-    window = days.join(recent.select("code", "date", "discharge"), ["code", "date"], "left")
-
-    def unusable(rows: DataFrame) -> DataFrame:
-        flags = null_flags(rows.where(F.col("date") > F.date_sub(end, length)), max_missing)
-        bad = F.col("exceeds_threshold") | (F.col("nulls_at_end") >= max_missing_end)
-        return flags.select("code", bad.alias("_bad"))
-
-    first = unusable(window)
-    known = forecasts.groupBy("code", "date").agg(F.max_by(value, "forecast_date").alias("_fc"))
-    filled = window.join(first, "code").join(known, ["code", "date"], "left")
-    filled = filled.withColumn(
-        "discharge", F.when(F.col("_bad"), F.col("discharge")).otherwise(F.coalesce("discharge", "_fc"))
-    ).drop("_fc", "_bad")
-    second = unusable(filled).withColumn("flag", F.col("_bad").cast("int")).drop("_bad")
-    done = win.interpolate(filled, "discharge").select("code", "date", F.col("discharge").alias("_full"))
-    out = filled.join(second, "code").join(done, ["code", "date"])
-    return out.withColumn(
-        "discharge", F.when(F.col("flag") == 0, F.col("_full")).otherwise(F.col("discharge"))
-    ).drop("_full")
+    inside = F.col("date").between(start, end)
+    newest = forecasts.where(inside).groupBy("code", "date").agg(F.max_by(value, "forecast_date").cast("double").alias("v"))
+    parts = [
+        daily.select("code", F.when(inside, F.struct("date", F.col("discharge").cast("double").alias("v"))).alias("seen"), F.lit(None).alias("made")),
+        newest.select("code", F.lit(None).alias("seen"), F.struct("date", "v").alias("made")),
+    ]
+    wanted = daily if stations is None else stations
+    kept = F.max("listed")
+    if stations is not None:
+        parts.append(stations.select("code", F.lit(None).alias("seen"), F.lit(None).alias("made")))
+    kinds = "struct<date:date,v:double>"
+    marked = [
+        p.select("code", F.col("seen").cast(kinds), F.col("made").cast(kinds), F.lit(i == (0 if wanted is daily else 2)).alias("listed"))
+        for i, p in enumerate(parts)
+    ]
+    rows = reduce(DataFrame.unionByName, marked).groupBy("code").agg(
+        kept.alias("listed"), F.map_from_entries(F.collect_list("seen")).alias("seen"), F.map_from_entries(F.collect_list("made")).alias("made")
+    ).where("listed")
+
+    def bad(values: Column) -> Column:
+        recent = F.slice(values, 3, length)
+        missing = F.size(F.filter(recent, lambda v: v.isNull()))
+        tail = F.aggregate(recent, F.lit(0), lambda n, v: F.when(v.isNull(), n + 1).otherwise(0))
+        return (missing > max_missing) | (F.least(tail, F.lit(max_missing)) >= max_missing_end)
+
+    days = F.sequence(start, end)
+    rows = rows.withColumn("_days", days).withColumn("_seen", F.transform("_days", lambda d: F.col("seen")[d]))
+    filled = F.transform("_days", lambda d: F.coalesce(F.col("seen")[d], F.col("made")[d]))
+    rows = rows.withColumn("_filled", F.when(bad(F.col("_seen")), F.col("_seen")).otherwise(filled))
+    rows = rows.withColumn("flag", bad(F.col("_filled")).cast("int"))
+    long = rows.select("code", "flag", F.explode(F.arrays_zip(F.col("_days").alias("date"), F.col("_filled").alias("discharge"))).alias("d"))
+    long = long.select("code", "d.date", "d.discharge", "flag")
+    done = win.interpolate(long.withColumn("_full", F.col("discharge")), "_full")
+    return done.select(
+        "code", "date", F.when(F.col("flag") == 0, F.col("_full")).otherwise(F.col("discharge")).alias("discharge"), "flag"
+    )
+
+
+def forecast_flags(stations: DataFrame, predictions: DataFrame, values: list[str], as_of) -> DataFrame:
+    """Operational forecasts with their flag: 0 made, 1 a null among a station's values, 2 no forecast at all.
+
+    A station without predictions gets one row of nulls dated ``as_of``.
+    """
+    null = F.lit(False)
+    for v in values:
+        null = null | F.col(v).isNull()
+    any_null = F.max(null).over(Window.partitionBy("code"))
+    made = predictions.withColumn("flag", F.when(any_null, 1).otherwise(0))
+    missing = stations.select("code").distinct().join(predictions.select("code").distinct(), "code", "left_anti")
+    none = missing.select("code", F.lit(as_of).cast("date").alias("date"), F.lit(2).alias("flag"))
+    return made.unionByName(none, allowMissingColumns=True).withColumn("forecast_date", F.lit(as_of).cast("date"))
+
+
+def hindcast_flags(hindcast: DataFrame, values: list[str]) -> DataFrame:
+    """Hindcast rows with their flag: 4 whole, 3 with a null among the values."""
+    known = F.lit(True)
+    for v in values:
+        known = known & F.col(v).isNotNull()
+    return hindcast.withColumn("flag", F.when(known, 4).otherwise(3))
 
 
 def scale_with(df: DataFrame, scalers: DataFrame, columns: list[str], kind: str = "standard") -> DataFrame:

@@ -70,14 +70,26 @@ def with_labels(df: DataFrame, registry: DataFrame) -> DataFrame:
     return df.join(names, "code", "left").withColumn("station_label", site_label("code", "name"))
 
 
-def fill_gaps_from_hindcast(forecasts: DataFrame, hindcast: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Forecast rows plus hindcast rows inside the gap span of the same code.
+def in_spans(df: DataFrame, day: str, spans: DataFrame, start: str, end: str, keys: list[str], width: int = 32) -> DataFrame:
+    """Rows whose ``day`` lies in a span of their keys, both ends included; each once.
 
-    Each gap explodes into its days, which turns the range test into an equi-join that
-    Spark can hash; touching gaps share edge days, hence the distinct.
+    The calendar is cut into bins of ``width`` days.  A span meets the rows of the bins that it touches by an equality that
+    Spark can hash or merge, and a range test decides, so a span counts once per ``width`` days and not once a day, and a
+    hot key is spread over its bins.  Spans without a start or an end, or that end before they start, hold no row.
     """
-    days = gaps.select("code", F.explode(F.sequence("gap_start", "gap_end")).alias("forecast_date"))
-    fill = hindcast.join(days.distinct(), ["code", "forecast_date"], "left_semi")
+    def bin_of(c):
+        return F.floor(F.date_diff(c, F.lit("1970-01-01").cast("date")) / width)
+
+    spans = spans.where(F.col(start) <= F.col(end)).select(*keys, F.col(start).alias("_start"), F.col(end).alias("_end"))
+    bins = spans.withColumn("_bin", F.explode(F.sequence(bin_of("_start"), bin_of("_end")))).alias("s")
+    rows = df.withColumn("_bin", bin_of(day)).alias("r")
+    same = [F.col(f"r.{k}") == F.col(f"s.{k}") for k in [*keys, "_bin"]]
+    return rows.join(bins, [*same, F.col(f"r.{day}").between(F.col("s._start"), F.col("s._end"))], "left_semi").drop("_bin")
+
+
+def fill_gaps_from_hindcast(forecasts: DataFrame, hindcast: DataFrame, gaps: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Forecast rows plus hindcast rows inside a gap span of the same keys (else of the same code)."""
+    fill = in_spans(hindcast, "forecast_date", gaps, "gap_start", "gap_end", keys or ["code"])
     return forecasts.unionByName(fill, allowMissingColumns=True)
 
 

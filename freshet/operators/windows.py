@@ -320,14 +320,14 @@ def group_gaps(gaps: DataFrame, batch_size: int = 30, block_digits: int = 3) ->
     )
 
 
-def forecast_gaps(df: DataFrame, limit: int = 1) -> DataFrame:
-    """Consecutive forecast dates of a station more than ``limit`` days apart."""
-    days = df.select("code", "forecast_date").distinct()
-    prev = F.lag("forecast_date").over(Window.partitionBy("code").orderBy("forecast_date"))
+def forecast_gaps(df: DataFrame, limit: int = 1, keys=KEYS) -> DataFrame:
+    """Consecutive forecast dates of a station (or of ``keys``) more than ``limit`` days apart."""
+    days = df.select(*keys, "forecast_date").distinct()
+    prev = F.lag("forecast_date").over(Window.partitionBy(*keys).orderBy("forecast_date"))
     return (
         days.withColumn("gap_start", prev)
         .where(F.datediff("forecast_date", "gap_start") > limit)
-        .select("code", "gap_start", F.col("forecast_date").alias("gap_end"))
+        .select(*keys, "gap_start", F.col("forecast_date").alias("gap_end"))
     )
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, features, models, pca, regression, selection
@@ -155,6 +158,20 @@ def impute_mean(t):
     return features.impute_mean(t.holes, ["discharge"])
 
 
+NEAREST = """WITH x AS (SELECT h.code, h.date, discharge, P, CASE WHEN T >= -1 THEN T END AS T FROM holes AS h JOIN forcing AS f ON h.code = f.code AND h.date = f.date),
+  far AS (SELECT a.code, a.date, b.date AS other, b.discharge AS v, (coalesce((a.P - b.P) * (a.P - b.P), 0) + coalesce((a.T - b.T) * (a.T - b.T), 0)) * 3.0
+      / (CASE WHEN a.P - b.P IS NULL THEN 0 ELSE 1 END + CASE WHEN a.T - b.T IS NULL THEN 0 ELSE 1 END) AS d
+    FROM x AS a JOIN x AS b ON a.code = b.code AND month(a.date) = month(b.date) WHERE a.discharge IS NULL AND b.discharge IS NOT NULL),
+  near AS (SELECT code, date, avg(v) AS v FROM (SELECT *, row_number() OVER (PARTITION BY code, date ORDER BY d, other) AS n FROM far) AS r WHERE n <= 5 GROUP BY 1, 2)
+  SELECT x.code, x.date, coalesce(discharge, v) AS discharge, P, T FROM x LEFT JOIN near AS n ON x.code = n.code AND x.date = n.date"""
+
+
+@query("R7_impute_knn", NEAREST, "discharge:r6 P:r6 T:r6")
+def impute_knn(t):
+    rows = t.holes.join(t.forcing, ["code", "date"]).withColumn("T", F.when(F.col("T") >= -1, F.col("T")))
+    return features.impute_knn(rows, ["discharge", "P", "T"], ["discharge"]).select("code", "date", "discharge", "P", "T")
+
+
 @query("R8_pca_groups")
 def pca_groups(t):
     rows = features.pca_groups(_features(t), {"P": ["P_1", "P_2"], "T": ["T_1", "T_2"]})
@@ -225,6 +242,60 @@ def model_input_window(t):
     return features.model_input_window(t.holes, forecasts, AS_OF, 60, 20, 3)
 
 
+MODELS = ("TFT", "TIDE", "TSMIXER")
+
+
+@query(
+    "R14_model_input_window_all_models",
+    " UNION ALL ".join(f"SELECT *, '{m}' AS model FROM ({INPUT.replace(chr(39) + 'TFT' + chr(39), chr(39) + m + chr(39))}) AS i" for m in MODELS),
+    "discharge:r6",
+)
+def model_input_window_all(t):
+    """Each model's input, its nulls filled with that model's earlier forecasts."""
+    def one(model):
+        made = t.daily_ml.where(F.col("model") == model).groupBy("code", "date", "forecast_date").agg(F.max("Q50").alias("Q50"))
+        return features.model_input_window(t.holes, made, AS_OF, 60, 20, 3).withColumn("model", F.lit(model))
+
+    return reduce(DataFrame.unionByName, [one(m) for m in MODELS])
+
+
+ISSUED = "DATE '1997-03-10'"
+MADE = f"""(SELECT code, date, model, Q5, Q50, CASE WHEN Q50 < 48 THEN Q95 END AS Q95 FROM daily_ml WHERE forecast_date = {ISSUED}) AS m"""
+
+
+@query(
+    "R14_forecast_flags",
+    " UNION ALL ".join(
+        f"""SELECT code, date, model, Q5, Q50, Q95, CASE WHEN bool_or(Q95 IS NULL) OVER (PARTITION BY code) THEN 1 ELSE 0 END AS flag, {ISSUED} AS forecast_date FROM {MADE} WHERE model = '{m}'
+        UNION ALL SELECT code, {ISSUED}, '{m}', NULL, NULL, NULL, 2, {ISSUED} FROM registry WHERE code NOT IN (SELECT code FROM {MADE} WHERE model = '{m}')"""
+        for m in MODELS
+    ),
+    "flag:i",
+)
+def forecast_flags(t):
+    values = ["Q5", "Q50", "Q95"]
+    day = "1997-03-10"
+    made = t.daily_ml.where(F.col("forecast_date") == F.lit(day).cast("date")).withColumn("Q95", F.when(F.col("Q50") < 48, F.col("Q95")))
+
+    def one(model):
+        rows = made.where(F.col("model") == model).select("code", "date", *values)
+        return features.forecast_flags(t.registry, rows, values, day).withColumn("model", F.lit(model))
+
+    rows = reduce(DataFrame.unionByName, [one(m) for m in MODELS])
+    return rows.select("code", "date", "model", *values, "flag", "forecast_date")
+
+
+@query(
+    "R14_hindcast_flags",
+    "SELECT code, model, forecast_date, date, Q5, Q50, CASE WHEN Q50 < 40 THEN Q95 END AS Q95, CASE WHEN Q50 < 40 THEN 4 ELSE 3 END AS flag FROM daily_ml",
+    "flag:i",
+)
+def hindcast_flags(t):
+    rows = t.daily_ml.withColumn("Q95", F.when(F.col("Q50") < 40, F.col("Q95")))
+    keep = ["code", "model", "forecast_date", "date", "Q5", "Q50", "Q95"]
+    return features.hindcast_flags(rows.select(*keep), ["Q5", "Q50", "Q95"])
+
+
 def _readings_predictor(mean):
     total = "coalesce(total, 0) + coalesce(last, 0)"
     n = "(known + CASE WHEN last IS NULL THEN 0 ELSE 1 END)"

@@ -344,6 +344,25 @@ def fill_gaps_from_hindcast(t):
     return joins.fill_gaps_from_hindcast(made, hind, win.forecast_gaps(made))
 
 
+FLAGGED = "(SELECT code, model, forecast_date, date, Q50 FROM daily_ml WHERE flag = 1) AS made"
+MODEL_GAPS = f"""SELECT code, model, prev AS a, forecast_date AS b FROM (SELECT code, model, forecast_date, lag(forecast_date) OVER (PARTITION BY code, model ORDER BY forecast_date) AS prev
+  FROM (SELECT DISTINCT code, model, forecast_date FROM {FLAGGED}) AS u) AS l WHERE forecast_date - prev > 1"""
+
+
+@query(
+    "J15_fill_gaps_all_models",
+    f"""SELECT * FROM {FLAGGED} UNION ALL SELECT code, model, forecast_date, date, Q50 * 2 AS Q50 FROM daily_ml AS h
+    WHERE EXISTS (SELECT 1 FROM ({MODEL_GAPS}) AS g WHERE g.code = h.code AND g.model = h.model AND h.forecast_date BETWEEN g.a AND g.b)""",
+)
+def fill_gaps_all_models(t):
+    """Every model's gaps, filled from its own hindcast."""
+    keep = ["code", "model", "forecast_date", "date", "Q50"]
+    made = t.daily_ml.where("flag = 1").select(*keep)
+    hind = t.daily_ml.select(*keep).withColumn("Q50", F.col("Q50") * 2)
+    keys = ["code", "model"]
+    return joins.fill_gaps_from_hindcast(made, hind, win.forecast_gaps(made, keys=keys), keys)
+
+
 @query(
     "J16_flagged_replacement",
     """SELECT f.code, f.forecast_date, f.date, CASE WHEN f.flag = 1 AND h.q IS NOT NULL THEN h.q ELSE f.Q50 END AS Q50, CAST(CASE WHEN f.flag = 1 AND h.q IS NOT NULL THEN 0 ELSE f.flag END AS INTEGER) AS flag
