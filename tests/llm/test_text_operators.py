@@ -230,6 +230,36 @@ def test_mixing_meets_the_target_of_a_rare_domain(spark, blur):
     assert max(r.rate for r in got if r.posterior[1] > 0.5) < 0.05
 
 
+@pytest.mark.parametrize("size", [600, 1800])
+def test_taken_totals_come_near_the_targets(spark, documents, size):
+    rng = random.Random(size)
+    kinds = ["good"] * 6 + ["poor"] * 3 + ["toxic"]
+    rows, labels = [], []
+    for i in range(size):
+        kind = rng.choice(kinds)
+        stock = {"good": "abcdef", "poor": "cdefgh", "toxic": "uvwxyz"}[kind]
+        rows.append((i, prose(i, rng.randint(20, 60), stock), "en", "s"))
+        if i % 3 == 0:
+            labels.append((i, kind))
+    wanted = {"good": 1.0, "poor": 1.0, "toxic": 0.0}
+    table = spark.createDataFrame(labels, "doc_id long, domain string")
+    for r in mixing.totals(documents(rows), table, wanted).collect():
+        assert abs(r.fitted - r.target) <= mixing.TOLERANCE * r.present, r
+        assert abs(r.taken - r.target) <= mixing.TOLERANCE * r.present, r
+
+
+def test_labels_that_contradict_each_other_and_hot_ids(spark, documents):
+    rows = [(i, prose(i, 30, "abcdef" if i % 2 else "uvwxyz"), "en", "s") for i in range(60)]
+    # one id with very many texts, and labels of two domains for another
+    rows += [(500, prose(1000 + i, 10, "mnop"), "en", "s") for i in range(200)]
+    labels = [(i, "a" if i % 2 else "b") for i in range(60)] + [(500, "a"), (7, "b")]
+    model, domains = mixing.train(documents(rows), spark.createDataFrame(labels, "doc_id long, domain string"), sample=30)
+    assert domains == ["a", "b"]
+    for _ in range(2):
+        again, _ = mixing.train(documents(rows), spark.createDataFrame(labels[::-1], "doc_id long, domain string"), sample=30)
+        assert (again.coefficientMatrix.toArray() == model.coefficientMatrix.toArray()).all()
+
+
 def test_mixing_says_which_target_cannot_be_met(spark):
     table = spark.createDataFrame([(100, [0.9, 0.1])] * 20, "tokens long, posterior array<double>").coalesce(4)
     with pytest.warns(UserWarning, match="'b'"):
