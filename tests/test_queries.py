@@ -1,5 +1,6 @@
 """Registered queries beside their SQL on the smallest given tables."""
 
+import ast
 import os
 import sys
 from pathlib import Path
@@ -38,6 +39,28 @@ def test_query_matches_sql(spark, con, name):
     assert result == "ok"
 
 
+def columns_of(con, sql):
+    return sorted(r[0] for r in con.execute(f"DESCRIBE {sql}").fetchall())
+
+
+#: Queries that do their whole work before they return; others are only analysed here.
+EAGER = ("op", "pipeline", "X", "R10", "R11", "R12", "R13", "S17", "S18", "S19", "S2", "S12", "S34", "S36")
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(entry.oracle_sql()) if not n.startswith(EAGER)])
+def test_every_query_has_the_columns_of_its_sql(spark, con, name):
+    df = entry.queries()[name](spark, FOLDER)
+    assert sorted(df.columns) == columns_of(con, entry.oracle_sql()[name])
+
+
+def test_no_helper_is_defined_twice():
+    """A later function of the same name would take the place of the first one."""
+    for path in Path(entry.__file__).resolve().parent.glob("freshet/**/*.py"):
+        body = ast.parse(path.read_text()).body
+        names = [n.name for n in body if isinstance(n, ast.FunctionDef | ast.ClassDef)]
+        assert len(names) == len(set(names)), (path.name, {n for n in names if names.count(n) > 1})
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
