@@ -90,10 +90,19 @@ def point_selected_regression(df: DataFrame, selection: DataFrame, period: str =
 
 def site_forecast(series: DataFrame, fits: DataFrame, norms: DataFrame, as_of, period: str = "issue_period") -> DataFrame:
     """One row per site - predictor on the date, forecast (never negative), norms,
-    percent of norm and printed range.  Predictor and forecast are rounded to valid digits first."""
-    today = series.where(F.col("date") == F.lit(as_of).cast("date")).select(
-        "code", period, round_significant("predictor").alias("predictor")
-    )
+    percent of norm and printed range.  Predictor and forecast are rounded to valid digits first.
+
+    ``as_of`` may be a list of dates: the predictor is then the mean of those known, the period that of the site's latest
+    date.  A site without a row on any of them has no forecast.
+    """
+    if isinstance(as_of, list | tuple):
+        dates = [F.lit(d).cast("date") for d in as_of]
+        today = series.where(F.col("date").isin(*dates)).groupBy("code").agg(
+            F.max_by(period, "date").alias(period), F.avg("predictor").alias("predictor")
+        )
+    else:
+        today = series.where(F.col("date") == F.lit(as_of).cast("date")).select("code", period, "predictor")
+    today = today.select("code", period, round_significant("predictor").alias("predictor"))
     rows = today.join(fits.select("code", period, "slope", "intercept", "delta"), ["code", period], "left")
     rows = rows.join(norms.withColumnRenamed("q_mean", "q_norm"), ["code", period], "left")
     rows = rows.withColumn(

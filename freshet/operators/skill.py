@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import calendar as cal
 from ..functions.text import bracketed
 from ..schemas import require_columns
+from ..session import cut_lineage
 
 # Default thresholds for "highly skilled" forecasts; None switches one off.
 THRESHOLDS = {"sdivsigma": 0.6, "accuracy": 0.8, "nse": 0.8}
@@ -128,13 +129,14 @@ def skill_metrics(observed: DataFrame, simulated: DataFrame, horizon, since: int
     """(skill table with ensemble rows, forecasts with ensemble rows).
 
     A model with two or more labels is required for an ensemble; the check is a scalar
-    subquery over the distinct labels.
+    subquery over the distinct labels.  The pairs of forecasts and observations are built once and
+    kept in the shared folder for the scores and for the candidates.
     """
     h = cal.horizon_of(horizon)
     keys = [h.in_year, "code", "model_long", "model_short"]
     require_columns(simulated, "date", "forecasted_discharge", *keys)
     observed, recent = since_year(observed, since), since_year(simulated, since)
-    pairs = scored_pairs(recent, observed, keys)
+    pairs = cut_lineage(scored_pairs(recent, observed, keys))
     skill = score(pairs, keys)
     candidates = ensemble_candidates(pairs, skilled_only(skill, thresholds), keys, parity)
     models = recent.select("model_long").distinct().agg(F.count(F.lit(1)).alias("n"))

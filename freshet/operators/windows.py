@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions.rounding import round_significant
 from ..schemas import require_columns
+from .quantiles import exact_quantiles
 
 KEYS = ("code",)
 
@@ -213,14 +214,17 @@ def _iqr_filter(df, keys, value, below, above, min_rows, raw: bool = False) -> D
 
     On one row per day the calendar bounds the group, so they are a window: with the input
     partitioned by station already, no exchange or join is added.  ``raw`` input may repeat days
-    without bound: equal values are counted before the shuffle and the bounds are joined back.
+    without bound: equal values are counted before the shuffle, ranked over range partitions, and the bounds are
+    joined back, so no buffer holds a key's values.
     """
     group = Window.partitionBy(*keys)
-    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
     if raw:
-        bounds = df.groupBy(*keys).agg(quartiles.alias("_q"), F.count(F.lit(1)).alias("_n"))
+        found = exact_quantiles(df, list(keys), value, {"_q1": 0.25, "_q3": 0.75})
+        bounds = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(found, list(keys), "left")
+        bounds = bounds.select(*keys, "_n", F.array("_q1", "_q3").alias("_q"))
         df, counted = df.join(bounds, list(keys)), True
     else:
+        quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
         df, counted = df.withColumn("_q", quartiles.over(group)), False
     low = F.col("_q")[0] - below * (F.col("_q")[1] - F.col("_q")[0])
     high = F.col("_q")[1] + above * (F.col("_q")[1] - F.col("_q")[0])

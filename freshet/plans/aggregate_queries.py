@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, features, hydrograph, skill
+from ..session import cut_lineage
 from .registry import query
 from .selection_queries import (
     LONG,
@@ -141,7 +142,8 @@ def neural_ensemble(t):
 
 @query("A12_skilled_ensemble", EM, "forecasted_discharge:r5")
 def skilled_ensemble(t):
-    pairs = skill.scored_pairs(t.forecasts, t.observed, SKILL_KEYS)
+    # built once for the scores and for the candidates
+    pairs = cut_lineage(skill.scored_pairs(t.forecasts, t.observed, SKILL_KEYS))
     skilled = skill.skilled_only(skill.score(pairs, SKILL_KEYS), THRESHOLDS)
     chosen = skill.ensemble_candidates(pairs, skilled, SKILL_KEYS)
     return skill.skilled_ensemble(chosen, "pentad")

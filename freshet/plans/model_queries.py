@@ -80,22 +80,32 @@ def _text(x):
     )
 
 
-@query(
-    "R4_site_forecast",
-    f"""SELECT code, predictor, fc_qexp, q_norm, CASE WHEN fc_qexp / q_norm * 100 BETWEEN 0 AND 500 THEN CAST(CAST(round_even(fc_qexp / q_norm * 100, 0) AS INTEGER) AS VARCHAR) ELSE ' ' END AS perc_norm,
+def _site_forecast(today):
+    return f"""SELECT code, predictor, fc_qexp, q_norm, CASE WHEN fc_qexp / q_norm * 100 BETWEEN 0 AND 500 THEN CAST(CAST(round_even(fc_qexp / q_norm * 100, 0) AS INTEGER) AS VARCHAR) ELSE ' ' END AS perc_norm,
       CASE WHEN lo IS NULL OR (lo = 0 AND hi = 0) THEN ' ' ELSE {_text('lo')} END AS fc_qmin, CASE WHEN lo IS NULL OR (lo = 0 AND hi = 0) THEN ' ' ELSE {_text('hi')} END AS fc_qmax
     FROM (SELECT *, CASE WHEN fc_qexp - delta < 0 THEN 0 ELSE fc_qexp - delta END AS lo, CASE WHEN fc_qexp + delta < 0 THEN 0 ELSE fc_qexp + delta END AS hi FROM (
       SELECT code, predictor, delta, {sig('raw_q')} AS fc_qexp, q_norm FROM (
       SELECT s.code, s.predictor, delta, CASE WHEN slope * s.predictor + intercept < 0 THEN 0 ELSE slope * s.predictor + intercept END AS raw_q, q_norm
-      FROM (SELECT code, issue_period, {sig('predictor')} AS predictor FROM series_pentad WHERE date = DATE '1999-06-25') AS s LEFT JOIN fits AS f ON s.code = f.code AND s.issue_period = f.issue_period
-        LEFT JOIN (SELECT code, issue_period, avg(discharge_avg) AS q_norm FROM series_pentad GROUP BY 1, 2) AS n ON s.code = n.code AND s.issue_period = n.issue_period) AS u) AS a) AS b""",
-    "predictor:r6 fc_qexp:r5 q_norm:r6",
-)
-def site_forecast(t):
-    series = t.series("pentad")
-    norms = aggregates.period_norms(series, "issue_period")
-    rows = regression.site_forecast(series, t.fits, norms, "1999-06-25")
-    return rows.select("code", "predictor", "fc_qexp", "q_norm", "perc_norm", "fc_qmin", "fc_qmax")
+      FROM {today} AS s LEFT JOIN fits AS f ON s.code = f.code AND s.issue_period = f.issue_period
+        LEFT JOIN (SELECT code, issue_period, avg(discharge_avg) AS q_norm FROM series_pentad GROUP BY 1, 2) AS n ON s.code = n.code AND s.issue_period = n.issue_period) AS u) AS a) AS b"""
+
+
+ONE_DATE = f"(SELECT code, issue_period, {sig('predictor')} AS predictor FROM series_pentad WHERE date = DATE '1999-06-25')"
+SOME_DATES = f"""(SELECT code, issue_period, {sig('p')} AS predictor FROM (SELECT code, arg_max(issue_period, date) AS issue_period, avg(predictor) AS p
+    FROM series_pentad WHERE date IN (DATE '1999-06-15', DATE '1999-06-20', DATE '1999-06-25') GROUP BY 1) AS d)"""
+
+
+for _name, _dates, _today in (
+    ("R4_site_forecast", "1999-06-25", ONE_DATE),
+    ("R4_site_forecast_over_dates", ["1999-06-15", "1999-06-20", "1999-06-25"], SOME_DATES),
+):
+
+    @query(_name, _site_forecast(_today), "predictor:r6 fc_qexp:r5 q_norm:r6")
+    def site_forecast(t, dates=_dates):
+        series = t.series("pentad")
+        norms = aggregates.period_norms(series, "issue_period")
+        rows = regression.site_forecast(series, t.fits, norms, dates)
+        return rows.select("code", "predictor", "fc_qexp", "q_norm", "perc_norm", "fc_qmin", "fc_qmax")
 
 
 AS_OF = "2001-06-15"

@@ -209,7 +209,8 @@ def read_rainfall_runoff_files(t):
         F.date_format("date", "yyyy-MM-dd").alias("date"),
         "Q50",
     )
-    rows.write.partitionBy("file").option("header", True).csv(path)
+    # one task writes a gauge's file whole
+    rows.repartition("file").write.partitionBy("file").option("header", True).csv(path)
     return readers.read_rainfall_runoff_files(t.spark, path)
 
 
