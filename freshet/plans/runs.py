@@ -1,19 +1,21 @@
-"""The three daily runs, composed from the operators.
+"""The daily runs, composed from the operators.
 
-Each takes and returns DataFrames; publish the results with ``sources.writers``.
+Each takes and returns DataFrames; publish the results with ``sources.writers``.  The forcing run publishes
+its tables itself.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..operators import aggregates, hydrograph, merge, regression, skill
+from ..operators import aggregates, forcing, hydrograph, merge, regression, skill
 from ..operators import windows as win
-from ..sources import readers
+from ..sources import readers, writers
 
 
 @dataclass
@@ -75,3 +77,33 @@ def postprocess(series: DataFrame, hindcast: DataFrame, models: list[DataFrame],
     table = skill.neural_ensemble(skill.complete_blocks(table), h)
     scores, joint = skill.skill_metrics(observed, table, h, since, thresholds, parity)
     return Scored(scores, joint, merge.latest_forecasts(joint, h))
+
+
+MEMBER = ["code", "name", "ensemble_member"]
+
+
+def control_forcing(wide: DataFrame, parameters: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
+    """The gateway's control member -> corrected, gap-filled P and T per station, published below ``base``.
+
+    Returns the two tables as they are read back.
+    """
+    whole = forcing.prepare_forcing(forcing.transform_control_member(wide), parameters)
+    tables = dict(zip(("P", "T"), forcing.split_forcing(whole), strict=True))
+    return tuple(_published(table, f"{base}/control_{name}", ["code", "date"]) for name, table in tables.items())
+
+
+def ensemble_forcing(p: list[tuple[DataFrame, int]], t: list[tuple[DataFrame, int]], code: str, parameters: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
+    """The files of all members (wide tables and their numbers) of one basin -> as above, per sub-basin and member."""
+    parts = [
+        reduce(DataFrame.unionByName, [forcing.transform_ensemble_member(wide, name, code, n) for wide, n in members])
+        for name, members in (("P", p), ("T", t))
+    ]
+    whole = forcing.prepare_forcing(forcing.merge_ensemble(*parts), parameters, MEMBER)
+    return tuple(
+        _published(whole.select("date", *MEMBER, name), f"{base}/ensemble_{name}", [*MEMBER, "date"]) for name in ("P", "T")
+    )
+
+
+def _published(table: DataFrame, base: str, order: list[str]) -> DataFrame:
+    writers.write_csv(table, base, order)
+    return writers.read_csv(table.sparkSession, base, table.schema)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import aggregates, forcing, hydrograph, skill
 from ..sources import readers, writers
+from . import runs
 from .calendar_queries import MAPPED, _parameters
 from .registry import query
 from .sql import MODEL_LONG, MODEL_SHORT, SHIP, issue, next_issue, pim, piy
@@ -238,7 +242,7 @@ def transform_control_member(t):
     return forcing.transform_control_member(t.gateway)
 
 
-def _member(t, flag, number, variable):
+def _member_file(t, flag, variable):
     agg = F.sum("l_quantity") if variable == "P" else F.max("l_quantity")
     wide = (
         t.lineitem.where(F.col("l_returnflag") == flag)
@@ -246,8 +250,11 @@ def _member(t, flag, number, variable):
         .pivot("l_linenumber", list(range(1, 8)))
         .agg(agg)
     )
-    wide = wide.withColumnsRenamed({str(i): f"basin_{i}" for i in range(1, 8)})
-    return forcing.transform_ensemble_member(wide, variable, "00003", number)
+    return wide.withColumnsRenamed({str(i): f"basin_{i}" for i in range(1, 8)})
+
+
+def _member(t, flag, number, variable):
+    return forcing.transform_ensemble_member(_member_file(t, flag, variable), variable, "00003", number)
 
 
 def _member_sql(flag, number, variable):
@@ -505,6 +512,81 @@ def forcing_pipeline(t):
     return p.join(temperature, ["code", "date"])
 
 
+CORRECTED = """round_even(1.5 * pow(CASE WHEN P <= 8 THEN 0 ELSE P END, 0.5), 2) AS P, round_even(1.25 * pow(T + 273.15, 0.96) - 273.15, 2) AS T"""
+
+
+def _corrections(t, codes):
+    rows = [(c, 1.5, 0.5, 8.0, 1.25, 0.96) for c in codes]
+    return t.spark.createDataFrame(rows, "code string, a_p double, b_p double, wet_day double, a_t double, b_t double")
+
+
+@query(
+    "S33_control_forcing_run",
+    f"""SELECT code, date, last_value(P IGNORE NULLS) OVER w AS P, last_value(T IGNORE NULLS) OVER w AS T FROM (
+      SELECT code, date, {CORRECTED} FROM (SELECT d.date, CAST(d.n AS VARCHAR) AS code, s AS T, m AS P FROM (SELECT date, n FROM {ALL_DAYS}) AS d LEFT JOIN ({DAYS_BY_LINE}) AS v ON d.date = v.date AND d.n = v.n) AS r WHERE code IN ('2', '4', '6')
+      UNION ALL SELECT CAST(d.n AS VARCHAR), d.date, m, s FROM (SELECT date, n FROM {ALL_DAYS}) AS d LEFT JOIN ({DAYS_BY_LINE}) AS v ON d.date = v.date AND d.n = v.n WHERE d.n NOT IN (2, 4, 6)) AS c
+    WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "P:r6 T:r6",
+)
+def control_forcing_run(t):
+    p, temperature = runs.control_forcing(t.gateway, _corrections(t, ["2", "4", "6"]), t.scratch("forcing"))
+    return p.join(temperature, ["code", "date"])
+
+
+MEMBERS = (("A", 1), ("N", 2), ("R", 3))
+
+
+@query(
+    "S33_ensemble_forcing_run",
+    f"""SELECT code, name, ensemble_member, date, last_value(P IGNORE NULLS) OVER w AS P, last_value(T IGNORE NULLS) OVER w AS T FROM (
+      SELECT code, name, ensemble_member, date, {CORRECTED} FROM ({' UNION ALL '.join(_member_sql(f, n, 'P') for f, n in MEMBERS)}) AS p
+      FULL OUTER JOIN ({' UNION ALL '.join(_member_sql(f, n, 'T') for f, n in MEMBERS)}) AS q USING (date, code, name, ensemble_member)) AS c
+    WINDOW w AS (PARTITION BY code, name, ensemble_member ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "ensemble_member:i P:r6 T:r6",
+)
+def ensemble_forcing_run(t):
+    """All members of all flags, from wide files to the two published tables."""
+    files = [[(_member_file(t, flag, v), n) for flag, n in MEMBERS] for v in ("P", "T")]
+    p, temperature = runs.ensemble_forcing(*files, "00003", _corrections(t, ["00003"]), t.scratch("forcing"))
+    return p.join(temperature, ["code", "name", "ensemble_member", "date"])
+
+
+SNOW = ("SWE", "HS", "ROF")
+
+
+@query(
+    "S16_pivot_snow_all",
+    " UNION ALL ".join("SELECT date, code, '" + v + "' AS var, " + ", ".join(f"max(value) FILTER (WHERE band = {b}) AS band_{b}" for b in range(1, 8)) + f" FROM snow WHERE var = '{v}' GROUP BY 1, 2" for v in SNOW),
+)
+def pivot_snow_all(t):
+    def one(v):
+        wide = forcing.pivot_snow(t.snow, v, list(range(1, 8))).withColumn("var", F.lit(v))
+        return wide.withColumnsRenamed({f"{v}_{b}": f"band_{b}" for b in range(1, 8)})
+
+    return reduce(DataFrame.unionByName, [one(v) for v in SNOW])
+
+
+@query(
+    "S29_snow_readers_all",
+    "SELECT date, code, " + ", ".join(f"sum(value) FILTER (WHERE var = '{v}') AS {v}" for v in SNOW) + " FROM snow GROUP BY 1, 2",
+)
+def snow_readers_all(t):
+    total = t.snow.groupBy("date", "code").pivot("var", list(SNOW)).agg(F.sum("value"))
+    return readers.typed_forcing(total.withColumn("date", F.date_format("date", "dd.MM.yyyy")), list(SNOW))
+
+
+@query(
+    "S12_read_rainfall_runoff_all_models",
+    " UNION ALL ".join(f"SELECT *, '{m}' AS model FROM ({_rr(m)}) AS r" for m in ("TFT", "TIDE", "TSMIXER")),
+    "forecasted_discharge:r6",
+)
+def read_rainfall_runoff_all(t):
+    def one(m):
+        return readers.read_rainfall_runoff_forecasts(t.daily_ml.where(F.col("model") == m), "pentad").withColumn("model", F.lit(m))
+
+    return reduce(DataFrame.unionByName, [one(m) for m in ("TFT", "TIDE", "TSMIXER")])
+
+
 @query("S34_write_station_readings", "SELECT code, date, variable, unit, value FROM meteo")
 def write_station_readings(t):
     dotted = t.meteo.withColumn("code", F.concat("code", F.lit(".0")))
