@@ -117,6 +117,10 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     return written(rows.mapInArrow(run, "path string, records long, bytes long"), "archives")
 
 
+#: How a gzip member begins.
+GZIP = b"\x1f\x8b\x08"
+
+
 class Damaged(ValueError):
     """A record that breaks its framing."""
 
@@ -182,49 +186,90 @@ def _id(value: bytes | None) -> int | None:
     return int(body) if body.lstrip(b"-").isdigit() else None
 
 
+def _record(stream, rest: bytes) -> tuple[dict, bytes]:
+    """One record and the bytes that follow its member, with memory for one piece of a payload at a time."""
+    member = Member(stream, rest)
+    version, _, lines = member.until(b"\r\n\r\n").partition(b"\r\n")
+    if not version.startswith(b"WARC/"):
+        raise Damaged("not a WARC record")
+    head = _header(lines)
+    left = int(head[b"content-length"])
+    block, payload, http, seen = hashlib.sha1(), hashlib.sha1(), b"", 0
+    inside = False
+    for part in member.take(left):
+        block.update(part)
+        if not inside:
+            http += part
+            at = http.find(b"\r\n\r\n")
+            if at < 0:
+                continue
+            part, http, inside = http[at + 4 :], http[:at], True
+        payload.update(part)
+        seen += len(part)
+    rest = member.finish()
+    kind = head[b"warc-type"].decode()
+    told = head.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode()
+    size = int(_header(http.partition(b"\r\n")[2]).get(b"content-length", b"-1"))
+    good = head.get(b"warc-block-digest", b"").removeprefix(b"sha1:").decode() == block.hexdigest()
+    if kind == "response":
+        good = good and told == payload.hexdigest() and size == seen
+    url = head.get(b"warc-target-uri")
+    found = {
+        "page_id": _id(head.get(b"warc-record-id")), "url": None if url is None else url.decode("utf-8", "replace"),
+        "record_type": kind, "refers_to": _id(head.get(b"warc-refers-to")), "payload_bytes": size,
+        "payload_digest": told, "verified": good,
+    }
+    return found, rest
+
+
+def _next_member(stream, at: int) -> int | None:
+    """Where the next gzip member that holds a record begins, from ``at`` on."""
+    tail = b""
+    stream.seek(at)
+    while data := stream.read(CHUNK):
+        window, base = tail + data, at - len(tail)
+        found = window.find(GZIP)
+        while found >= 0:
+            stream.seek(base + found)
+            try:
+                if zlib.decompressobj(31).decompress(stream.read(4096), 5).startswith(b"WARC/"):
+                    return base + found
+            except zlib.error:
+                pass
+            found = window.find(GZIP, found + 1)
+        at += len(data)
+        tail = window[-(len(GZIP) - 1) :]
+        stream.seek(at)
+    return None
+
+
 def read_records(stream) -> Iterator[dict]:
-    """Records of one archive in order, with memory for one piece of a payload at a time."""
+    """Records of one archive (a stream that can seek) in order.
+
+    Members are independent: a damaged one gives a record of type ``damaged``, and reading goes on at the next member
+    that holds a record.
+    """
     rest = stream.read(CHUNK)
     while rest:
-        member = Member(stream, rest)
-        version, _, lines = member.until(b"\r\n\r\n").partition(b"\r\n")
-        if not version.startswith(b"WARC/"):
-            raise Damaged("not a WARC record")
-        head = _header(lines)
-        left = int(head[b"content-length"])
-        block, payload, http, seen = hashlib.sha1(), hashlib.sha1(), b"", 0
-        inside = False
-        for part in member.take(left):
-            block.update(part)
-            if not inside:
-                http += part
-                at = http.find(b"\r\n\r\n")
-                if at < 0:
-                    continue
-                part, http, inside = http[at + 4 :], http[:at], True
-            payload.update(part)
-            seen += len(part)
-        rest = member.finish() or stream.read(CHUNK)
-        kind = head[b"warc-type"].decode()
-        told = head.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode()
-        size = int(_header(http.partition(b"\r\n")[2]).get(b"content-length", b"-1"))
-        good = head.get(b"warc-block-digest", b"").removeprefix(b"sha1:").decode() == block.hexdigest()
-        if kind == "response":
-            good = good and told == payload.hexdigest() and size == seen
-        url = head.get(b"warc-target-uri")
-        yield {
-            "page_id": _id(head.get(b"warc-record-id")), "url": None if url is None else url.decode("utf-8", "replace"),
-            "record_type": kind, "refers_to": _id(head.get(b"warc-refers-to")), "payload_bytes": size,
-            "payload_digest": told, "verified": good,
-        }
+        start = stream.tell() - len(rest)
+        try:
+            found, rest = _record(stream, rest)
+            rest = rest or stream.read(CHUNK)
+            yield found
+        except (Damaged, KeyError, ValueError):
+            yield {"record_type": "damaged", "verified": False}
+            after = _next_member(stream, start + 1)
+            if after is None:
+                return
+            stream.seek(after)
+            rest = stream.read(CHUNK)
 
 
 def read(archives: DataFrame) -> DataFrame:
     """All records of the archives in the column ``path``; see ``RECORD``.
 
-    A record whose digests or lengths differ has ``verified`` false.  Where the framing breaks the
-    rest of that archive cannot be told apart: it gives one row of type ``damaged``.  Other columns are
-    ignored, a null path gives nothing.
+    A record whose digests or lengths differ has ``verified`` false.  A member whose framing breaks gives one row of type
+    ``damaged``; the records after it are read.  Other columns are ignored, a null path gives nothing.
     """
     schema = pa.schema([
         ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
@@ -234,13 +279,9 @@ def read(archives: DataFrame) -> DataFrame:
 
     def rows(path: str) -> Iterator[dict]:
         store, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        with store.open_input_stream(name, compression=None) as stream:
-            count = 0
-            try:
-                for count, found in enumerate(read_records(stream), 1):
-                    yield found | {"archive": path, "position": count - 1}
-            except (Damaged, KeyError, ValueError):
-                yield {"record_type": "damaged", "verified": False, "archive": path, "position": count}
+        with store.open_input_file(name) as stream:
+            for position, found in enumerate(read_records(stream)):
+                yield found | {"archive": path, "position": position}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []

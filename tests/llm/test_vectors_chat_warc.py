@@ -182,6 +182,27 @@ def test_warc_reads_urls_of_any_length(spark):
     assert sorted(got) == [1, 2, 3] and all(r.verified for r in got.values()) and got[2].url == url
 
 
+def test_warc_goes_on_after_damaged_members(spark, tmp_path):
+    import os
+
+    good = [warc.record(i, "u", os.urandom(90000) if i == 3 else b"y" * (50000 * i), None) for i in range(5)]
+    torn = bytearray(good[3])
+    torn[2000:2100] = b"\0" * 100
+    cases = {
+        "torn": [good[0], bytes(torn), good[2], good[4]], "cut": [good[1], good[3][: len(good[3]) // 2], good[2]],
+        "junk": [b"junk" * 30, good[1], b"\x1f\x8b\x08junk", good[2]],
+        "length": [gzip.compress(gzip.decompress(good[1]).replace(b"Content-Length: 50", b"Content-Length: 51")), good[0]],
+    }
+    for name, parts in cases.items():
+        (tmp_path / name).write_bytes(b"".join(parts))
+    df = spark.createDataFrame([(str(tmp_path / n),) for n in cases], "path string")
+    got = defaultdict(list)
+    for r in sorted(warc.read(df).collect(), key=lambda r: r.position):
+        got[r.archive.rsplit("/", 1)[-1]].append(r.page_id if r.verified else r.record_type)
+    assert got["torn"] == [0, "damaged", 2, 4] and got["cut"] == [1, "damaged", 2]
+    assert got["junk"] == ["damaged", 1, "damaged", 2] and got["length"] == ["damaged", 0]
+
+
 def test_warc_members_and_damage(spark, tmp_path):
     good = [warc.record(i, "u", b"x" * (70000 * i), None) for i in range(4)]
     plain = gzip.decompress(good[1])
