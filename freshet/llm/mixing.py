@@ -32,9 +32,9 @@ WORDS, SAMPLE = 1 << 15, 4000
 TOLERANCE, FLAT = 0.05, 0.05
 #: Passes over the posteriors at most, those without a gain of a twentieth after which the fit ends, and the shortest and
 #: longest step.
-STEPS, IDLE, SHORT, LONG = 48, 10, 0.5, 16.0
+STEPS, IDLE, SHORT, LONG = 32, 8, 0.5, 16.0
 #: Cuts that may part the rows taken from the others.
-CUTS = tuple(i / 10 for i in range(1, 10))
+CUTS = tuple(i / 10 for i in range(1, 11))
 #: L1 penalty: few words tell domains apart.
 PENALTY = 0.003
 
@@ -174,12 +174,13 @@ def _cut(table: DataFrame, now: np.ndarray, aim: np.ndarray, steps: list[list[fl
     size = len(now)
     made = sorted({min(k, len(steps)) for k in (1, 2, 4, 8, 16, len(steps))})
     rates = F.array(*[rate(F.col("posterior"), steps[:k]) for k in made])
-    rated = table.select("tokens", "posterior", F.explode(F.array(rates)).alias("y"))
-    sums = [
-        F.sum(F.when(F.col("y")[k] >= cut, F.col("tokens") * F.col("posterior")[i]).otherwise(0.0)).alias(f"s{k}_{n}_{i}")
-        for k in range(len(made)) for n, cut in enumerate(CUTS) for i in range(size)
-    ]
-    got = np.array([float(v or 0.0) for v in rated.agg(*sums).first()]).reshape(len(made), len(CUTS), size)
+    tenths = F.floor(F.least(F.col("y"), F.lit(1.0)) * len(CUTS) + 1e-9).cast("int")
+    rated = table.select("tokens", "posterior", F.posexplode(rates).alias("k", "y")).groupBy("k", tenths.alias("b"))
+    got = np.zeros((len(made), len(CUTS) + 1, size))
+    for r in rated.agg(*[F.sum(F.col("tokens") * F.col("posterior")[i]).alias(f"s{i}") for i in range(size)]).collect():
+        got[r.k, r.b] = [r[f"s{i}"] or 0.0 for i in range(size)]
+    # totals of the rows from each cut on
+    got = got[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]
     far = (((got - aim) / np.where(now > 0, now, 1.0)) ** 2).sum(axis=2)
     k = int(far.min(axis=1).argmin())
     # the middle one of equally good cuts
@@ -210,7 +211,7 @@ def take(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> Dat
     # texts are scored once: the steps read the numbers of the stored table, the last pass its rows
     domains, table, now, steps = _fitted(docs, labelled, weights, whole=True)
     steps, cut, _ = _cut(table, now, now * [weights.get(d, 1.0) for d in domains], steps)
-    return table.where(rate(F.col("posterior"), steps) >= cut).select("row.*")
+    return table.where(rate(F.col("posterior"), steps) >= cut - 1e-9).select("row.*")
 
 
 def totals(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> DataFrame:
