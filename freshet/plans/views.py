@@ -16,7 +16,7 @@ from ..functions import calendar as cal
 from ..functions import text
 from ..operators import regression
 from ..operators.windows import detect_gaps, prepare_series
-from ..session import shared_folder
+from ..session import deal, shared_folder, tasks_for
 from ..sources.readers import table, with_target_period
 
 
@@ -50,9 +50,18 @@ class Tables:
             {"code": gauge("l_suppkey", 10), "date": F.to_date("l_shipdate")}
         )
 
+    @cached_property
+    def tasks(self) -> int | None:
+        """Tasks that keep a task's share of the lines small, however large the table; counted from the file footers."""
+        return tasks_for(self.spark, self.lineitem.count())
+
+    def _dealt(self) -> DataFrame:
+        """Lines by gauge and day: every table below groups by these two at least, so it needs no other exchange."""
+        return deal(self._shipped(), self.tasks, "code", "date")
+
     @cached_property
     def daily(self) -> DataFrame:
-        return self._shipped().groupBy("code", "date").agg(F.sum("l_quantity").alias("discharge"))
+        return self._dealt().groupBy("code", "date").agg(F.sum("l_quantity").alias("discharge"))
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -111,7 +120,7 @@ class Tables:
     def daily_ml(self) -> DataFrame:
         model = F.when(F.col("l_returnflag") == "A", "TFT").when(F.col("l_returnflag") == "N", "TIDE").otherwise("TSMIXER")
         q = F.sum("l_quantity")
-        return self._shipped().groupBy(
+        return self._dealt().groupBy(
             "code",
             model.alias("model"),
             F.col("date").alias("forecast_date"),

@@ -50,6 +50,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows one task of a large aggregate or sort should hold.
+ROWS_PER_TASK = 200_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int | None:
+    """Partitions that keep a task near ``ROWS_PER_TASK`` rows; None where the cluster's cores are enough."""
+    n = -(-rows // ROWS_PER_TASK)
+    return n if n > spark.sparkContext.defaultParallelism else None
+
+
+def deal(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """Rows dealt by key to so many tasks, whatever number of shuffle partitions the session has.
+
+    Adaptive execution merges partitions by their compressed bytes, which says little about the memory a task needs for them;
+    a number given here stays.
+    """
+    return df.repartition(tasks, *keys) if tasks else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder (survives lost executors)."""
     spark = df.sparkSession
