@@ -60,7 +60,8 @@ def extend_reanalysis(reanalysis: DataFrame, operational: DataFrame, settle_days
 def add_missing_sites(df: DataFrame, sites: DataFrame, value: str = "discharge") -> DataFrame:
     """A station without any record gets one null row on the earliest date."""
     earliest = df.agg(F.min("date").alias("d"))
-    new = sites.select("code").distinct().join(df.select("code"), "code", "left_anti")
+    # one row per station on both sides, so the records are not sorted by station
+    new = sites.select("code").distinct().join(df.select("code").distinct(), "code", "left_anti")
     rows = new.select(
         "code",
         earliest.scalar().alias("date"),

@@ -61,3 +61,9 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch):
 def test_neural_ensemble_takes_one_exchange_of_many_tasks(dealt):
     found = exchanges(dealt("A14_dashboard_neural_ensemble"))
     assert [int(n) > 60 for _, n in found] == [True], found
+
+
+def test_missing_sites_do_not_sort_records_by_station(dealt):
+    plan = dealt("U6_add_missing_hydroposts")._jdf.queryExecution().optimizedPlan().toString()
+    # the sites, and the stations of the records
+    assert len(re.findall(r"Aggregate \[code#\d+\], \[code#\d+\]", plan)) == 2, plan
