@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions.rounding import stable_round
+from ..session import deal
 from .merge import dedupe
 from .quantiles import exact_quantiles
 
@@ -171,10 +172,11 @@ def ensemble_stats(df: DataFrame, value: str = "value", keys=("code", "date")) -
     return df.groupBy(*keys).agg(sd, *quantile_columns(value, FORECAST_QUANTILES))
 
 
-def ensemble_stats_ranked(df: DataFrame, value: str = "value", keys=("code", "date")) -> DataFrame:
+def ensemble_stats_ranked(df: DataFrame, value: str = "value", keys=("code", "date"), tasks: int | None = None) -> DataFrame:
     """A20 for members whose distinct values are too many for one task: ranked over range partitions."""
-    ranked = exact_quantiles(df, list(keys), value, FORECAST_QUANTILES)
-    return df.groupBy(*keys).agg(F.stddev_samp(value).alias("sd")).join(ranked, list(keys), "left")
+    ranked = exact_quantiles(df, list(keys), value, FORECAST_QUANTILES, tasks)
+    spread = df.groupBy(*keys).agg(F.stddev_samp(value).alias("sd"))
+    return deal(spread, tasks, *keys).join(ranked, list(keys), "left")
 
 
 def daily_to_period(df: DataFrame, horizon, value: str = "Q50") -> DataFrame:

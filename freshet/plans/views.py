@@ -96,12 +96,22 @@ class Tables:
         )
         return s.withColumn("name", F.concat_ws(" - ", "river", "place"))
 
-    @cached_property
-    def forcing(self) -> DataFrame:
-        return self._shipped().groupBy("code", "date").agg(
+    @staticmethod
+    def _forcing() -> list[Column]:
+        return [
             (F.sum(cents("l_extendedprice")).cast("double") / 1000000).alias("P"),
             (F.sum(cents("l_discount")).cast("double") / F.count(F.lit(1)) - 5).alias("T"),
-        )
+        ]
+
+    @cached_property
+    def forcing(self) -> DataFrame:
+        return self._dealt().groupBy("code", "date").agg(*self._forcing())
+
+    @cached_property
+    def daily_forcing(self) -> DataFrame:
+        """``daily`` joined with ``forcing``: both hold the same keys, so one aggregate of the lines gives both."""
+        known = self._dealt().where(F.col("code").isNotNull() & F.col("date").isNotNull())
+        return known.groupBy("code", "date").agg(F.sum("l_quantity").alias("discharge"), *self._forcing())
 
     @cached_property
     def snow(self) -> DataFrame:
@@ -154,7 +164,7 @@ class Tables:
         flag = F.col("l_returnflag")
         variable = F.when(flag == "A", "Precipitation").when(flag == "N", "Temperature").otherwise("Snow depth")
         unit = F.when(flag == "A", "mm").when(flag == "N", "C").otherwise("cm")
-        return self._shipped().groupBy("code", variable.alias("variable"), "date", unit.alias("unit")).agg(
+        return self._dealt().groupBy("code", variable.alias("variable"), "date", unit.alias("unit")).agg(
             F.sum("l_quantity").alias("value")
         )
 

@@ -67,3 +67,8 @@ def test_missing_sites_do_not_sort_records_by_station(dealt):
     plan = dealt("U6_add_missing_hydroposts")._jdf.queryExecution().optimizedPlan().toString()
     # the sites, and the stations of the records
     assert len(re.findall(r"Aggregate \[code#\d+\], \[code#\d+\]", plan)) == 2, plan
+
+
+def test_ranked_statistics_end_in_many_tasks(dealt):
+    found = exchanges(dealt("A20_ensemble_stats_ranked"))
+    assert sum(int(n) > 60 for _, n in found) >= 3, found
