@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions.rounding import round_significant
 from ..schemas import require_columns
+from ..session import deal
 from .quantiles import exact_quantiles
 
 KEYS = ("code",)
@@ -209,20 +210,22 @@ def season(date) -> Column:
     return F.element_at(names, (F.floor(F.month(cal._col(date)) % 12 / 3) + 1).cast("int"))
 
 
-def _iqr_filter(df, keys, value, below, above, min_rows, raw: bool = False) -> DataFrame:
+def _iqr_filter(df, keys, value, below, above, min_rows, raw: bool = False, tasks: int | None = None) -> DataFrame:
     """Quartiles over a station's season or variable.
 
     On one row per day the calendar bounds the group, so they are a window: with the input
     partitioned by station already, no exchange or join is added.  ``raw`` input may repeat days
     without bound: equal values are counted before the shuffle, ranked over range partitions, and the bounds are
-    joined back, so no buffer holds a key's values.
+    joined back, so no buffer holds a key's values.  ``tasks`` deals the rows by key for what follows.
     """
     group = Window.partitionBy(*keys)
     if raw:
-        found = exact_quantiles(df, list(keys), value, {"_q1": 0.25, "_q3": 0.75})
-        bounds = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(found, list(keys), "left")
-        bounds = bounds.select(*keys, "_n", F.array("_q1", "_q3").alias("_q"))
-        df, counted = df.join(bounds, list(keys)), True
+        found = exact_quantiles(df, list(keys), value, {"_q1": 0.25, "_q3": 0.75}, tasks)
+        bounds = found.select(*keys, F.array("_q1", "_q3").alias("_q"))
+        if min_rows:
+            bounds = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(bounds, list(keys), "left")
+        known = df.dropna(subset=list(keys))
+        df, counted = deal(known, tasks, *keys).join(bounds, list(keys), "left"), True
     else:
         quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
         df, counted = df.withColumn("_q", quartiles.over(group)), False
@@ -254,12 +257,15 @@ def rough_outlier_filter(df: DataFrame, value: str = "discharge", order: str | N
     return interpolate(change_filter(df, value), value, limit=2, by_time=True).drop("_day")
 
 
-def station_iqr_filter(df: DataFrame, value: str = "value", order: str | None = None) -> DataFrame:
-    """1.5 IQR on both sides per (code, variable), short-gap fill, keep-last per day."""
+def station_iqr_filter(df: DataFrame, value: str = "value", order: str | None = None, tasks: int | None = None) -> DataFrame:
+    """1.5 IQR on both sides per (code, variable), short-gap fill, keep-last per day.
+
+    ``tasks`` deals the rows of raw input to so many tasks.
+    """
     from .merge import dedupe
 
     keys = ("code", "variable")
-    df = _iqr_filter(df.dropna(subset=list(keys)), keys, value, 1.5, 1.5, 0, raw=order is not None)
+    df = _iqr_filter(df.dropna(subset=list(keys)), keys, value, 1.5, 1.5, 0, raw=order is not None, tasks=tasks)
     df = interpolate(df, value, limit=2, by_time=True, keys=keys, tie=order)
     return dedupe(df, [*keys, "date"], F.col(order)).drop(order) if order else df
 

@@ -140,7 +140,7 @@ IQR = """SELECT m.code, m.variable, m.date, CASE WHEN value BETWEEN q1 - 1.5 * (
 )
 def station_iqr_filter(t):
     rows = t.meteo.withColumn("arrival", F.lit(0))
-    return win.station_iqr_filter(rows, order="arrival").select("code", "variable", "date", "value")
+    return win.station_iqr_filter(rows, order="arrival", tasks=t.tasks).select("code", "variable", "date", "value")
 
 
 CUT = "DATE '2001-12-31' - 1800"

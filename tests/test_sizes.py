@@ -69,6 +69,12 @@ def test_missing_sites_do_not_sort_records_by_station(dealt):
     assert len(re.findall(r"Aggregate \[code#\d+\], \[code#\d+\]", plan)) == 2, plan
 
 
+def test_station_filter_keeps_its_windows_in_many_tasks(dealt):
+    found = exchanges(dealt("W11_station_iqr_filter"))
+    # by day, by station and variable; the others deal the quartiles alone
+    assert [int(n) > 60 for _, n in found[:2]] == [True, True], found
+
+
 def test_ranked_statistics_end_in_many_tasks(dealt):
     found = exchanges(dealt("A20_ensemble_stats_ranked"))
     assert sum(int(n) > 60 for _, n in found) >= 3, found
