@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, features, models, pca, regression, selection
+from ..session import cut_lineage
 from .registry import query
 from .aggregate_queries import FEATURES, _features
 from .selection_queries import _selection
@@ -191,7 +192,8 @@ def pca_groups(t):
 
 @query("R9_select_k_best", "SELECT x.code, x.date, discharge AS target, P AS P_1, P * P AS P_2 FROM daily AS x JOIN forcing AS f ON x.code = f.code AND x.date = f.date", "P_1:r6 P_2:r6")
 def select_k_best(t):
-    rows = _targets(t)
+    # built once for the two passes of the scores and for the result
+    rows = cut_lineage(_targets(t))
     return rows.select("code", "date", "target", *features.select_k_best(rows, FEATURES, "target", 2))
 
 

@@ -75,6 +75,11 @@ def test_station_filter_keeps_its_windows_in_many_tasks(dealt):
     assert [int(n) > 60 for _, n in found[:2]] == [True, True], found
 
 
+def test_best_features_are_chosen_from_rows_built_once(spark, dealt):
+    many = dealt("R9_select_k_best")
+    assert "lineitem" not in plan_of(many) and "Join" not in plan_of(many)
+
+
 def test_ranked_statistics_end_in_many_tasks(dealt):
     found = exchanges(dealt("A20_ensemble_stats_ranked"))
     assert sum(int(n) > 60 for _, n in found) >= 3, found
