@@ -15,8 +15,11 @@ Probabilities.  Dirichlet smoothing over the orders, p(w | v) = (c(vw) + prior *
 is the expected count of a probed level; the lowest order adds 0.1 to each count.
 
 Size.  The filter grows with the corpus.  Up to ``BROADCAST`` bytes, known before anything is sent, its blocks are
-broadcast one by one.  Beyond, the distinct n-grams of the texts go to the buckets instead and their levels
-come back by a join.  Both ways give the same levels.
+broadcast one by one.  Beyond, texts are dealt to packets of ``PACKET_BYTES``.  A packet sends its distinct n-grams, sorted
+by hash, to the buckets and gets back their levels alone in that order; the task that scores it puts the same n-grams in
+order again and so knows whose level each is.  Nothing is moved per token.  Packets go in ``ROUNDS`` rounds one after another, each with a
+part of all packets, and a round's shuffle files are gone before the next: what stands on disk besides the written texts is that
+part of what all n-grams take.  Both ways give the same levels.
 
 Exact word counts (``base_score``, ``n_known``) are no matter of the filter: words with at least a 2^-20 share of all
 tokens, so at most 2^20 of them, are broadcast as hashes and counts; all other words join their counts, none of
@@ -25,7 +28,7 @@ which is hot.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import ceil
 
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from xxhash import xxh3_64_intdigest
 
-from .common import slices, small_batches, written
+from .common import shuffles_freed, slices, small_batches, written
 
 END = b""
 #: Text bytes per bucket of n-grams.
@@ -52,6 +55,10 @@ SHARE = 1 << 20
 HELD = 1 << 21
 #: Bytes of text that are read at a time.
 CHUNK = 1 << 20
+#: Bytes of text that ask together for the levels of their n-grams, and what a row counts besides its text.
+PACKET_BYTES, ROW_BYTES = 1 << 23, 64
+#: Parts of the texts that ask one after another.
+ROUNDS = 4
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _HALF = np.uint64(32)
 
@@ -351,7 +358,7 @@ def train(docs: DataFrame, order: int = 2, prior: float = 300.0, base: float = 1
     buckets = max(1, -(-size // BUCKET_BYTES))
     counted = docs.select(_texts()).mapInArrow(_count(order, buckets), _COUNTED_SQL)
     merged = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_build(levels), _MODEL_SQL)
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), shuffles_freed(docs.sparkSession):
         model = written(merged, "ngrams")
     blocks = model.where("bits is not null").select("bucket", "bits", "pairs")
     words = model.where("word is not null").select("word", "hash", "n")
@@ -363,7 +370,7 @@ def train(docs: DataFrame, order: int = 2, prior: float = 300.0, base: float = 1
 def probability(model: Model, own: list, contexts: list, clip, read, floor):
     """p of the longest order, from the levels of the n-grams that end at a token and of their contexts.
 
-    Works on numpy arrays and on Spark columns alike: ``clip`` is the lesser of two, ``read`` the expected count of a level.
+    ``clip`` is the lesser of two, ``read`` the expected count of a level.
     """
     bound = own[0]
     p = (read(bound) + 0.1) / floor
@@ -382,10 +389,52 @@ def _unit(model: Model) -> float:
 _SCORED = "n_tokens long, known long, base double, score double, light array<binary>, tf array<long>"
 
 
+def _scored(model: Model, heavy):
+    """Per text: tokens, base sum and known tokens among heavy words, the light words; the score by the levels of its n-grams."""
+    order, expected, unit = model.order, model.levels.expected, _unit(model)
+    shape = Model(None, None, model.buckets, model.tokens, model.distinct, model.bytes, order, model.prior, model.levels)
+
+    def scores(part: Tokens, levels) -> np.ndarray:
+        single = levels(part.hashes)[part.codes]
+        if order > 1:
+            # a slice's carried context need not be among its own words
+            single[: order - 1] = levels(part.grams[0][: order - 1])
+        every = [single, *map(levels, part.grams[1:])]
+        own, contexts = [e[part.at] for e in every], [e[part.at - 1] for e in every[:-1]]
+        return np.log10(probability(shape, own, contexts, np.minimum, expected.__getitem__, unit))
+
+    def scored(batch: pa.RecordBatch, parts: Iterable[Tokens], levels) -> pa.RecordBatch:
+        hashes, counts = heavy.value
+        n = batch.num_rows
+        total, known, base, score = (np.zeros(n) for _ in range(4))
+        docs, light, tf = [np.empty(0, np.int64)], [pa.array([], pa.binary())], [np.empty(0, np.int64)]
+        for part in parts:
+            at = np.minimum(np.searchsorted(hashes, part.hashes), max(0, len(hashes) - 1))
+            hit = hashes[at] == part.hashes if len(hashes) else np.zeros(len(at), bool)
+            share = np.where(hit, np.log10((counts[at] + 0.1) / unit), 0.0) if len(hashes) else np.zeros(len(at))
+            codes = part.codes[part.at]
+            total += np.bincount(part.doc, minlength=n)
+            known += np.bincount(part.doc, hit[codes], minlength=n)
+            base += np.bincount(part.doc, share[codes], minlength=n)
+            rest = ~hit[codes]
+            pairs, times = np.unique(part.doc[rest] * len(part.names) + codes[rest], return_counts=True)
+            docs.append(pairs // len(part.names))
+            light.append(part.names.take(pa.array(pairs % len(part.names))))
+            tf.append(times)
+            score += np.bincount(part.doc, scores(part, levels), minlength=n)
+        ends = pa.array(np.searchsorted(np.concatenate(docs), np.arange(n + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, v) for v in (pa.concat_arrays(light), pa.array(np.concatenate(tf)))]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("row"), batch.column("kept"), *(pa.array(v.astype(np.int64)) for v in (total, known)), pa.array(base), pa.array(score), *lists],
+            ["row", "kept", "n_tokens", "known", "base", "score", "light", "tf"],
+        )
+
+    return scored
+
+
 def _score(model: Model, heavy, shards):
-    """Per text: tokens, base sum and known tokens among heavy words, the light words; the score if the filter is at hand."""
-    order, buckets, expected, unit = model.order, model.buckets, model.levels.expected, _unit(model)
-    shape = Model(None, None, buckets, model.tokens, model.distinct, model.bytes, order, model.prior, model.levels)
+    """Texts' scores by a filter that is at hand."""
+    order, buckets, scored = model.order, model.buckets, _scored(model, heavy)
 
     def levels(grams: np.ndarray) -> np.ndarray:
         where = bucket_of(grams, buckets)
@@ -398,97 +447,164 @@ def _score(model: Model, heavy, shards):
                 out[rows] = probe(np.frombuffer(shards[b].value, np.uint64), grams[rows])
         return out
 
-    def scores(part: Tokens) -> np.ndarray:
-        single = levels(part.hashes)[part.codes]
-        if order > 1:
-            # a slice's carried context need not be among its own words
-            single[: order - 1] = levels(part.grams[0][: order - 1])
-        every = [single, *map(levels, part.grams[1:])]
-        own, contexts = [e[part.at] for e in every], [e[part.at - 1] for e in every[:-1]]
-        return np.log10(probability(shape, own, contexts, np.minimum, expected.__getitem__, unit))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield scored(batch, tokens(batch.column("text"), order), levels)
+
+    return run
+
+
+def _packed(size: int, rounds: int):
+    """Rows in packets of some ``size`` bytes; a packet has the number of its first row and is dealt to a round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = heavy.value
+        packet, made, held = 0, 0, size
         for batch in batches:
-            n = batch.num_rows
-            total, known, base, score = (np.zeros(n) for _ in range(4))
-            docs, light, tf = [np.empty(0, np.int64)], [pa.array([], pa.binary())], [np.empty(0, np.int64)]
-            for part in tokens(batch.column(1), order):
-                at = np.minimum(np.searchsorted(hashes, part.hashes), max(0, len(hashes) - 1))
-                hit = hashes[at] == part.hashes if len(hashes) else np.zeros(len(at), bool)
-                share = np.where(hit, np.log10((counts[at] + 0.1) / unit), 0.0) if len(hashes) else np.zeros(len(at))
-                codes = part.codes[part.at]
-                total += np.bincount(part.doc, minlength=n)
-                known += np.bincount(part.doc, hit[codes], minlength=n)
-                base += np.bincount(part.doc, share[codes], minlength=n)
-                rest = ~hit[codes]
-                pairs, times = np.unique(part.doc[rest] * len(part.names) + codes[rest], return_counts=True)
-                docs.append(pairs // len(part.names))
-                light.append(part.names.take(pa.array(pairs % len(part.names))))
-                tf.append(times)
-                if shards is not None:
-                    score += np.bincount(part.doc, scores(part), minlength=n)
-            ends = pa.array(np.searchsorted(np.concatenate(docs), np.arange(n + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, v) for v in (pa.concat_arrays(light), pa.array(np.concatenate(tf)))]
+            rows = batch.column("row").to_pylist()
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            packets, parts = [], []
+            for row, own in zip(rows, sizes, strict=True):
+                if held >= size:
+                    packet, made, held = row, made + 1, 0
+                held += own + ROW_BYTES
+                packets.append(packet)
+                # tasks begin with different rounds: the upper bits of a row's number are its task's
+                parts.append((made + (packet >> 33)) % rounds)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *(pa.array(v.astype(np.int64)) for v in (total, known)), pa.array(base), pa.array(score), *lists],
-                ["row", "kept", "n_tokens", "known", "base", "score", "light", "tf"],
+                [*batch.columns, pa.array(packets, pa.int64()), pa.array(parts, pa.int32())], [*batch.schema.names, "packet", "part"]
             )
 
     return run
 
 
-def _asked(order: int):
-    """Per text its distinct tokens: hashes of the n-grams that end there and of their contexts, and how often."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The batches of one packet after another, from rows that are sorted by packet."""
+    packet, held = None, []
+    for batch in batches:
+        own = batch.column("packet").to_numpy()
+        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else own
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if held and own[a] != packet:
+                yield held
+                held = []
+            packet = own[a]
+            held.append(batch.slice(a, z - a))
+    if held:
+        yield held
+
+
+def _sorted(found: list[np.ndarray]) -> np.ndarray:
+    """Distinct values in order; of so many, sorting takes a tenth of the time that numpy's own hash table does."""
+    every = np.sort(np.concatenate(found))
+    return every[np.r_[True, every[1:] != every[:-1]]] if len(every) else every
+
+
+def _distinct(parts: Iterable[Tokens]) -> np.ndarray:
+    """Sorted hashes of the n-grams that end at the tokens of whole texts, and of their contexts."""
+    found, held = [np.empty(0, np.uint64)], 0
+    for part in parts:
+        more = [part.hashes, *(g[part.at] for g in part.grams[1:]), *(g[part.at - 1] for g in part.grams[1:-1])]
+        found, held = found + more, held + sum(map(len, more))
+        if held >= HELD:
+            found, held = [_sorted(found)], 0
+    return _sorted(found)
+
+
+_ASKED_SQL = "bucket int, packet long, grams binary"
+
+
+def _ask(order: int, buckets: int):
+    """Per packet and bucket the distinct n-grams whose levels are asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(0).to_numpy()
-            for part in tokens(batch.column(1), order):
-                grams = [g[part.at] for g in part.grams] + [g[part.at - 1] for g in part.grams[:-1]]
-                keys = np.stack([part.doc.astype(np.uint64), *grams])
-                found, times = np.unique(keys, axis=1, return_counts=True)
-                grams = pa.array(found[1:].T.astype(np.uint64).view(np.int64).tolist(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(rows[found[0].astype(np.int64)]), grams, pa.array(times, pa.int64())], ["row", "grams", "times"])
+        for texts in _gathered(batches):
+            grams = _distinct(part for batch in texts for part in tokens(batch.column("text"), order))
+            cuts = np.searchsorted(bucket_of(grams, buckets), np.arange(buckets + 1))
+            used = np.flatnonzero(np.diff(cuts))
+            packet = pa.array(np.full(len(used), texts[0].column("packet")[0].as_py()), pa.int64())
+            asked = _binary([grams[cuts[b] : cuts[b + 1]].tobytes() for b in used])
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), packet, asked], ["bucket", "packet", "grams"])
 
     return run
 
 
+_ANSWERED_SQL = "packet long, bucket int, levels binary"
+
+
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by bucket, its block first: levels of the n-grams asked for."""
+    """Sorted by bucket, its block first: levels of the n-grams asked for, in their order."""
     bucket, words = None, None
     for batch in batches:
-        own, bits, grams = batch.column(0).to_numpy(), batch.column(1), batch.column(2).fill_null(0).to_numpy()
-        for a in np.flatnonzero(np.r_[True, own[1:] != own[:-1]]):
-            z = a + int(np.searchsorted(own[a:], own[a], "right"))
+        own, bits = batch.column("bucket").to_numpy(), batch.column("bits")
+        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else own
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if own[a] != bucket:
                 bucket, words = own[a], None
-            if bits[int(a)].is_valid:
-                words, a = np.frombuffer(bits[int(a)].as_py(), np.uint64), a + 1
-            asked = grams[a:z].view(np.uint64)
-            found = probe(words, asked) if words is not None else np.zeros(len(asked), np.int16)
-            yield pa.RecordBatch.from_arrays([pa.array(asked.view(np.int64)), pa.array(found.astype(np.int32))], ["gram", "level"])
-
-
-def _routed(rows: DataFrame, model: Model) -> DataFrame:
-    """``row, score`` when the filter is too large to broadcast: n-grams go to the blocks and levels come back."""
-    with small_batches(rows.sparkSession):
-        asked = written(rows.mapInArrow(_asked(model.order), "row long, grams array<long>, times long"), "asked")
-    slots = asked.select("row", "grams", "times", F.posexplode("grams").alias("slot", "gram"))
-    high = F.shiftrightunsigned("gram", 32)
-    grams = asked.select(F.explode("grams").alias("gram")).distinct().select(
-        F.shiftright(high * model.buckets, 32).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("bits"), "gram"
-    )
-    both = model.blocks.select("bucket", "bits", F.lit(None).cast("long").alias("gram")).unionByName(grams)
-    both = both.repartition("bucket").sortWithinPartitions("bucket", F.col("bits").isNull())
-    levels = both.mapInArrow(_answer, "gram long, level int")
-    of = slots.join(levels, "gram").groupBy("row", "grams", "times").agg(
-        *[F.max(F.when(F.col("slot") == i, F.col("level"))).alias(f"l{i}") for i in range(2 * model.order - 1)]
-    )
-    expected = F.array(*[F.lit(float(v)) for v in model.levels.expected])
-    columns = [F.col(f"l{i}") for i in range(2 * model.order - 1)]
-    p = probability(model, columns[: model.order], columns[model.order :], F.least, lambda c: F.element_at(expected, c + 1), F.lit(_unit(model)))
-    return of.groupBy("row").agg(F.sum(F.col("times") * F.log10(p)).alias("score"))
+            if bits[a].is_valid:
+                words, a = np.frombuffer(bits[a].as_py(), np.uint64), a + 1
+            if a == z:
+                continue
+            asked = [np.frombuffer(g, np.uint64) for g in batch.column("grams")[a:z].to_pylist()]
+            every = np.concatenate(asked)
+            found = probe(words, every) if words is not None else np.zeros(len(every), np.int16)
+            levels = [f.tobytes() for f in np.split(found, np.cumsum([len(g) for g in asked])[:-1])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("packet")[a:z], pa.array(own[a:z], pa.int32()), _binary(levels)], ["packet", "bucket", "levels"]
+            )
+
+
+def _score_packets(model: Model, heavy, size: int):
+    """Sorted by packet, its levels by bucket first: texts' scores."""
+    order, scored = model.order, _scored(model, heavy)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for packet in _gathered(batches):
+            answers = [v for batch in packet for v in batch.column("levels").drop_null().to_pylist()]
+            # ranges of hashes, so in the order of the buckets all n-grams are sorted
+            levels = np.frombuffer(b"".join(answers), np.int16)
+            texts = [batch.filter(batch.column("levels").is_null()) for batch in packet]
+            held = sum(pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0 for batch in texts)
+            # tokens take some times their text: those of a packet with a long text are read twice rather than held
+            parts = [list(tokens(batch.column("text"), order)) if held <= 2 * size else None for batch in texts]
+
+            def read(parts=parts, texts=texts) -> Iterator[Iterable[Tokens]]:
+                for own, batch in zip(parts, texts, strict=True):
+                    yield tokens(batch.column("text"), order) if own is None else own
+
+            grams = _distinct(part for own in read() for part in own)
+
+            def known(asked: np.ndarray, grams=grams, levels=levels) -> np.ndarray:
+                # in order, so that successive searches end near each other
+                by = np.argsort(asked)
+                asked, out = asked[by], np.empty(len(asked), np.int16)
+                at = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
+                out[by] = np.where(grams[at] == asked, levels[at], np.int16(0))
+                return out
+
+            for own, batch in zip(read(), texts, strict=True):
+                if batch.num_rows:
+                    yield scored(batch, own, known)
+
+    return run
+
+
+def _routed(rows: DataFrame, model: Model, heavy, schema: StructType) -> DataFrame:
+    """Texts' scores when the filter is too large to broadcast: n-grams go to the blocks and levels come back."""
+    packets = StructType([*rows.schema, *StructType.fromDDL("packet long, part int")])
+    rows = written(rows.mapInArrow(_packed(PACKET_BYTES, ROUNDS), packets), "packets", "part")
+    made = None
+    for part in range(ROUNDS):
+        texts = rows.where(F.col("part") == part).drop("part")
+        asked = texts.select("packet", "text").repartition("packet").sortWithinPartitions("packet")
+        asked = asked.mapInArrow(_ask(model.order, model.buckets), _ASKED_SQL)
+        both = model.blocks.select("bucket", "bits").unionByName(asked, allowMissingColumns=True)
+        both = both.repartition("bucket").sortWithinPartitions("bucket", F.col("bits").isNull())
+        levels = both.mapInArrow(_answer, _ANSWERED_SQL)
+        both = texts.unionByName(levels, allowMissingColumns=True)
+        both = both.repartition("packet").sortWithinPartitions("packet", F.col("bucket").asc_nulls_last())
+        found = written(both.mapInArrow(_score_packets(model, heavy, PACKET_BYTES), schema), "scored")
+        made = found if made is None else made.unionByName(found)
+    return made
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, broadcast: int = BROADCAST) -> DataFrame:
@@ -509,20 +625,15 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, broadcas
         shards = {r.bucket: context.broadcast(bytes(r.bits)) for r in model.blocks.select("bucket", "bits").toLocalIterator()}
     kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("string")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), _texts(), kept.alias("kept"))
-    if shards is None:
-        # the texts are read twice: numbers must not change in between
-        rows = written(rows, "rows")
     schema = StructType([rows.schema["row"], rows.schema["kept"], *StructType.fromDDL(_SCORED)])
-    with small_batches(docs.sparkSession):
-        made = written(rows.mapInArrow(_score(model, heavy, shards), schema), "scored")
+    with small_batches(docs.sparkSession), shuffles_freed(docs.sparkSession):
+        made = _routed(rows, model, heavy, schema) if shards is None else written(rows.mapInArrow(_score(model, heavy, shards), schema), "scored")
     words = made.select("row", F.explode(F.arrays_zip("light", "tf")).alias("w")).select("row", F.col("w.light").alias("word"), F.col("w.tf").alias("tf"))
     rest = words.join(model.words.select("word", "n"), "word", "left").groupBy("row").agg(
         F.sum(F.col("tf") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / unit)).alias("more"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("found"),
     )
     out = made.drop("light", "tf").join(rest, "row", "left")
-    if shards is None:
-        out = out.drop("score").join(_routed(rows.select("row", "text"), model), "row")
     return out.select(
         *([F.col(f"kept.`{c}`") for c in keep]), "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",

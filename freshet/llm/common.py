@@ -26,10 +26,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder, in one folder a value of the columns ``by``."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,17 +49,32 @@ def text_batches(spark: SparkSession) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1024, size: str = "16m"):
-    """Arrow batches of at most so many rows and bytes for what runs inside; the session's settings come back."""
-    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
-    before = {key: spark.conf.get(key) for key in keys}
+def _settings(spark: SparkSession, keys: dict[str, str]):
+    """Settings for what runs inside; the session's come back."""
+    before = {key: spark.conf.get(key, None) for key in keys}
     for key, value in keys.items():
         spark.conf.set(key, value)
     try:
         yield
     finally:
         for key, value in before.items():
-            spark.conf.set(key, value)
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def small_batches(spark: SparkSession, rows: int = 1024, size: str = "16m"):
+    """Arrow batches of at most so many rows and bytes for what runs inside; the session's settings come back."""
+    return _settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size})
+
+
+def shuffles_freed(spark: SparkSession):
+    """Shuffle files of a query run inside go when it ends, not when the driver happens to collect its garbage.
+
+    For queries that end in a written table: one that is run again would have to shuffle again.
+    """
+    return _settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
 def sample_by_hash(rows: DataFrame, group: str, keys: list[str], most: int) -> DataFrame:

@@ -4,12 +4,13 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from freshet.llm import bloom_lm
+from freshet.llm import bloom_lm, common
 
 from .conftest import prose
 
@@ -103,6 +104,67 @@ def test_routed_levels_equal_broadcast_ones(documents, monkeypatch):
             assert far[k].base_score == pytest.approx(r.base_score, rel=1e-12)
 
 
+def test_packets_and_rounds_change_no_score(documents, odd, nothing, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "BUCKET_BYTES", 4000)
+    # the long text exceeds its packet and is read twice
+    monkeypatch.setattr(bloom_lm, "PACKET_BYTES", 2000)
+    docs = documents(ROWS[::4]).unionByName(odd)
+    for order in (1, 3):
+        model, near = run(docs, order=order)
+        far = run(docs, order=order, broadcast=0)[1]
+        assert len(near) == docs.count()
+        for one, other in zip(sorted(map(tuple, far), key=str), sorted(map(tuple, near), key=str), strict=True):
+            assert one[:5] == other[:5] and one[5:] == pytest.approx(other[5:], rel=1e-12)
+    assert bloom_lm.score(nothing, model, broadcast=0).collect() == []
+
+
+def test_rows_are_dealt_to_packets_of_bounded_bytes():
+    texts = [None, "", *(prose(i, 20) for i in range(50)), "a" * 5000, "b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["row", "text"])
+    out = pa.Table.from_batches(bloom_lm._packed(1000, 4)(iter([batch.slice(0, 7), batch.slice(7)]))).to_pylist()
+    assert [r["text"] for r in out] == texts
+    packets = {}
+    for r in out:
+        packets.setdefault((r["packet"], r["part"]), []).append(r)
+    assert len(packets) > 6 and {part for _, part in packets} == {0, 1, 2, 3}
+    for (packet, _), rows in packets.items():
+        assert packet == rows[0]["row"]
+        assert sum(len(r["text"] or "") + bloom_lm.ROW_BYTES for r in rows[:-1]) < 1000
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_sliced_texts_ask_for_the_same_grams(order, monkeypatch):
+    column = pa.array([prose(3, 3000), None, "a b", prose(4, 500), ""])
+    whole = bloom_lm._distinct(bloom_lm.tokens(column, order))
+    every = {g for p in bloom_lm.tokens(column, order) for n in range(order) for g in p.grams[n][p.at].tolist()}
+    assert (np.diff(whole.astype(object)) > 0).all() and every <= set(whole.tolist())
+    monkeypatch.setattr(bloom_lm, "CHUNK", 100)
+    monkeypatch.setattr(bloom_lm, "HELD", 500)
+    assert (bloom_lm._distinct(bloom_lm.tokens(column, order)) == whole).all()
+
+
+def test_routed_way_takes_little_disk(spark, documents, folder, monkeypatch):
+    """Written tables and shuffle files that stand when the scores are made, as multiples of the texts' table."""
+    monkeypatch.setattr(bloom_lm, "BUCKET_BYTES", 1 << 18)
+    docs = documents([(i, prose(i, 2000), "en", "s") for i in range(200)])
+    docs.select("doc_id", "text").write.parquet(folder)
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"{folder}-own")
+
+    def size(path):
+        return sum(p.stat().st_size for p in Path(path.removeprefix("file:")).rglob("*") if p.is_file())
+
+    def shuffled():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(held.apply(i).length() for i in range(held.size()) if held.apply(i).getName().startswith("shuffle"))
+
+    before = shuffled()
+    model = bloom_lm.train(docs)
+    assert shuffled() - before < size(folder) / 10
+    before = size(f"{folder}-own") + shuffled()
+    assert len(bloom_lm.score(docs, model, ["doc_id"], broadcast=0).collect()) == 200
+    assert size(f"{folder}-own") + shuffled() - before < 2 * size(folder)
+
+
 def test_copies_score_above_base_and_unseen_text_below_seen(documents):
     got = {r.doc_id: r for r in run(documents(ROWS), prior=10.0)[1]}
     copies = [r for i, r in got.items() if i >= 200]
